@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .bpe import op9_byte_bpe
 from .media import op1_media_columns
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 SQL: dict[str, str] = {}

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _OWN: dict[str, str] = {}
 
@@ -42,14 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: T.StructType | str) -> DataFrame:
     """Map each Arrow batch with fn, which returns columns by name; batches hold at most PIECE_BYTES of input."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    fields = [(f.name, _arrow(f.dataType)) for f in schema.fields]
-    out = pa.schema(fields)
+    out = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch):
                 cols = fn(part)
-                yield pa.RecordBatch.from_arrays([_column(cols[n], t) for n, t in fields], schema=out)
+                yield pa.RecordBatch.from_arrays([_column(cols[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
@@ -72,17 +72,6 @@ def _column(values, kind):
     return pa.array(values, kind)
 
 
-def _arrow(kind: T.DataType) -> pa.DataType:
-    if isinstance(kind, T.ArrayType):
-        return pa.list_(_arrow(kind.elementType))
-    if isinstance(kind, T.StructType):
-        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind.fields])
-    return {
-        "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "string": pa.string(), "double": pa.float64(),
-        "float": pa.float32(), "boolean": pa.bool_(), "binary": pa.binary(),
-    }[kind.simpleString()]
-
-
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

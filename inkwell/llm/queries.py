@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from .bpe import op9_byte_bpe
+from .licenses import op7_licenses
 from .media import op1_media_columns
+from .mixing import op8_mixing
+from .pii import op2_pii
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op2_pii": op2_pii,
+    "op7_licenses": op7_licenses,
+    "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
 }
 

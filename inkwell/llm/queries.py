@@ -7,6 +7,7 @@ from .licenses import op7_licenses
 from .media import op1_media_columns
 from .mixing import op8_mixing
 from .pii import op2_pii
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
@@ -14,6 +15,7 @@ QUERIES = {
     "op7_licenses": op7_licenses,
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {}

@@ -7,11 +7,13 @@ from .licenses import op7_licenses
 from .media import op1_media_columns
 from .mixing import op8_mixing
 from .pii import op2_pii
+from .simhash import op6_simhash
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_pii": op2_pii,
+    "op6_simhash": op6_simhash,
     "op7_licenses": op7_licenses,
     "op8_mixing": op8_mixing,
     "op9_byte_bpe": op9_byte_bpe,

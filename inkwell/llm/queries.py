@@ -8,11 +8,13 @@ from .media import op1_media_columns
 from .mixing import op8_mixing
 from .pii import op2_pii
 from .simhash import op6_simhash
+from .topk import OP4_SQL, op4_topk
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_pii": op2_pii,
+    "op4_topk": op4_topk,
     "op6_simhash": op6_simhash,
     "op7_licenses": op7_licenses,
     "op8_mixing": op8_mixing,
@@ -20,4 +22,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_topk": OP4_SQL}

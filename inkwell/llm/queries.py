@@ -8,13 +8,17 @@ from .media import op1_media_columns
 from .mixing import op8_mixing
 from .pii import op2_pii
 from .simhash import op6_simhash
+from .substrings import op3_substrings
+from .suffixes import op5_suffixes
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op2_pii": op2_pii,
+    "op3_substrings": op3_substrings,
     "op4_topk": op4_topk,
+    "op5_suffixes": op5_suffixes,
     "op6_simhash": op6_simhash,
     "op7_licenses": op7_licenses,
     "op8_mixing": op8_mixing,

@@ -40,27 +40,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: T.StructType | str) -> DataFrame:
-    """Map each Arrow batch with fn, which returns columns by name; batches hold at most PIECE_BYTES of input."""
+#: Text of one step of an Arrow pass; a row is never cut, so a single longer text makes a step of its own.
+PIECE_BYTES = 8 << 20
+
+
+def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: T.StructType | str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """Map each Arrow batch with fn, which returns columns by name; batches hold at most piece_bytes of input."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     out = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, piece_bytes):
                 cols = fn(part)
                 yield pa.RecordBatch.from_arrays([_column(cols[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
 
 
-#: Text of one step of an Arrow pass; a row is never cut, so a single longer text makes a step of its own.
-PIECE_BYTES = 8 << 20
-
-
-def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
-    step = max(1, int(n * PIECE_BYTES / max(batch.nbytes, 1)))
+    step = max(1, int(n * most / max(batch.nbytes, 1)))
     for at in range(0, n, step):
         yield batch.slice(at, step)
 

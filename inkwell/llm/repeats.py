@@ -27,6 +27,8 @@ MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 #: Occurrences from which an anchor's windows are dealt one by one.
 HOT = 2_000
 FAR = (1 << 63) - 1
+#: Text that one step of a pass holds as arrays of 8 bytes a unit.
+STEP = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -200,7 +202,7 @@ def remove(docs: DataFrame, unit: Unit, solve: Solver, first_stays: bool) -> Dat
             "n_units": own.counts(), "whole": [whole_digest(r, unit) for r in raw], "anchors": [m[0] for m in marks], "self": [m[1] for m in marks],
         }
 
-    rows = arrow_pass(given, measure, "doc_id bigint, place bigint, h1 bigint, h2 bigint, n_units bigint, whole string, anchors array<bigint>, self array<boolean>")
+    rows = arrow_pass(given, measure, "doc_id bigint, place bigint, h1 bigint, h2 bigint, n_units bigint, whole string, anchors array<bigint>, self array<boolean>", STEP)
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "repeats-rows")
     heads = rows.groupBy("h1", "h2").agg(F.min(F.struct("place", "row")).alias("f"), F.count("*").alias("copies"))
     heads = written(heads.select("h1", "h2", F.col("f.place").alias("place"), F.col("f.row").alias("head"), "copies"), "repeats-heads")
@@ -226,7 +228,7 @@ def remove(docs: DataFrame, unit: Unit, solve: Solver, first_stays: bool) -> Dat
             "c1": np.array([h >> 64 for h in hashes], np.uint64).view(np.int64), "c2": np.array([h & (1 << 64) - 1 for h in hashes], np.uint64).view(np.int64),
         }
 
-    pieces = arrow_pass(own_rows(hits), cut, "place bigint, head bigint, start bigint, windows bigint, anchor bigint, c1 bigint, c2 bigint, content binary")
+    pieces = arrow_pass(own_rows(hits), cut, "place bigint, head bigint, start bigint, windows bigint, anchor bigint, c1 bigint, c2 bigint, content binary", STEP)
     pieces = written(pieces, "repeats-pieces")
     where = F.struct("place", "head", "start", "windows", "content")
     firsts = pieces.groupBy("anchor", "c1", "c2").agg(F.min(where).alias("f"), F.max(F.struct("head", "start")).alias("l"), F.min(F.struct("head", "start")).alias("m"))
@@ -265,7 +267,7 @@ def remove(docs: DataFrame, unit: Unit, solve: Solver, first_stays: bool) -> Dat
         got = [kept(r, [(s["from"], s["to"]) for s in x], unit) for r, x in zip(texts(batch.column("text")), batch.column("spans").to_pylist())]
         return {"head": batch.column("head")} | dict(zip(["removed", "runs", "left"], zip(*got)))
 
-    trimmed = arrow_pass(own_rows(side), trim, "head bigint, removed bigint, runs bigint, left string").dropDuplicates(["head"])
+    trimmed = arrow_pass(own_rows(side), trim, "head bigint, removed bigint, runs bigint, left string", STEP).dropDuplicates(["head"])
     trimmed = written(heads.join(trimmed, "head", "left"), "repeats-trimmed")
     out = rows.drop("anchors", "self").join(trimmed.drop("place"), ["h1", "h2"])
     copied = F.col("row") != F.col("head") if first_stays else F.col("copies") > 1

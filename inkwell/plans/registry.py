@@ -1,5 +1,7 @@
 """All registered queries of the reference's operators, with their DuckDB SQL."""
 
+from inkwell.plans import retrieval
+
 FLAGSHIP = "h10_semantic_search"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES: dict = {**retrieval.QUERIES}
+SQL: dict = {**retrieval.SQL}

@@ -4,7 +4,8 @@ A window's anchor is the least hash of the k-grams inside it, so equal windows h
 Anchors that occur only once are dropped after one pre-aggregated count; what stands around the others is cut into
 pieces, runs of windows with one anchor. Equal pieces collapse to their first occurrence, and each distinct piece goes
 to the shard of its anchor, where the operator's own index (suffix automaton, suffix order) decides window by window.
-The pieces of a very frequent anchor are cut to single windows and dealt by window, so no shard grows with a hot passage.
+The pieces of a frequent anchor are cut further, down to single windows, by where the anchor stands in a window, and dealt
+by the stretch around the anchor that all windows of such a band hold; so no shard grows with a hot passage.
 
 Texts that repeat as a whole are one text to all of this; only their counts differ.
 """
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import arrow_pass, texts, written
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
-#: Occurrences from which an anchor's windows are dealt one by one.
-HOT = 2_000
+#: Levels of an anchor: occurrences above which it has the level, and bands that its windows are cut into at least.
+LEVELS = ((0, 0), (2_000, 4), (200_000, 1 << 20))
 FAR = (1 << 63) - 1
 #: Text that one step of a pass holds as arrays of 8 bytes a unit.
 STEP = 2 << 20
@@ -126,29 +127,50 @@ class Texts:
         cut = np.searchsorted(doc[heads], np.arange(len(self.raw) + 1))
         return [(value[heads[a:b]].view(np.int64), more[a:b]) for a, b in zip(cut, cut[1:])]
 
-    def pieces(self, hits: list[dict[int, bool]]) -> dict:
-        """Runs of whole windows that share an anchor among the text's hits (anchor to whether it is hot)."""
+    def pieces(self, hits: list[dict[int, int]]) -> dict:
+        """Runs of whole windows that share an anchor among the text's hits (anchor to its level); see LEVELS."""
         unit = self.unit
-        _, low, whole = self.anchors()
-        out = {n: [] for n in ("text", "start", "windows", "anchor", "content")}
+        g, low, _ = self.anchors()
+        out = {n: [] for n in ("text", "start", "windows", "anchor", "route", "content")}
         signed = low.view(np.int64)
         for k, own in enumerate(hits):
             a, b = int(self.first[k]), int(self.first[k + 1]) - unit.window + 1
             if b <= a or not own:
                 continue
             mine = signed[a:b]
-            keep = np.isin(mine, np.fromiter(own, np.int64, len(own)))
-            hot = np.fromiter((x for x, h in own.items() if h), np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], (mine[1:] != mine[:-1]) | (np.isin(mine[1:], hot) if len(hot) else False)]))
+            cuts = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
             stops = np.append(cuts[1:], len(mine))
-            for s, e in zip(cuts[keep[cuts]].tolist(), stops[keep[cuts]].tolist()):
-                out["text"].append(k)
-                out["start"].append(s)
-                out["windows"].append(e - s)
-                out["anchor"].append(int(mine[s]))
-                out["content"].append(self.cut(k, s, e + unit.window - 1))
+            keep = np.isin(mine[cuts], np.fromiter(own, np.int64, len(own)))
+            for s, e in zip(cuts[keep].tolist(), stops[keep].tolist()):
+                anchor = int(mine[s])
+                for start, end, core in self.bands(g, a, s, e, own[anchor]):
+                    out["text"].append(k)
+                    out["start"].append(start)
+                    out["windows"].append(end - start)
+                    out["anchor"].append(anchor)
+                    out["route"].append(xxhash.xxh64_intdigest(self.cut(k, *core)) - (1 << 63) if core else 0)
+                    out["content"].append(self.cut(k, start, end + unit.window - 1))
         return out
 
+    def bands(self, g: np.ndarray, at: int, s: int, e: int, level: int):
+        """(start, end, core) of the run of windows s to e of the text at unit `at`, cut by where the anchor stands in them.
+
+        A band holds the windows whose first anchor gram stands at one of `width` neighbouring offsets; all of them hold
+        its core, a stretch that stands at the same place from the anchor, so equal windows have equal cores.
+        """
+        if not level:
+            yield s, e, None
+            return
+        unit = self.unit
+        width = max(1, unit.window // LEVELS[level][1])
+        views = np.lib.stride_tricks.sliding_window_view(g[at + s : at + e + unit.span - 1], unit.span)
+        offset = views.argmin(1)
+        place, band = offset + np.arange(s, e), offset // width
+        cuts = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (band[1:] != band[:-1])])).tolist()
+        for i, j in zip(cuts, cuts[1:] + [e - s]):
+            head = int(place[i] - band[i] * width)
+            yield s + i, s + j, (head, head - width + 1 + unit.window)
+
     def cut(self, k: int, start: int, end: int) -> bytes:
         """Units start to end of text k: words joined by one space, or bytes."""
         at = int(self.first[k])
@@ -209,8 +231,8 @@ def remove(docs: DataFrame, unit: Unit, solve: Solver, first_stays: bool) -> Dat
 
     marks = rows.select("h1", "h2", F.explode(F.arrays_zip("anchors", "self")).alias("m")).select("h1", "h2", F.col("m.anchors").alias("anchor"), F.col("m.self").alias("self"))
     seen = marks.groupBy("anchor").agg(F.min("h1").alias("least"), F.max("h1").alias("most"), F.max("self").alias("self"), F.count("*").alias("n"))
-    again = written(seen.filter((F.col("least") < F.col("most")) | F.col("self")).select("anchor", (F.col("n") > HOT).alias("hot")), "repeats-anchors")
-    hits = marks.select("h1", "h2", "anchor").join(again, "anchor").groupBy("h1", "h2").agg(F.collect_set(F.struct("anchor", "hot")).alias("hits"))
+    again = written(seen.filter((F.col("least") < F.col("most")) | F.col("self")).select("anchor", F.when(F.col("n") > LEVELS[2][0], 2).when(F.col("n") > LEVELS[1][0], 1).otherwise(0).alias("level")), "repeats-anchors")
+    hits = marks.select("h1", "h2", "anchor").join(again, "anchor").groupBy("h1", "h2").agg(F.collect_set(F.struct("anchor", "level")).alias("hits"))
     hits = written(hits, "repeats-hits")
     hits = hits.join(heads.drop("copies"), ["h1", "h2"]).withColumnsRenamed({"h1": "t1", "h2": "t2", "place": "t3"})
 
@@ -219,7 +241,7 @@ def remove(docs: DataFrame, unit: Unit, solve: Solver, first_stays: bool) -> Dat
         return given.select("place", "h1", "h2", "text").join(side, same).drop("t1", "t2", "t3", "h1", "h2")
 
     def cut(batch):
-        hit = [{h["anchor"]: h["hot"] for h in x} for x in batch.column("hits").to_pylist()]
+        hit = [{h["anchor"]: h["level"] for h in x} for x in batch.column("hits").to_pylist()]
         out = Texts(texts(batch.column("text")), unit).pieces(hit)
         at = np.array(out.pop("text"), np.int64)
         hashes = [xxhash.xxh3_128_intdigest(c) for c in out["content"]]
@@ -228,17 +250,15 @@ def remove(docs: DataFrame, unit: Unit, solve: Solver, first_stays: bool) -> Dat
             "c1": np.array([h >> 64 for h in hashes], np.uint64).view(np.int64), "c2": np.array([h & (1 << 64) - 1 for h in hashes], np.uint64).view(np.int64),
         }
 
-    pieces = arrow_pass(own_rows(hits), cut, "place bigint, head bigint, start bigint, windows bigint, anchor bigint, c1 bigint, c2 bigint, content binary", STEP)
+    pieces = arrow_pass(own_rows(hits), cut, "place bigint, head bigint, start bigint, windows bigint, anchor bigint, route bigint, c1 bigint, c2 bigint, content binary", STEP)
     pieces = written(pieces, "repeats-pieces")
     where = F.struct("place", "head", "start", "windows", "content")
-    firsts = pieces.groupBy("anchor", "c1", "c2").agg(F.min(where).alias("f"), F.max(F.struct("head", "start")).alias("l"), F.min(F.struct("head", "start")).alias("m"))
-    firsts = firsts.select("anchor", "c1", "c2", "f.*", (F.col("l") != F.col("m")).alias("many"))
+    firsts = pieces.groupBy("anchor", "route", "c1", "c2").agg(F.min(where).alias("f"), F.max(F.struct("head", "start")).alias("l"), F.min(F.struct("head", "start")).alias("m"))
+    firsts = firsts.select("anchor", "route", "f.*", (F.col("l") != F.col("m")).alias("many"))
     firsts = written(firsts, "repeats-firsts")
     units = firsts.agg(F.sum(F.col("windows") + unit.window - 1)).first()[0] or 0
     shards = max(1, units // unit.shard)
-    spread = F.xxhash64("anchor", "c1", "c2")
-    hot = again.filter("hot").select("anchor", F.lit(True).alias("hot"))
-    dealt = firsts.join(hot, "anchor", "left").withColumn("shard", F.pmod(F.when(F.col("hot"), spread).otherwise(F.xxhash64("anchor")), F.lit(shards)))
+    dealt = firsts.withColumn("shard", F.pmod(F.xxhash64("anchor", "route"), F.lit(shards)))
 
     def decide(table: pa.Table) -> pa.Table:
         table = table.sort_by([("place", "ascending"), ("head", "ascending"), ("start", "ascending")])

@@ -8,8 +8,8 @@ from .media import op1_media_columns
 from .mixing import op8_mixing
 from .pii import op2_pii
 from .simhash import op6_simhash
-from .substrings import op3_substrings
-from .suffixes import op5_suffixes
+from .substrings import OP3_SQL, op3_substrings
+from .suffixes import OP5_SQL, op5_suffixes
 from .topk import OP4_SQL, op4_topk
 from .toxicity import op10_toxicity
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-SQL: dict[str, str] = {"op4_topk": OP4_SQL}
+SQL: dict[str, str] = {"op3_substrings": OP3_SQL, "op4_topk": OP4_SQL, "op5_suffixes": OP5_SQL}

@@ -243,3 +243,19 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
 def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(table(spark, sf_dir, "documents")).withColumnRenamed("n_units", "n_bytes")
+
+
+OP5_SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+win AS (SELECT doc_id, i, md5(substring(x, 2 * i - 1, 400)) AS k
+  FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 - 198)) AS i FROM b WHERE length(x) >= 400)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1),
+bytes AS (SELECT doc_id, p, substring(x, 2 * p - 1, 2) AS y FROM (SELECT doc_id, x, unnest(range(1, length(x) // 2 + 1)) AS p FROM b)),
+last AS (SELECT bytes.doc_id, p, y, coalesce(p - max(i) OVER (PARTITION BY bytes.doc_id ORDER BY p), 200) < 200 AS gone
+  FROM bytes LEFT JOIN again ON again.doc_id = bytes.doc_id AND i = p),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS head FROM last),
+done AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, string_agg(y, '' ORDER BY p) FILTER (NOT gone) AS kept FROM runs GROUP BY doc_id)
+SELECT b.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM b LEFT JOIN done ON done.doc_id = b.doc_id
+"""

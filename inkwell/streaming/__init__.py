@@ -1 +1 @@
-
+"""Nothing here: no operator of this library keeps state over a stream."""

@@ -12,6 +12,7 @@ broadcast of those ids alone; scoring is one Arrow pass over all texts without a
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -35,7 +36,8 @@ L1, RIDGE, STEPS = 3.0, 1e-4, (60, 200)
 #: Words whose features a task remembers.
 CACHE_WORDS = 500_000
 WORD = re.compile(r"[^\W\d_]+")
-_caches: dict[int, dict] = {}
+#: Features of words that carry weight in the model of this name; a worker outlives the models that it serves.
+_cache: dict[str, dict] = {}
 
 
 def features(word: str) -> list[int]:
@@ -187,12 +189,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     added = [("expected_severity", T.DoubleType()), ("severity", T.IntegerType()), ("p_toxic", T.DoubleType()), ("toxic", T.BooleanType())]
     kept = [f for f in docs.schema.fields if f.name not in {n for n, _ in added}]
-    weights = model.weights
+    weights, name = model.weights, uuid.uuid4().hex
 
     def step(batch):
-        cache: dict = _caches.setdefault(id(weights), {})
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
+        if name not in _cache or len(_cache[name]) > CACHE_WORDS:
+            _cache.clear()
+            _cache[name] = {}
+        cache = _cache[name]
         rows = []
         for raw in texts(batch.column("text")):
             counts: dict[int, int] = {}
@@ -212,9 +215,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_pass(docs.select(*[F.col(f"`{f.name}`") for f in kept]), step, schema)
 
 
-
-
-
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the model fitted on docs and labels doesn't call toxic, columns as they were."""
     names = docs.columns

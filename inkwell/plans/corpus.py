@@ -34,7 +34,7 @@ LINKS = f"""links AS (SELECT page_id, {RESOLVED} AS url, CAST(min(pos) AS INTEGE
 
 @query("s1_read_pages", r"SELECT page_id, CASE WHEN html IS NULL OR trim(regexp_replace(html, '\s+', ' ', 'g')) = '' THEN '[' || CAST(page_id AS VARCHAR) || '] blank content' END AS error, length(html) AS n FROM pages")
 def s1(spark, d):
-    return source.checked(table(spark, d, "pages"), "html", "page_id").select("page_id", "error", F.length("html").alias("n"))
+    return source.checked(table(spark, d, "pages"), "html", "page_id").select("page_id", "error", F.length("html").cast("bigint").alias("n"))
 
 
 @query("s2_links", f"WITH {LINKS} SELECT page_id, url, pos FROM links")
@@ -61,7 +61,7 @@ def s5(spark, d):
     return source.crawl_order(source.links(table(spark, d, "pages"), LINK), ["TH", "ing"])
 
 
-@query("s6_refresh_source", "SELECT source, count(*) AS n, sum(CASE WHEN source = 'src3' THEN 1 ELSE 0 END) AS refreshed FROM documents WHERE source <> 'src3' OR doc_id % 3 = 0 GROUP BY source")
+@query("s6_refresh_source", "SELECT source, count(*) AS n, CAST(sum(CASE WHEN source = 'src3' THEN 1 ELSE 0 END) AS BIGINT) AS refreshed FROM documents WHERE source <> 'src3' OR doc_id % 3 = 0 GROUP BY source")
 def s6(spark, d):
     path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-')}/store-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents").select("doc_id", "source", F.lit(0).alias("refreshed"))

@@ -198,7 +198,7 @@ def drop_near_copies(docs: DataFrame, most: int = MOST) -> DataFrame:
     placed = written(grouped(rows.select("doc_id", "fp", "row"), most), "simhash-grouped")
     first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("f"))
     first = written(first.select(F.col("f.row").alias("row")), "simhash-first")
-    return rows.join(first, "row", "left_semi").select(*[F.col("doc").getField(n).alias(n) for n in names])
+    return rows.join(first.hint("merge"), "row", "left_semi").select(*[F.col("doc").getField(n).alias(n) for n in names])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

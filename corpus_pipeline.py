@@ -8,11 +8,13 @@ mix takes twice has two rows.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, mixing, pii, simhash, toxicity
-from inkwell.llm.common import table, written
+from inkwell.llm.common import remove, scope, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +43,30 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs)
 
 
+#: Tables that the stage before has written on its way; its result is stored when the next stage begins.
+_spent: list[str] = []
+
+
+def _tidy(stage):
+    """The stage, which first removes what the stage before it left in the shared folder."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _spent)
+        with scope() as made:
+            out = stage(spark, docs, sf_dir)
+        _spent[:] = made
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", toxicity_stage),
-    ("simhash", simhash_stage),
-    ("pii", pii_stage),
-    ("mixing", mixing_stage),
-    ("bpe", bpe_stage),
+    ("toxicity", _tidy(toxicity_stage)),
+    ("simhash", _tidy(simhash_stage)),
+    ("pii", _tidy(pii_stage)),
+    ("mixing", _tidy(mixing_stage)),
+    ("bpe", _tidy(bpe_stage)),
 ]
 
 #: A learned classifier, a hash order and a tokenizer have no SQL form; tests compare run() with a plain version.

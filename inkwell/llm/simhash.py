@@ -8,6 +8,9 @@ the chain test of its start before the full Hamming check.
 Texts with equal fingerprints are one node, so groups of copies cost one row. Key buckets above BLOCK rows are split
 into pairs of blocks, each compared in a task of its own; a bucket yields a star for each linked cluster, never all
 pairs. Components are joined by alternating star contraction, each half written to the shared folder.
+
+Few near copies differ in so few bits, so `drop_near_copies` links more than op6 does: pairs that share a MinHash band
+are candidates, and those whose sets of five-word shingles have a Jaccard similarity of ALIKE or more are linked too.
 """
 
 from __future__ import annotations
@@ -25,6 +28,14 @@ from .common import arrow_pass, table, texts, written
 
 #: Words of a shingle, seed of its hash, and most differing bits of a link.
 SHINGLE, SEED, MOST = 4, 42, 4
+#: Words of a shingle and least Jaccard similarity of near copies; bands and minima of a band, which miss a pair at
+#: ALIKE with probability (1 - ALIKE ** MINIMA) ** BANDS, below 0.0001.
+WORDS, ALIKE, BANDS, MINIMA = 5, 0.8, 24, 5
+#: Text of a step that holds sets of shingles.
+SETS_BYTES = 1 << 20
+_RANDOM = np.random.default_rng(SEED)
+FACTORS, SHIFTS = (_RANDOM.integers(0, 1 << 64, (BANDS * MINIMA, 1), np.uint64) for _ in range(2))
+FACTORS |= np.uint64(1)
 #: Rows of a key bucket that one task compares at once.
 BLOCK = 1024
 #: (segments of the ring, segments that every chain shares exactly, segments after them, how many of those agree), by
@@ -177,26 +188,107 @@ def _star(pairs: DataFrame, moved) -> DataFrame:
     return written(joined.unionByName(lows.select("a", F.col("low").alias("b"))).filter("a <> b").distinct(), "simhash-edges")
 
 
+def rooted(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """A written table (fp, low, root): each fingerprint of rows, its smallest doc_id, and its component."""
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    roots = written(components(links(nodes, most)), "simhash-roots")
+    return written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-placed")
+
+
 def grouped(rows: DataFrame, most: int = MOST) -> DataFrame:
     """rows, a written table with doc_id and fp, with component_id: the smallest doc_id reachable by links.
 
     Null ids are linked like others but never the smallest while another id is there; repeated rows share a component;
     texts without words have fingerprint 0 and are linked like any other.
     """
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    roots = written(components(links(nodes, most)), "simhash-roots")
-    placed = written(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "simhash-placed")
+    placed = rooted(rows, most)
     lowest = written(placed.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-lowest")
     named = written(placed.join(lowest, "root").select("fp", "component_id"), "simhash-named")
     return rows.join(named, "fp", "left")
 
 
+def shingles(raw: bytes) -> np.ndarray:
+    """Sorted distinct hashes of a text's five-word shingles; a shorter text is one shingle."""
+    words = raw.lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + WORDS]), SEED) for i in range(max(1, len(words) - WORDS + 1))] if words else [], np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The keys of a set of shingles: one for each band of minima."""
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, (hashes[at : at + (1 << 12)] * FACTORS + SHIFTS).min(1))
+    raw = least.reshape(BANDS, MINIMA)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(raw)]
+
+
+def banded(rows: DataFrame) -> DataFrame:
+    """(node, fp, n, keys): the bands of each distinct text of rows (row, fp, text), and its shingles' number."""
+
+    def step(batch):
+        sets = [(raw, shingles(raw)) for raw in texts(batch.column("text"))]
+        digest = [xxhash.xxh64_intdigest(b" ".join(raw.lower().split())) - (1 << 63) for raw, _ in sets]
+        keys = [bands(h) if len(h) else [] for _, h in sets]
+        return {"node": batch.column("row"), "fp": batch.column("fp"), "digest": digest, "n": [len(h) for _, h in sets], "keys": keys}
+
+    # equal words give equal fingerprints, so one row stands for all copies
+    schema = "node bigint, fp bigint, digest bigint, n bigint, keys array<bigint>"
+    return arrow_pass(rows, step, schema, SETS_BYTES).dropDuplicates(["digest", "fp"]).drop("digest")
+
+
+def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b): the roots of those pairs (x, y, a, b) whose rows' texts reach ALIKE."""
+    text = rows.select("row", "text")
+    given = pairs.join(text.toDF("x", "left"), "x").join(text.toDF("y", "right"), "y").select("a", "b", "left", "right")
+
+    def step(batch):
+        sets: dict[bytes, np.ndarray] = {}
+        close = []
+        for one, two in zip(texts(batch.column("left")), texts(batch.column("right"))):
+            one, two = (sets[t] if t in sets else sets.setdefault(t, shingles(t)) for t in (one, two))
+            both = len(np.intersect1d(one, two, True))
+            close.append(both >= ALIKE * (len(one) + len(two) - both))
+        return {"a": batch.column("a"), "b": batch.column("b"), "close": close}
+
+    return arrow_pass(given, step, "a bigint, b bigint, close boolean", SETS_BYTES).filter("close").select("a", "b")
+
+
+def merged(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """A written table (fp, root): components of rows (row, doc_id, fp, text) by links and by near copies.
+
+    Buckets of a band first compare all their texts with the first one, then every pair that is still apart; a bucket
+    that has become one component drops out, so a large group of near copies doesn't cost its square.
+    """
+    roots = rooted(rows.select("doc_id", "fp"), most).select("fp", "root")
+    keyed = banded(rows.select("row", "fp", "text")).join(roots, "fp")
+    placed = written(keyed.select(F.explode("keys").alias("key"), "node", "n", "root"), "simhash-bands")
+    for star in (True, False):
+        apart = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min(F.struct("node", "n", "root")).alias("low")).filter("r <> s")
+        apart = written(apart.select("key", "low"), "simhash-apart")
+        placed = written(placed.join(apart, "key"), "simhash-open")
+        if star:
+            pairs = placed.select(F.col("low.node").alias("x"), F.col("node").alias("y"), F.col("low.root").alias("a"), F.col("root").alias("b"), F.col("low.n").alias("m"), "n")
+        else:
+            one = placed.select("key", F.col("node").alias("x"), F.col("root").alias("a"), F.col("n").alias("m"))
+            two = placed.select("key", F.col("node").alias("y"), F.col("root").alias("b"), "n")
+            pairs = one.join(two.hint("merge"), (one["key"] == two["key"]) & (F.col("x") < F.col("y")) & (F.col("a") != F.col("b"))).drop("key")
+        # sets whose sizes differ more can't reach ALIKE
+        pairs = pairs.filter((F.col("a") != F.col("b")) & (F.least("m", "n") >= ALIKE * F.greatest("m", "n"))).select("x", "y", "a", "b").distinct()
+        joined = components(alike(written(pairs, "simhash-pairs"), rows)).toDF("was", "to")
+        root = F.coalesce("to", "root").alias("root")
+        roots = written(roots.join(joined, F.col("root") == F.col("was"), "left").select("fp", root), "simhash-merged")
+        placed = placed.join(joined, F.col("root") == F.col("was"), "left").select("key", "node", "n", root)
+    return roots
+
+
 def drop_near_copies(docs: DataFrame, most: int = MOST) -> DataFrame:
-    """One row of docs for each component: that of the smallest doc_id, the first such row if it repeats."""
+    """One row of docs for each component of `merged`: that of the smallest doc_id, the first such row if it repeats."""
     names = docs.columns
     rows = written(fingerprints(docs, keep=True).withColumn("row", F.monotonically_increasing_id()), "simhash-docs")
-    placed = written(grouped(rows.select("doc_id", "fp", "row"), most), "simhash-grouped")
-    first = placed.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("f"))
+    roots = merged(rows.select("row", "doc_id", "fp", F.col("doc.text").cast("string").alias("text")), most)
+    placed = rows.select("doc_id", "fp", "row").join(roots, "fp")
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("f"))
     first = written(first.select(F.col("f.row").alias("row")), "simhash-first")
     return rows.join(first.hint("merge"), "row", "left_semi").select(*[F.col("doc").getField(n).alias(n) for n in names])
 

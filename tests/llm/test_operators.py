@@ -217,6 +217,35 @@ def test_hot_buckets_are_split(spark, monkeypatch):
     assert {r["root"] for r in simhash.components(simhash.links(nodes)).collect()} == {min(fps)}
 
 
+def test_near_copies_beyond_the_bits_are_dropped(spark):
+    rnd, texts = random.Random(11), []
+    for _ in range(12):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(100)]
+        for changed in (0, 1, 2, 3):
+            own = list(words)
+            for at in rnd.sample(range(10, 90), changed):
+                own[at] = f"x{rnd.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(96)} for t in texts]
+    bits, root = [simhash.fingerprint(t.encode()) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) or (bits[i] ^ bits[j]).bit_count() <= 4:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert any(root[i] == root[j] and (bits[i] ^ bits[j]).bit_count() > 4 for i in range(len(texts)) for j in range(i))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(docs).collect()) == sorted(set(root))
+
+
+def test_bands_meet_at_the_least_similarity():
+    rnd, met = np.random.default_rng(12), 0
+    for _ in range(300):
+        pool = rnd.integers(0, 1 << 64, 100, np.uint64)
+        met += bool({*enumerate(simhash.bands(pool[:90]))} & {*enumerate(simhash.bands(pool[10:]))})
+    assert met >= 299
+
+
 def test_licenses(spark, edge):
     phrases = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
     want = Counter()

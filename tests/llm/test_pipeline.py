@@ -28,3 +28,22 @@ def test_stages_keep_columns_and_their_decisions(spark, edge, tmp_path):
 
 def test_empty(spark, bare):
     assert corpus_pipeline.run(spark, bare).count() == 0
+
+
+def test_near_copies_beyond_four_bits_go_too(spark, edge, tmp_path):
+    """Two texts of the awkward rows are 8 bits apart and share 0.84 of their five-word shingles."""
+    steps = dict(staged(spark, edge, tmp_path))
+    rows = [(r["text"] or "").lower().split() for r in steps["toxicity"].collect()]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in rows]
+    bits, root = [simhash.fingerprint(" ".join(w).encode()) for w in rows], list(range(len(rows)))
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            close = (bits[i] ^ bits[j]).bit_count() <= 4
+            alike = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            far += alike and not close
+            if close or alike:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert far and steps["simhash"].count() == steps["pii"].count() == len(set(root))
+    assert steps["bpe"].count() == steps["mixing"].count()

@@ -1,8 +1,9 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
 Every source has a weight schedule over training time u in [0, 1], linear from its opening to its closing emphasis; the
-schedule's integral is the source's target. A source's documents stand in a fixed pseudo-random order, and a document
-whose words begin at share p of the source's demand is trained at the u where the integrated schedule reaches p. The
+schedule's integral is the source's target. A source's documents stand in a fixed pseudo-random order, which is gone
+through as often as the target asks, and a take whose words begin at share p of the source's taken words is trained at
+the u where the integrated schedule reaches p. So every source lasts from 0 to 1, whether it is cut or repeated. The
 whole mix is range-sorted by that position.
 
 Running totals inside a source come from two levels: sums by (source, hash bucket), then a window inside each bucket,
@@ -61,12 +62,13 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
 
 
 def mix(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Rows of docs (doc_id, text, source) with size, source_size, target, taken and position; other columns dropped.
+    """Rows of docs (doc_id, text, source) with size, source_size, target, taken, position and positions; others dropped.
 
     taken counts words: each document is taken floor(target / source_size) times in whole, and the rest of the target
     goes to documents in the order of a hash of (doc_id, text), the last of them in part. Null texts have size 0 and
-    are taken 0 times; a null source is a source of its own; repeated rows are ordered by their row number. position is
-    where the document's first words are trained, in [0, 1), or null for a document that is not taken.
+    are taken 0 times; a null source is a source of its own; repeated rows are ordered by their row number. positions are
+    where the first words of each take are trained, in [0, 1), and position is the first of them; both are null for a
+    document that is not taken.
     """
     return _mixed(_with_sizes(docs.select("doc_id", "text", "source")), buckets)
 
@@ -97,8 +99,10 @@ def _mixed(rows: DataFrame, buckets: int | None) -> DataFrame:
     extra = F.round(F.col("target")).cast("bigint") - times * F.col("source_size")
     part = F.least("size", F.greatest(F.lit(0).cast("bigint"), extra - start))
     out = out.withColumn("start", start).withColumn("taken", (times * F.col("size") + part).cast("bigint"))
-    share = F.col("start") / F.greatest("source_size", F.lit(1))
-    return out.withColumn("position", F.when(F.col("taken") > 0, reached(share, F.col("rank")))).drop("bucket", "inner", "before", "tie", "rank", "start")
+    out = out.withColumn("takes", (times + (part > 0).cast("bigint")).cast("int"))
+    at = lambda k: reached((k * F.col("source_size") + F.col("start")) / F.greatest(F.round("target"), F.lit(1)), F.col("rank"))
+    out = out.withColumn("positions", F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0), F.greatest("takes", F.lit(1)) - 1), at)))
+    return out.withColumn("position", F.get("positions", F.lit(0))).drop("bucket", "inner", "before", "tie", "rank", "start", "takes")
 
 
 def reached(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
@@ -127,10 +131,11 @@ def resample(docs: DataFrame) -> DataFrame:
     rows = inner.select(F.col("doc.doc_id").cast("bigint").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), sizes(F.col("doc.text")).alias("size"), F.xxhash64("doc.doc_id", F.coalesce("doc.text", F.lit(""))).alias("tie"), "row")
     plan = _mixed(written(rows, "mix-rows"), None)
     times = F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int")
-    plan = written(plan.select("row", "position", times.alias("times")).filter("times > 0"), "mix-taken")
-    out = inner.join(plan, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    plan = plan.select("row", "positions", times.alias("times")).filter("times > 0")
+    plan = plan.select("row", F.posexplode(F.coalesce(F.slice("positions", F.lit(1), F.col("times")), F.array(F.lit(None).cast("double")))).alias("copy", "position"))
+    out = inner.join(written(plan, "mix-taken"), "row")
     return out.orderBy(F.col("position").asc_nulls_last(), "row", "copy").select(*[F.col("doc").getField(n).alias(n) for n in names])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordered(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return ordered(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")

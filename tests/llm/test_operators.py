@@ -298,6 +298,32 @@ def test_mixing(spark, edge):
     assert one == two
 
 
+def test_each_source_follows_its_schedule(spark):
+    """Sources that are cut to less than their size and ones that are repeated, one of each schedule at least."""
+    rnd, sizes = random.Random(9), {"a": 300, "b": 900, "c": 700, "d": 400, "e": 200, "f": 1500}
+    rows = [(i, "w " * rnd.randrange(1, 9), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    got = mixing.mix(docs).collect()
+    assert {r["target"] < r["source_size"] for r in got} == {True, False}
+    for rank, s in enumerate(sorted(sizes)):
+        own = [r for r in got if r["source"] == s]
+        total = sum(r["taken"] for r in own)
+        assert abs(total - own[0]["target"]) <= 1 and max(r["source_size"] for r in own) == sum(r["size"] for r in own)
+        takes = [(p, min(r["size"], r["taken"] - k * r["size"])) for r in own for k, p in enumerate(r["positions"] or ())]
+        assert sum(n for _, n in takes) == total
+        a, b = mixing.SCHEDULES[rank % 3]
+        for u in (0.1, 0.25, 0.5, 0.75, 0.9, 1.0):
+            want = (a * u + (b - a) * u * u / 2) / ((a + b) / 2)
+            assert abs(sum(n for p, n in takes if p < u) / total - want) <= 10 / total, (s, u)
+    ids = [r["doc_id"] for r in mixing.resample(docs).collect()]
+    times = {r["doc_id"]: round(r["taken"] / r["size"]) for r in got}
+    assert sum(abs(Counter(ids)[k] - n) for k, n in times.items()) <= 2 * len(sizes)
+    twice = [k for k, n in times.items() if n > 1]
+    assert any(ids[i] != ids[i + 1] for i in range(len(ids) - 1) if ids[i] in twice)
+    half = [sum(rows[k][2] == s for k in ids[: len(ids) // 2]) / sum(rows[k][2] == s for k in ids) for s in sorted(sizes)]
+    assert half[0] > half[1] > half[2]
+
+
 def test_bpe(spark, edge):
     import tiktoken
     from public_tokenizers import PATTERN

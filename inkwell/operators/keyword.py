@@ -1,4 +1,9 @@
-"""Keyword retrieval for whole tables of queries."""
+"""Keyword retrieval for whole tables of queries.
+
+Chunks are (tbl, id, content, ...); rows without a tbl or an id take no part, a null content holds nothing, and a chunk
+that is stored twice is found twice. Queries are (query_id, query); of rows that share an id the smallest query counts,
+and a null or blank query finds nothing. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
@@ -7,30 +12,56 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
+from inkwell.operators import words as V
+from inkwell.sources.shared import written
 
-#: Queries that are matched in one pass over a chunk's lower-cased content, and queries up to which blocks are broadcast.
-QUERY_BLOCK, BROADCAST_QUERIES = 64, 100_000
 
+#: Longest words of a query among which the rarest is looked for.
+LONGEST = 3
 
-def matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """chunks x (query_id, query, words) of every query whose words a chunk all holds.
 
-    Queries are packed into blocks, so content is lower-cased once a block; blocks are broadcast while the queries are
-    few, which is counted first, and are otherwise dealt to chunks by a shuffle.
+def asked(queries: DataFrame) -> DataFrame:
+    """(query_id, query, words): the distinct lower-case keywords of each query that has any."""
+    low = F.array_distinct(F.transform(X.keywords(F.col("query")), lambda w: F.lower(w)))
+    rows = queries.filter("query_id IS NOT NULL").groupBy("query_id").agg(F.min("query").alias("query"))
+    return rows.withColumn("words", low).filter(F.size("words") > 0)
+
+
+def candidates(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """A written table (query_id, tbl, id): chunks that hold the rarest of a query's longest words, if these occur at all.
+
+    queries is what `asked` gives. The rarest word is known from the vocabulary, before any chunk is looked at; every
+    match holds it, so none is lost.
     """
-    words = queries.select("query_id", "query", X.keywords(F.col("query")).alias("words")).filter(F.size("words") > 0)
-    block = words.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(1 + words.count() // QUERY_BLOCK)).alias("block"))
-    blocks = block.agg(F.collect_list(F.struct("query_id", "query", F.transform("words", lambda w: F.lower(w)).alias("words"))).alias("q")).drop("block")
-    blocks = F.broadcast(blocks) if words.count() <= BROADCAST_QUERIES else blocks
-    low = F.lower("content")
-    hit = F.filter("q", lambda q: F.forall(q["words"], lambda w: F.contains(low, w)))
-    found = chunks.join(blocks, F.exists("q", lambda q: F.forall(q["words"], lambda w: F.contains(low, w))))
-    return found.withColumn("q", F.explode(hit)).select(*chunks.columns, F.col("q.query_id").alias("query_id"), F.col("q.query").alias("query"))
+    long = F.slice(F.sort_array(F.transform("words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))), False), 1, LONGEST)
+    each = queries.select("query_id", F.size(long).alias("needed"), F.explode(long).alias("s")).select("query_id", "needed", F.col("s.w").alias("word"))
+    found = written(V.holders(V.vocabulary(chunks, F.col("content")), each.select("word").distinct()), "keyword-found")
+    weight = found.groupBy("word").agg(F.sum("n").alias("n"))
+    rarest = each.join(weight, "word").groupBy("query_id", "needed").agg(F.count("*").alias("held"), F.min_by("word", F.struct("n", "word")).alias("word"))
+    keys = rarest.filter("held = needed").join(found, "word").select("query_id", "token")
+    placed = chunks.filter("tbl IS NOT NULL AND id IS NOT NULL").select("tbl", "id", F.explode(V.tokens(F.col("content"))).alias("token"))
+    return written(placed.join(keys, "token").select("query_id", "tbl", "id").distinct(), "keyword-near")
+
 
+def _verified(chunks: DataFrame, queries: DataFrame, *made: Column) -> DataFrame:
+    """candidates that hold all words of their query, with the columns made of content, once a chunk, and of the query."""
+    every = asked(queries)
+    near = candidates(chunks, every)
+    body = chunks.join(near.select("tbl", "id").distinct(), ["tbl", "id"], "left_semi").select("tbl", "id", F.lower("content").alias("low"), *made)
+    pairs = near.join(body, ["tbl", "id"]).join(every, "query_id")
+    return pairs.filter(F.forall("words", lambda w: F.contains("low", w)))
 
-def scored(found: DataFrame) -> DataFrame:
-    """Trigram similarity of content and query; computed only for rows that matched."""
-    return found.withColumn("score", F.round(X.jaccard(X.trigrams(F.col("content")), X.trigrams(F.col("query"))), 6))
+
+def matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, tbl, id) of every query and chunk that holds all words of the query, whatever the case."""
+    return _verified(chunks, queries).select("query_id", "tbl", "id")
+
+
+def scored(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """matches with score, the trigram similarity of content and query; trigrams are cut once a chunk and once a query."""
+    grams = asked(queries).select("query_id", X.trigrams(F.col("query")).alias("b"))
+    found = _verified(chunks, queries, X.trigrams(F.col("content")).alias("a")).select("query_id", "tbl", "id", "a")
+    return found.join(grams, "query_id").select("query_id", "tbl", "id", F.round(X.jaccard(F.col("a"), F.col("b")), 6).alias("score"))
 
 
 def best(rows: DataFrame, k: int, per: tuple[str, ...] = ("query_id",), score: str = "score") -> DataFrame:
@@ -43,41 +74,39 @@ def search(chunks: DataFrame, queries: DataFrame, k: int, where: Column | None =
     """(query_id, tbl, id, score, rank): k rows of each store, merged to k rows a query."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    rows = scored(matches(chunks if where is None else chunks.filter(where), queries)).select("query_id", "tbl", "id", "score")
+    rows = scored(chunks if where is None else chunks.filter(where), queries)
     return best(best(rows, k, ("query_id", "tbl")).drop("rank"), k)
 
 
 STOP = ("the", "of", "and", "to", "a", "in", "is", "for")
 
 
-def tokens(content: Column) -> Column:
+def terms(content: Column) -> Column:
     """Parts between non-letters and camel-case edges, lower-cased, without stop words."""
     parts = F.split(F.regexp_replace(content, r"(\p{Ll})(\p{Lu})", "$1 $2"), r"[^\p{L}\p{N}]+")
     return F.filter(F.transform(parts, lambda t: F.lower(t)), lambda t: (t != "") & ~t.isin(*STOP))
 
 
-def terms(chunks: DataFrame) -> DataFrame:
-    """(id, tbl, term, tf)."""
-    each = chunks.select("id", "tbl", F.explode(tokens(F.col("content"))).alias("term"))
-    return each.groupBy("id", "tbl", "term").agg(F.count("*").alias("tf"))
-
-
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, every_term: bool = True, k1: float = 1.2, b: float = 0.75, candidates: int = 50) -> DataFrame:
-    """BM25 over an inverted index, normalised to s / (s + 1); with every_term a chunk must hold all terms of a query.
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, every_term: bool = True, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """BM25 over an inverted index, normalised to s / (s + 1): the best k chunks of each query; with every_term a chunk
+    must hold all terms of the query.
 
     The index keeps only terms that some query asks for, and is aggregated before any further join. Of the corpus, two
     numbers (rows and mean length) go to every task.
     """
-    asked = terms(queries.select(F.col("query_id").alias("id"), F.lit("q").alias("tbl"), F.col("query").alias("content"))).select(F.col("id").alias("query_id"), "term")
-    needed = asked.groupBy("query_id").agg(F.count("*").alias("needed"))
-    each = chunks.select("id", "tbl", F.explode(tokens(F.col("content"))).alias("term"))
-    index = each.join(asked.select("term").distinct(), "term", "left_semi").groupBy("id", "tbl", "term").agg(F.count("*").alias("tf"))
+    needs = queries.filter("query_id IS NOT NULL").select("query_id", F.explode(terms(F.col("query"))).alias("term")).distinct()
+    needed = needs.groupBy("query_id").agg(F.count("*").alias("needed"))
+    placed = chunks.filter("tbl IS NOT NULL AND id IS NOT NULL")
+    each = placed.select("id", "tbl", F.explode(terms(F.col("content"))).alias("term"))
+    index = each.join(needs.select("term").distinct(), "term", "left_semi").groupBy("id", "tbl", "term").agg(F.count("*").alias("tf"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = chunks.select("id", "tbl", F.size(tokens(F.col("content"))).alias("length"))
+    lengths = placed.select("id", "tbl", F.size(terms(F.col("content"))).alias("length"))
     total = lengths.agg(F.count("*").alias("n"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean"))
-    rows = index.join(df, "term").join(asked, "term").join(lengths, ["id", "tbl"]).crossJoin(F.broadcast(total))
+    rows = index.join(df, "term").join(lengths, ["id", "tbl"]).crossJoin(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    sums = rows.groupBy("query_id", "tbl", "id").agg(F.sum(part).alias("s"), F.count("*").alias("held")).join(needed, "query_id")
-    sums = sums.filter(F.col("held") == F.col("needed")) if every_term else sums
-    return best(sums.withColumn("score", F.round(F.col("s") / (F.col("s") + 1), 6)).select("query_id", "tbl", "id", "score"), min(k, candidates))
+    parts = rows.select("term", "tbl", "id", part.alias("part")).join(needs, "term")
+    sums = parts.groupBy("query_id", "tbl", "id").agg(F.sum("part").alias("s"), F.count("*").alias("held"))
+    if every_term:
+        sums = sums.join(needed, "query_id").filter(F.col("held") == F.col("needed"))
+    return best(sums.select("query_id", "tbl", "id", F.round(F.col("s") / (F.col("s") + 1), 6).alias("score")), k)

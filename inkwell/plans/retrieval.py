@@ -28,10 +28,11 @@ TRIGRAMS = r"""list_distinct(flatten(list_transform(regexp_extract_all(lower({0}
 SIMILARITY = "round(CASE WHEN len(list_concat(a, b)) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 6)"
 DISTANCE = "round(list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])), 6)"
 
-MATCHED = f"""WITH {CHUNKS}, {KEYWORD_QUERIES}, words AS (SELECT query_id, query, {WORDS} AS words FROM queries),
+MATCHED = f"""WITH {CHUNKS}, {KEYWORD_QUERIES}, words AS (SELECT query_id, query, list_distinct(list_transform({WORDS}, lambda w: lower(w))) AS words FROM queries),
+low AS (SELECT *, lower(content) AS lc FROM chunks),
 found AS (
-  SELECT q.query_id, q.query, c.* FROM chunks c JOIN words q
-  ON len(q.words) > 0 AND len(list_filter(q.words, lambda w: NOT contains(lower(c.content), lower(w)))) = 0)"""
+  SELECT q.query_id, q.query, c.* FROM low c JOIN words q
+  ON len(q.words) > 0 AND len(list_filter(q.words, lambda w: NOT contains(c.lc, w))) = 0)"""
 KEYWORD = f"""{MATCHED}, sims AS (
   SELECT query_id, tbl, id, {TRIGRAMS.format('content')} AS a, {TRIGRAMS.format('query')} AS b FROM found),
 scored AS (SELECT query_id, tbl, id, {SIMILARITY} AS score FROM sims),
@@ -55,12 +56,12 @@ def k1(spark, d):
 
 @query("k2_all_keywords", f"{MATCHED} SELECT query_id, tbl, id FROM found")
 def k2(spark, d):
-    return keyword.matches(chunks(spark, d), keyword_queries(spark, d)).select("query_id", "tbl", "id")
+    return keyword.matches(chunks(spark, d), keyword_queries(spark, d))
 
 
 @query("k3_trigram_similarity", f"{KEYWORD} SELECT query_id, tbl, id, score FROM scored")
 def k3(spark, d):
-    return keyword.scored(keyword.matches(chunks(spark, d), keyword_queries(spark, d))).select("query_id", "tbl", "id", "score")
+    return keyword.scored(chunks(spark, d), keyword_queries(spark, d))
 
 
 @query("k4_keyword_top_k", f"{KEYWORD} {top('ktext', 10)}")

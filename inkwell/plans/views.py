@@ -32,13 +32,11 @@ CHUNKS = """chunks AS (
 
 
 def keyword_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, query): the first two words of each benchmark passage."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_extract("text", r"^(\S+\s+\S+)", 1).alias("query")).filter("query <> ''")
+    """(query_id, query): the whole text of each benchmark passage."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")).filter("trim(query) <> ''")
 
 
-KEYWORD_QUERIES = r"""queries AS (
-  SELECT item_id AS query_id, regexp_extract(text, '^(\S+\s+\S+)', 1) AS query FROM benchmark
-  WHERE regexp_extract(text, '^(\S+\s+\S+)', 1) <> '')"""
+KEYWORD_QUERIES = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE trim(text) <> '')"
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:

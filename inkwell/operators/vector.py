@@ -1,96 +1,179 @@
-"""Vector retrieval for whole tables of queries."""
+"""Vector retrieval for whole tables of queries.
+
+Stored rows are (tbl, id, vector), queries (query_id, vector). Rows and queries with a null key, or whose vector is null,
+empty or holds null or non-finite components, take no part; a zero vector scores 0 with everything; vectors of another
+length than the query's don't meet it. A row that is stored twice is found once. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
 from inkwell.operators.keyword import best
 
-#: Query vectors that one pass over the stored vectors answers.
-QUERY_BLOCK = 2_048
-#: Share of the lists, in hundredths, that a query probes: vectors without clusters need most of them for a recall of 0.9.
-PROBED = 75
+#: Queries that go to every task at once, and the most queries and rows that one task compares in a cell.
+QUERY_BLOCK, CELL_QUERIES, CELL_ROWS = 2_048, 2_048, 32_768
+#: Lists that hold each vector, and the share of the lists, in hundredths, that a query probes.
+COPIES, PROBED = 2, 40
+#: Rows that centroids are fitted on, and the most bytes of them that go to every task.
+SAMPLE_ROWS, CENTROID_BYTES = 50_000, 256 << 20
+FOUND = "query_id bigint, tbl string, id bigint, score double"
+
+
+def _sound(vector: str) -> Column:
+    return (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+
+def _rows(vectors: DataFrame) -> DataFrame:
+    keyed = vectors.filter(F.col("tbl").isNotNull() & F.col("id").isNotNull() & _sound("vector"))
+    return keyed.select("tbl", F.col("id").cast("bigint").alias("id"), X.doubles(F.col("vector")).alias("v"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.filter(F.col("query_id").isNotNull() & _sound("vector")).select(F.col("query_id").cast("bigint").alias("query_id"), X.doubles(F.col("vector")).alias("q"))
+
+
+def _units(column) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors by length of the vectors in a list column."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        m = column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        length = np.linalg.norm(m, axis=1, keepdims=True)
+        out[n] = at, np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+    return out
+
+
+class _Kept:
+    """The k best rows a query and store of all blocks seen so far."""
+
+    def __init__(self, ids: np.ndarray, units: dict, k: int):
+        self.ids, self.units, self.k, self.kept = ids, units, k, {}
+
+    def add(self, tbl, ids: np.ndarray, vectors) -> None:
+        tbl = np.array(tbl, object)
+        for n, (at, m) in _units(vectors).items():
+            if n not in self.units:
+                continue
+            own, q = self.units[n]
+            score = np.round(q @ m.T, 6)
+            for name in set(tbl[at].tolist()):
+                here = tbl[at] == name
+                s, i = score[:, here], np.broadcast_to(ids[at][here], (len(own), int(here.sum())))
+                if (name, n) in self.kept:
+                    s, i = (np.concatenate(x, 1) for x in zip(self.kept[name, n], (s, i)))
+                order = np.lexsort((i, -s), axis=1)[:, : self.k]
+                self.kept[name, n] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+
+    def table(self) -> pa.Table:
+        parts = [(np.repeat(self.ids[self.units[n][0]], s.shape[1]), [name] * s.size, i.ravel(), s.ravel()) for (name, n), (s, i) in self.kept.items()]
+        cols = [np.concatenate([p[c] for p in parts]) if parts else [] for c in range(4)]
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.float64())
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["query_id", "tbl", "id", "score"])
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
     """(query_id, tbl, id, score, rank): the k nearest rows of each store by cosine, merged to k rows a query.
 
-    vectors are (tbl, id, vector); null vectors take no part. Queries go out in blocks of bounded size; each partition
-    keeps its own k best rows a query and store, so only those are shuffled.
+    Up to QUERY_BLOCK queries go to every task, which keeps its own k best rows a query and store, so only those are
+    shuffled. More queries meet the rows in cells of bounded size, each compared by one task.
     """
-    rows = (vectors if where is None else vectors.filter(where)).filter("vector IS NOT NULL").select("tbl", "id", X.doubles(F.col("vector")).alias("vector"))
-    asked = queries.filter("vector IS NOT NULL").select("query_id", X.doubles(F.col("vector")).alias("vector"))
-    blocks = 1 + asked.count() // QUERY_BLOCK
-    found = None
-    for block in range(blocks):
-        own = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        own = own.toPandas()
-        part = _local(rows, own["query_id"].to_numpy(), np.array(own["vector"].tolist(), float), k)
-        found = part if found is None else found.unionByName(part)
-    return best(best(found, k, ("query_id", "tbl")).drop("rank"), k)
-
-
-def _local(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    norms = np.linalg.norm(queries, axis=1, keepdims=True) if len(ids) else queries
-    unit = np.divide(queries, norms, out=np.zeros_like(queries), where=norms > 0) if len(ids) else queries
-
-    def run(batches):
-        kept: dict[str, tuple] = {}
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            tbl = np.array(batch.column(0).to_pylist(), object)
-            key = batch.column(1).to_numpy()
-            matrix = np.array(batch.column(2).to_pylist(), float)
-            length = np.linalg.norm(matrix, axis=1, keepdims=True)
-            score = np.round(np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0) @ unit.T, 6).T
-            for name in sorted(set(tbl)):
-                own = np.flatnonzero(tbl == name)
-                s, i = score[:, own], np.broadcast_to(key[own], (len(ids), len(own)))
-                if name in kept:
-                    s, i = np.concatenate([kept[name][0], s], 1), np.concatenate([kept[name][1], i], 1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                kept[name] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        for name, (s, i) in kept.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, s.shape[1])), pa.array([name] * s.size, pa.string()), pa.array(i.ravel()), pa.array(s.ravel())],
-                names=["query_id", "tbl", "id", "score"],
-            )
-
-    return rows.mapInArrow(run, "query_id bigint, tbl string, id bigint, score double")
-
-
-def approximate(vectors: DataFrame, queries: DataFrame, k: int, lists: int | None = None, probes: int | None = None, seed: int = 7, sample_rows: int = 50_000) -> DataFrame:
+    rows, asked = _rows(vectors if where is None else vectors.filter(where)), _asked(queries)
+    few = asked.limit(QUERY_BLOCK + 1).toArrow()
+    if few.num_rows > QUERY_BLOCK:
+        one = F.lit(0).alias("cell")
+        found = _in_cells(rows.select("*", one), asked.select("*", one), k)
+    else:
+        ids, units = few["query_id"].to_numpy(), _units(few["q"])
+
+        def run(batches):
+            kept = _Kept(ids, units, k)
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    kept.add(batch["tbl"].to_pylist(), batch["id"].to_numpy(), batch["v"])
+            yield from kept.table().to_batches()
+
+        found = rows.mapInArrow(run, FOUND)
+    return _merged(found, k)
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    return best(best(found.distinct(), k, ("query_id", "tbl")).drop("rank"), k)
+
+
+def _in_cells(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """FOUND rows: the k best of every block of rows for every block of queries of the same cell.
+
+    A cell's rows and queries are cut into blocks by a hash; sizes are counted first, so a cell with a third of all
+    rows is many blocks.
+    """
+    count = F.count("*").alias
+    blocks = rows.groupBy("cell").agg(count("n")).join(asked.groupBy("cell").agg(count("m")), "cell")
+    blocks = blocks.select("cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("rb"), F.ceil(F.col("m") / CELL_QUERIES).cast("int").alias("qb"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("tbl", "id"), "rb").cast("int").alias("r"), every("qb").alias("c"), "tbl", "id", "v")
+    right = asked.join(blocks, "cell").select("cell", every("rb").alias("r"), F.pmod(F.xxhash64("query_id"), "qb").cast("int").alias("c"), "query_id", "q")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        kept = _Kept(right["query_id"].to_numpy(), _units(right["q"]), k) if right.num_rows else _Kept(np.zeros(0, np.int64), {}, k)
+        if left.num_rows and right.num_rows:
+            kept.add(left["tbl"].to_pylist(), left["id"].to_numpy(), left["v"])
+        return kept.table()
+
+    return left.groupBy("cell", "r", "c").cogroup(right.groupBy("cell", "r", "c")).applyInArrow(run, FOUND)
+
+
+def approximate(vectors: DataFrame, queries: DataFrame, k: int, lists: int | None = None, probes: int | None = None, seed: int = 7, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """search over the lists of the nearest centroids alone.
 
-    Centroids are fitted on at most sample_rows normalised vectors, chosen by a hash of their id; every vector is then
-    put on the list of its nearest centroid. Queries meet vectors by a join on the list. By default there is a list for
-    400 rows up to 100 lists, and one for 1000 rows beyond; probes are PROBED of the lists, 10 at least.
+    Centroids are fitted on about sample_rows normalised vectors, chosen by a hash of their id; every vector is then
+    put on the lists of its COPIES nearest centroids, and a query probes the lists of its own nearest ones. Lists and
+    queries meet in cells of bounded size. By default there is a list for 40 rows up to 100 lists, one for 1000 rows up
+    to a million rows, and the square root of the rows beyond; PROBED of them are probed.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = vectors.filter("vector IS NOT NULL").select("tbl", "id", X.l2_normalise(F.col("vector")).alias("v"))
-    asked = queries.filter("vector IS NOT NULL").select("query_id", X.l2_normalise(F.col("vector")).alias("q"))
+    rows, asked = _rows(vectors), _asked(queries)
     n = rows.count()
-    lists = lists or max(2, min(100, n // 400) if n <= 100_000 else n // 1000)
-    probes = probes or max(10, -(-lists * PROBED // 100))
-    sample = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (1 << 20) * min(1.0, sample_rows / max(n, 1)))
-    model = KMeans(k=max(2, min(lists, n)), seed=seed, maxIter=10, featuresCol="features").fit(sample.select(array_to_vector("v").alias("features")))
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-
-    def nearest(v: Column, some: int) -> Column:
-        each = F.array(*[F.struct((-X.dot(v, F.array(*map(F.lit, c)))).alias("d"), F.lit(i).alias("list")) for i, c in enumerate(centres)])
-        return F.transform(F.slice(F.array_sort(each), 1, some), lambda x: x["list"])
-
-    stored = model.transform(rows.withColumn("features", array_to_vector("v"))).select("tbl", "id", "v", F.col("prediction").alias("list"))
-    probed = asked.withColumn("list", F.explode(nearest(F.col("q"), probes)))
-    scores = stored.join(probed, "list").select("query_id", "tbl", "id", F.round(X.dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return best(best(scores, k, ("query_id", "tbl")).drop("rank"), k)
+    if n == 0:
+        return search(vectors, queries, k)
+    lists = lists or max(2, min(100, n // 40), min(n // 1000, isqrt(n)))
+    probes = probes or -(-lists * PROBED // 100)
+    share = int((1 << 20) * min(1.0, sample_rows / n))
+    sample = rows.filter(F.pmod(F.xxhash64("tbl", "id"), F.lit(1 << 20)) < share).select(array_to_vector(X.l2_normalise(F.col("v"))).alias("features"))
+    if min(lists, n) < 2 or not sample.take(2):
+        return search(vectors, queries, k)
+    centres = np.array(KMeans(k=min(lists, n), seed=seed, maxIter=10).fit(sample).clusterCenters(), float)
+    if centres.nbytes > CENTROID_BYTES:
+        raise ValueError("these centroids are too large for every task; ask for fewer lists")
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
+
+    def listed(table: DataFrame, column: str, some: int) -> DataFrame:
+        """table with `cell`: a row for each of the nearest lists of its vector."""
+        names = [*table.columns, "cell"]
+
+        def run(batches):
+            for batch in batches:
+                for size, (at, m) in _units(batch[column]).items():
+                    if size != centres.shape[1]:
+                        continue
+                    near = np.argsort(-(m @ centres.T), axis=1, kind="stable")[:, :some]
+                    yield pa.RecordBatch.from_arrays([*batch.take(pa.array(np.repeat(at, near.shape[1]))).columns, pa.array(near.ravel().astype(np.int32))], names=names)
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema.fields)
+        return table.mapInArrow(run, f"{kinds}, cell int")
+
+    return _merged(_in_cells(listed(rows, "v", COPIES), listed(asked, "q", probes), k), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -91,6 +91,38 @@ def test_contexts_find_identifiers_that_no_pattern_finds(spark):
     assert red[900] == "please wire to account [CARD] today" and red[901] == "the year 20240101 was long"
 
 
+def hidden_identifiers(rnd):
+    """(doc_id, text, hidden identifier or None): half the identifiers of two kinds have a shape that no pattern finds."""
+    word = lambda n: " ".join(rnd.choice("alpha beta gamma delta omega the of and to".split()) for _ in range(n))
+    rows = []
+    for i in range(120):
+        hidden = f"user{i}(at)intranet" if i % 2 else None
+        rows.append((i, f"{word(5)} please mail me at {hidden or f'u{i}@host{i}.example.com'} for details {word(5)}", hidden))
+    for i in range(120, 180):
+        hidden = f"020 7946 {i:04d}" if i % 2 else None
+        rows.append((i, f"{word(5)} ring us on {hidden or f'+1 (555) 010-{i:04d}'} before noon {word(5)} {i}", hidden))
+    for i in range(180, 220):
+        rows.append((i, f"he will mail me at home {word(20)} home alone, see you at noon on {i}", None))
+    return rows
+
+
+def test_held_out_identifiers_come_back(spark):
+    """All hidden identifiers are found and nothing else is, though ordinary words stand in the same slots."""
+    rows = hidden_identifiers(random.Random(1))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(3)
+    docs = docs.unionByName(docs.filter("doc_id % 7 = 0"))
+    found = {r["doc_id"]: {rows[r["doc_id"]][1][s["start"] : s["end"]] for s in r["all"]} - {rows[r["doc_id"]][1][s["start"] : s["end"]] for s in r["base"]} for r in pii.identify(docs).collect()}
+    assert found == {i: {hidden} if hidden else set() for i, _, hidden in rows}
+
+
+def test_contexts_without_regularity_find_nothing(spark, sf):
+    """The corpus has its identifiers between random words, so no pattern is confident and only base spans stay."""
+    docs = table(spark, sf, "documents")
+    assert pii.bootstrap(docs.select("text"), pii.scan(docs))[0] is None
+    for r in pii.op2_pii(spark, sf).join(docs, "doc_id").collect():
+        assert r["spans"] == ",".join(f"{list(BASE)[k]}:{a}:{b}" for a, k, b in plain_spans(r["text"] or ""))
+
+
 def distinct_first(rows):
     """Rows in corpus order: by id, null last."""
     return sorted(((math.inf if k is None else k, i, (t or "").encode(), k) for i, (k, t, *_) in enumerate(rows)), key=lambda r: (r[0], r[1]))

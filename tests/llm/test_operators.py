@@ -289,14 +289,59 @@ def test_licenses(spark, edge):
     got = licenses.op7_licenses(spark, edge)
     assert bag(got, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == want
     row = got.filter("doc_id = 7").first()
-    assert row["labels"] == "cc-by,cc-by-4.0,mit,reserved" and 0 < row["score"] <= 1
+    assert row["labels"] == "cc-by,cc-by-4.0-reference,mit-reference,reserved" and 0 < row["score"] <= 1
+
+
+def as_pattern(markup):
+    """The same language as a regular expression over words that each end in a blank."""
+    out = []
+    for token in re.findall(r"<<optional>>|<<end>>|<<var \d+-\d+>>|\w+", markup):
+        var = re.match(r"<<var (\d+)-(\d+)>>", token)
+        out.append({"<<optional>>": "(?:", "<<end>>": ")?"}.get(token) or (rf"(?:\S+ ){{{var[1]},{var[2]}}}" if var else f"{token} "))
+    return re.compile("".join(out))
+
+
+def plain_licenses(text):
+    """Labels and share of covered words by trying every start and end of every template."""
+    words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    labels, covered = set(), set()
+    for label, pattern in [(x, as_pattern(m)) for x, m in licenses.TEMPLATES] + [(x, re.compile("".join(f"{w} " for w in p))) for p, x in licenses.PHRASES.items()]:
+        for i in range(len(words)):
+            ends = [j for j in range(i + 1, min(len(words), i + 400) + 1) if pattern.fullmatch("".join(f"{w} " for w in words[i:j]))] if pattern.match("".join(f"{w} " for w in words[i : i + 400])) else []
+            if ends:
+                labels.add(label)
+                covered.update(range(i, max(ends)))
+    return ",".join(sorted(labels)), len(covered) / len(words) if words else 0.0
+
+
+def licence_texts():
+    """Each template with its optional and replaceable regions left out, filled, and with one mandatory word changed."""
+    rnd, out = random.Random(13), []
+    for label, markup in licenses.TEMPLATES:
+        least = re.sub(r"<<var (\d+)-\d+>>", lambda m: "x1 " * int(m[1]), re.sub(r"<<optional>>[^<]*(?:<<(?:optional|var)[^<]*(?:<<end>>)?[^<]*)*?<<end>>", "", markup))
+        most = re.sub(r"<<var \d+-(\d+)>>", lambda m: "y2 " * int(m[1]), markup).replace("<<optional>>", "").replace("<<end>>", "")
+        words = most.split()
+        at = rnd.randrange(1, len(words) - 1)
+        out += [f"Before. {least.upper()}. After", f"x {most} y", " ".join([*words[:at], "changed", *words[at + 1 :]])]
+    return out
+
+
+def test_labels_and_scores_equal_brute_force(spark, edge):
+    rows = list(enumerate([*licence_texts(), *[t for _, t, *_ in edge_rows() if t and len(t) < 2000]]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in licenses.licenses(docs).collect():
+        labels, score = plain_licenses(rows[r["doc_id"]][1])
+        assert r["labels"] == labels and r["score"] == pytest.approx(score), rows[r["doc_id"]]
 
 
 def test_templates_want_their_mandatory_words():
     label = lambda t: {x[2] for x in licenses.matches(t.encode().split())[1]}
-    assert "apache-2.0" in label("licensed under the apache license version 2 0")
-    assert "apache-2.0" in label("licensed under the apache license 2")
-    assert label("licensed under an apache license 2") == set()
+    for name, markup in licenses.TEMPLATES:
+        mandatory = licenses.Automaton(name, markup).mandatory
+        assert any(a in w for a in licenses.ANCHORS for w in mandatory), name
+    first = dict(licenses.TEMPLATES)["mit"].split("copies of the software and")[0].split("<<end>>")[-1]
+    assert label(first) == set() and label("licensed under an mit license") == set()
+    assert label("licensed under the apache license version 2 0") == {"apache-2.0-reference"}
     assert "copyright-notice" in label("copyright c 2020 some holder ltd all rights reserved")
     assert "copyright-notice" not in label("copyright all rights reserved")
 

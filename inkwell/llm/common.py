@@ -1,37 +1,24 @@
-"""Helpers that the training-data operators share: the shared folder, written tables, Arrow passes."""
+"""Helpers that the training-data operators share: tables written and removed, Arrow passes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_OWN: dict[str, str] = {}
+from inkwell.sources.shared import fresh_path, remove, shared_dir
+
+__all__ = ["arrow_pass", "fresh_path", "remove", "scope", "shared_dir", "table", "texts", "tidy", "written"]
 #: Paths of the tables written inside each open scope.
 _SCOPES: list[list[str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one of this process where it is unset."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _OWN[app]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/inkwell-{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: cuts lineage, and a lost executor costs only a reread."""
     path = fresh_path(df.sparkSession, name)
@@ -51,10 +38,21 @@ def scope() -> Iterator[list[str]]:
         _SCOPES.pop()
 
 
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def tidy(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The job, whose tables are removed before it returns, but for those that the frame it returns still reads."""
+
+    @wraps(job)
+    def run(*args, **kwargs) -> DataFrame:
+        with scope() as made:
+            out = job(*args, **kwargs)
+        read = out.inputFiles()
+        used = [path for path in made if any(path.rsplit("/", 1)[-1] in f for f in read)]
+        remove(out.sparkSession, [path for path in made if path not in used])
+        if _SCOPES:
+            _SCOPES[-1].extend(used)
+        return out
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,10 +73,19 @@ def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | di
             for part in pieces(batch, piece_bytes):
                 cols = fn(part)
                 yield pa.RecordBatch.from_arrays([_column(cols[f.name], f.type) for f in out], schema=out)
+        _release()
 
     return df.mapInArrow(run, schema)
 
 
+def _release() -> None:
+    """Give freed memory back to the system, so that a worker that other stages use again begins small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     step = max(1, int(n * most / max(batch.nbytes, 1)))

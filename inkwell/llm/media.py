@@ -4,7 +4,7 @@
 their content and written once a shard; the rows carry shard, digest, offset and length. ``read_headers`` fills the
 metadata columns from range reads of the PNG signature and IHDR alone; ``read_payloads`` reads whole members back.
 
-Nothing is shuffled and a task holds one batch and one shard's digests. A shard is named by its task attempt and only
+Only manifest rows are shuffled, to even out the reading tasks, and a task holds one batch and one shard's digests. A shard is named by its task attempt and only
 the manifest of the attempt that Spark commits is ever read, so a lost executor leaves at most an unreferenced file.
 """
 
@@ -30,6 +30,8 @@ from .common import arrow_pass, fresh_path, table, texts
 UNIT, WIDTH = 576, 24
 #: A shard is closed once it holds this many bytes.
 SHARD_BYTES = 128 << 20
+#: Bytes of members that a reading task is meant for.
+READ_BYTES = 32 << 20
 #: PNG signature, then the IHDR chunk: all that the metadata columns need.
 HEADER_BYTES = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -109,7 +111,8 @@ def store(docs: DataFrame, folder: str) -> DataFrame:
     """Write payloads of (doc_id, text) to tar shards under folder; return the manifest, a written table.
 
     A null text is an empty payload; repeated rows and equal texts of a shard share one member; other columns are
-    left alone. An empty table gives an empty manifest.
+    left alone. A very long text is one member. An empty table gives an empty manifest. Copies in different shards are
+    stored once each: finding them would shuffle every payload's digest before a byte is written.
     """
 
     def run(batches):
@@ -151,6 +154,16 @@ def _ranges(folder: str, shards: list, offsets: list, lengths: list):
         handle.close()
 
 
+def dealt(manifest: DataFrame) -> DataFrame:
+    """The manifest by stretches of READ_BYTES of its shards, a task for each, members in their order.
+
+    Reading tasks follow the stored bytes, not the manifest's own size, which is a small fraction of them.
+    """
+    total = manifest.agg(F.sum("length")).first()[0] or 0
+    stretch = (F.col("offset") / READ_BYTES).cast("bigint")
+    return manifest.repartition(max(1, -(-total // READ_BYTES)), "shard", stretch).sortWithinPartitions("shard", "offset")
+
+
 def read_headers(manifest: DataFrame, folder: str) -> DataFrame:
     """The manifest with format, width, height and bit_depth, from HEADER_BYTES at each member's offset."""
     fields = [f.strip().split() for f in MANIFEST.split(",")]
@@ -197,5 +210,5 @@ def read_payloads(rows: DataFrame, folder: str) -> DataFrame:
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh_path(spark, "shards")
     manifest = store(table(spark, sf_dir, "documents").select("doc_id", "text"), folder)
-    rows = read_payloads(read_headers(manifest, folder), folder)
+    rows = read_payloads(read_headers(dealt(manifest), folder), folder)
     return rows.select("doc_id", "n_bytes", *[f.split()[0] for f in READ.split(", ")], F.col("digest").alias("member"), "format", "width", "height", "bit_depth")

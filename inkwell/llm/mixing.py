@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidy, written
 
 #: Fixed by the mix: weights by source order, and the most that a source may be repeated.
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
@@ -119,6 +119,7 @@ def ordered(mixed: DataFrame) -> DataFrame:
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id", "row")
 
 
+@tidy
 def resample(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: a row for each time that a document is taken, in training order.
 
@@ -137,5 +138,6 @@ def resample(docs: DataFrame) -> DataFrame:
     return out.orderBy(F.col("position").asc_nulls_last(), "row", "copy").select(*[F.col("doc").getField(n).alias(n) for n in names])
 
 
+@tidy
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "position", "positions")

@@ -25,8 +25,9 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import arrow_pass, table, texts, written
+from .common import arrow_pass, table, texts, tidy, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Production parameters: least known instances and texts of a pattern, least confidence of a pattern, least share of an
@@ -170,9 +171,8 @@ SPAN = "struct<start:bigint,ord:int,end:bigint>"
 ROWS = f"doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, base array<{SPAN}>, seen array<struct<instance:string,kind:string,patterns:array<bigint>>>, t1 bigint, t2 bigint"
 
 
-def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """A written table of ROWS for every row of docs, with the columns named in keep."""
-    kept = [f for f in docs.schema.fields if f.name in keep]
+def scan(docs: DataFrame) -> DataFrame:
+    """A written table of ROWS for every row of docs."""
 
     def step(batch):
         rows = []
@@ -183,11 +183,10 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             said = ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base)
             rows.append((key, *n, hashlib.sha256(said.encode()).hexdigest(), [{"start": a, "ord": k, "end": b} for a, k, b in base], seeds(text, base), *digest(raw)))
         names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "seen", "t1", "t2"]
-        return dict(zip(names, zip(*rows))) | {f"k_{f.name}": batch.column(f.name) for f in kept}
+        return dict(zip(names, zip(*rows)))
 
-    given = docs.select(F.col("doc_id").cast("bigint").alias("__key"), F.col("text").cast("string").alias("__text"), *[F.col(f"`{f.name}`") for f in kept])
-    schema = ROWS + "".join(f", `k_{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return written(arrow_pass(given, step, schema), "pii-rows")
+    given = docs.select(F.col("doc_id").cast("bigint").alias("__key"), F.col("text").cast("string").alias("__text"))
+    return written(arrow_pass(given, step, ROWS), "pii-rows")
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
@@ -290,40 +289,56 @@ def bootstrap(docs: DataFrame, rows: DataFrame, support: int = SUPPORT, confiden
         known = written(known.unionByName(more.select(known.columns)), "pii-known")
 
 
-def identify(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def _found(docs: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(t1, t2, found): the spans that the method adds to texts; None if it adds none."""
+    found, _ = bootstrap(docs.select("text").filter("text IS NOT NULL"), rows)
+    if found is None:
+        return None
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    return found.groupBy("t1", "t2").agg(F.collect_set(F.struct(F.col("start"), place.alias("ord"), F.col("end"))).alias("found"))
+
+
+@tidy
+def identify(docs: DataFrame) -> DataFrame:
     """Every row of docs with counts and digest of its base spans and `all`, its base and found spans in order.
 
     A null or empty text has no spans; a very long one is a step of its own; repeated rows are kept; an empty table
-    gives an empty one; columns of docs other than those in keep are dropped, kept ones are prefixed k_.
+    gives an empty one; other columns of docs are dropped.
     """
-    rows = scan(docs, keep)
-    found, _ = bootstrap(docs.select("text").filter("text IS NOT NULL"), rows)
-    if found is None:
+    rows = scan(docs)
+    spans = _found(docs, rows)
+    if spans is None:
         return rows.drop("seen", "t1", "t2").withColumn("all", F.col("base"))
-    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    spans = found.groupBy("t1", "t2").agg(F.collect_set(F.struct(F.col("start"), place.alias("ord"), F.col("end"))).alias("found"))
     both = rows.drop("seen").join(spans, ["t1", "t2"], "left").drop("t1", "t2")
     return both.withColumn("all", F.array_sort(F.concat("base", F.coalesce("found", F.expr(f"cast(array() AS array<{SPAN}>)"))))).drop("found")
 
 
+@tidy
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of its text replaced by its kind in brackets; columns and rows stay as they are."""
     names = docs.columns
-    rows = identify(docs, tuple(names))
-    given = rows.select(*[F.col(f"`k_{n}`").alias(n) for n in names], F.col("all").alias("__spans"))
+    spans = _found(docs, scan(docs.select("doc_id", "text")))
+    given = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), F.col("text").cast("string").alias("text"))
+    if spans is None:
+        given = given.withColumn("found", F.expr(f"cast(NULL AS array<{SPAN}>)"))
+    else:
+        half = lambda k: F.conv(F.substring(F.sha2("text", 256), 1 + 16 * k, 16), 16, -10).cast("bigint")
+        given = given.withColumns({"t1": half(0), "t2": half(1)}).join(spans, ["t1", "t2"], "left").select("doc", "text", "found")
 
     def step(batch):
         out = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
+        for text, found in zip(batch.column("text").to_pylist(), batch.column("found").to_pylist()):
             parts, at = [], 0
-            for s in spans if text is not None else ():
-                if s["end"] > at:
-                    parts += [text[at : max(at, s["start"])], f"[{KINDS[s['ord']].upper()}]" if s["start"] >= at else ""]
-                    at = s["end"]
+            for a, k, b in sorted(base_spans(text) + [(s["start"], s["ord"], s["end"]) for s in found or ()]) if text is not None else ():
+                if b > at:
+                    parts += [text[at : max(at, a)], f"[{KINDS[k].upper()}]" if a >= at else ""]
+                    at = b
             out.append(None if text is None else "".join(parts) + text[at:])
-        return {n: batch.column(n) for n in names} | {"text": out}
+        return {"doc": batch.column("doc"), "text": out}
 
-    return arrow_pass(given, step, docs.schema)
+    schema = T.StructType([given.schema["doc"], given.schema["text"]])
+    masked = arrow_pass(given, step, schema)
+    return masked.select(*[F.col("text" if n == "text" else f"doc.`{n}`").cast(docs.schema[n].dataType).alias(n) for n in names])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,10 +4,11 @@ A window's anchor is the least hash of the k-grams inside it, so equal windows h
 Anchors that occur only once are dropped after one pre-aggregated count; what stands around the others is cut into
 pieces, runs of windows with one anchor. Equal pieces collapse to their first occurrence, and each distinct piece goes
 to the shard of its anchor, where the operator's own index (suffix automaton, suffix order) decides window by window.
-The pieces of a frequent anchor are cut further, down to single windows, by where the anchor stands in a window, and dealt
+The pieces of a frequent anchor are cut further, into bands, by where the anchor stands in a window, and dealt
 by the stretch around the anchor that all windows of such a band hold; so no shard grows with a hot passage.
 
-Texts that repeat as a whole are one text to all of this; only their counts differ.
+Texts that repeat as a whole are one text to all of this; only their counts differ. They are known by 128 bits of their
+SHA-256, as equal pieces are by 128 bits of a hash of theirs.
 """
 
 from __future__ import annotations
@@ -22,11 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, texts, written
+from .common import arrow_pass, texts, tidy, written
 
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 #: Levels of an anchor: occurrences above which it has the level, and bands that its windows are cut into at least.
-LEVELS = ((0, 0), (2_000, 4), (200_000, 1 << 20))
+LEVELS = ((0, 0), (2_000, 4), (200_000, 8))
 FAR = (1 << 63) - 1
 #: Text that one step of a pass holds as arrays of 8 bytes a unit.
 STEP = 2 << 20
@@ -204,17 +205,20 @@ def kept(raw: bytes, spans: list[tuple[int, int]], unit: Unit) -> tuple[int, int
 Solver = Callable[[list[tuple[bytes, bool]], Unit], list[list[int]]]
 
 
+@tidy
 def remove(docs: DataFrame, unit: Unit, solve: Solver, first_stays: bool) -> DataFrame:
     """(doc_id, n_units, n_removed, n_spans, kept_sha256) of every row of docs (doc_id, text).
 
     A unit goes if a window over it also stands elsewhere: earlier if first_stays, else anywhere. solve gets a shard's
     distinct pieces in corpus order, each with whether it occurs more than once, and returns the windows of each piece
-    that other places hold. Null texts are empty; null ids come last; rows that repeat an id are ordered by content.
+    that other places hold. Null texts are empty; a very long text is a step of its own; null ids come last; rows that
+    repeat an id or a whole text are rows of their own; an empty table gives an empty one; other columns are dropped.
     """
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(FAR))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("place"), body.alias("text"))
-    given = given.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64("text", F.lit(1)))
+    half = lambda k: F.conv(F.substring(F.sha2("text", 256), 1 + 16 * k, 16), 16, -10).cast("bigint")
+    given = given.withColumns({"h1": half(0), "h2": half(1)})
 
     def measure(batch):
         raw = texts(batch.column("text"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, table, texts, written
+from .common import arrow_pass, table, texts, tidy, written
 
 #: Words of a shingle, seed of its hash, and most differing bits of a link.
 SHINGLE, SEED, MOST = 4, 42, 4
@@ -113,7 +113,7 @@ def links(nodes: DataFrame, most: int = MOST) -> DataFrame:
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
     blocks = written(sizes.filter(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "simhash-hot")
     dealt = keyed.join(blocks, "key", "left").withColumn("own", F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda x: F.least(x, "own") * 65536 + F.greatest(x, "own"))
+    pair = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda x: F.least(x, "own").cast("bigint") * (1 << 31) + F.greatest(x, "own"))
     dealt = dealt.select("key", F.explode(pair).alias("pair"), "fp").repartition("key", "pair").sortWithinPartitions("key", "pair", "fp")
     shift, start_of = np.uint64(width * len(keys[0][1])), np.array([i for i, _ in keys])
 
@@ -282,6 +282,7 @@ def merged(rows: DataFrame, most: int = MOST) -> DataFrame:
     return roots
 
 
+@tidy
 def drop_near_copies(docs: DataFrame, most: int = MOST) -> DataFrame:
     """One row of docs for each component of `merged`: that of the smallest doc_id, the first such row if it repeats."""
     names = docs.columns
@@ -290,9 +291,10 @@ def drop_near_copies(docs: DataFrame, most: int = MOST) -> DataFrame:
     placed = rows.select("doc_id", "fp", "row").join(roots, "fp")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("f"))
     first = written(first.select(F.col("f.row").alias("row")), "simhash-first")
-    return rows.join(first.hint("merge"), "row", "left_semi").select(*[F.col("doc").getField(n).alias(n) for n in names])
+    return rows.join(first, "row", "left_semi").select(*[F.col("doc").getField(n).alias(n) for n in names])
 
 
+@tidy
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(fingerprints(table(spark, sf_dir, "documents")), "simhash-rows")
     return grouped(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

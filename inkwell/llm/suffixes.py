@@ -22,35 +22,36 @@ from .repeats import MIX, Unit, remove
 #: Bytes of a window and of an anchor, and bytes of a shard.
 BYTES = Unit(words=False, window=200, gram=48, shard=2_000_000)
 #: Bytes of suffix tuples that a queue holds in memory.
-MEMORY = 64 << 20
+MEMORY = 1 << 20
 FAR = 1 << 30
 TUPLE = np.dtype([("at", np.int32), ("lcp", np.int32)])
 
 
 class SuffixQueue:
-    """Suffix tuples by first symbol, in order of arrival; the longest queues go to a scratch file when memory is full."""
+    """Suffix tuples by first symbol, in order of arrival; all go to the task's scratch file when memory is full."""
 
     def __init__(self, memory: int = MEMORY):
-        self.memory, self.held, self.parts, self.file = memory, 0, {}, None
+        self.memory, self.held, self.spilled, self.parts, self.file = memory, 0, 0, {}, None
 
     def push(self, symbol: int, at: np.ndarray, lcp: np.ndarray) -> None:
         tuples = np.empty(len(at), TUPLE)
         tuples["at"], tuples["lcp"] = at, lcp
         self.parts.setdefault(symbol, []).append(tuples)
         self.held += tuples.nbytes
-        while self.held > self.memory:
+        if self.held > self.memory:
             self._spill()
 
     def _spill(self) -> None:
         if self.file is None:
             self.file = tempfile.TemporaryFile()
-        in_memory = {s: sum(p.nbytes for p in parts if isinstance(p, np.ndarray)) for s, parts in self.parts.items()}
-        parts = self.parts[max(in_memory, key=in_memory.get)]
-        for k, p in enumerate(parts):
-            if isinstance(p, np.ndarray):
-                parts[k] = (self.file.seek(0, 2), len(p))
-                self.file.write(p.tobytes())
-                self.held -= p.nbytes
+        at = self.file.seek(0, 2)
+        for parts in self.parts.values():
+            for k, p in enumerate(parts):
+                if isinstance(p, np.ndarray):
+                    self.file.write(p)
+                    parts[k] = at, len(p)
+                    at += p.nbytes
+        self.spilled, self.held = self.spilled + self.held, 0
 
     def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
         got = []

@@ -5,8 +5,9 @@ dimension, each node with the tight bounding box of its points. A query descends
 sum(max(q * low, q * high)) and stops at the first box that can't reach its kth score. The first round searches one
 shard for each query; the kth score found there travels with the query to all other shards.
 
-Queries are dealt in blocks to shards, never joined with rows; a shard's results are k rows a query and the last step
-is a partial top-k aggregate.
+A shard's points come to its task before the queries that are dealt to it; these stream over the tree one Arrow batch at
+a time, so a task holds one shard and one batch of queries, however many there are. A shard's results are k rows a query
+and the last step is a partial top-k aggregate.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidy, written
 
 K, EVERY, SCALE = 5, 50, 256
 #: Vectors of a shard and of a leaf.
@@ -97,6 +99,7 @@ def integers(vectors: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).groupBy("vec_id").agg(F.max("v").alias("v"))
 
 
+@tidy
 def top_k(points: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best inner products of each query among the points of other ids.
 
@@ -108,37 +111,71 @@ def top_k(points: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = S
     shards = max(1, -(-points.count() // shard_rows))
     placed = points.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     home = F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(shards)).cast("int")
-    first = _searched(placed, queries.withColumn("floor", F.lit(float("-inf"))).withColumn("shard", home), k)
+    first = _searched(placed, queries.withColumn("floor", F.lit(float("-inf"))).withColumn("shard", home), k, shards)
     first = written(first, "topk-first")
     floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
     floors = floors.select(F.col("query_id").alias("vec_id"), F.when(F.col("n") == k, F.col("least")).otherwise(F.lit(float("-inf"))).alias("floor"))
     others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home"))
     rest = queries.withColumn("home", home).join(floors, "vec_id", "left").fillna(float("-inf"), ["floor"]).withColumn("shard", F.explode(others)).drop("home")
-    found = first.unionByName(_searched(placed, rest, k))
+    found = first.unionByName(_searched(placed, rest, k, shards))
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("bigint").alias("score"))
 
 
-def _searched(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def _searched(points: DataFrame, queries: DataFrame, k: int, shards: int) -> DataFrame:
     """(query_id, vec_id, score) of each query's best k on the shard that it is dealt to."""
-
-    def run(key, left, right):
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            by_length: dict[int, list[int]] = {}
-            vectors = left["v"].to_pylist()
-            for i, v in enumerate(vectors):
-                by_length.setdefault(len(v), []).append(i)
-            ids = left["vec_id"].to_numpy()
-            trees = {n: Tree(ids[own], np.array([vectors[i] for i in own])) for n, own in by_length.items()}
-            for own, v, floor in zip(right["vec_id"].to_pylist(), right["v"].to_pylist(), right["floor"].to_pylist()):
-                if len(v) in trees:
-                    for score, vec in trees[len(v)].search(np.array(v), own, k, floor):
-                        for n, x in (("query_id", own), ("vec_id", vec), ("score", score)):
-                            out[n].append(x)
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    return points.groupBy("shard").cogroup(queries.select("vec_id", "v", "floor", "shard").groupBy("shard")).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
+    left = points.select("shard", F.lit(0).alias("side"), "vec_id", "v", F.lit(0.0).alias("floor"))
+    both = left.unionByName(queries.select("shard", F.lit(1).alias("side"), "vec_id", "v", "floor"))
+    both = both.repartition(shards, "shard").sortWithinPartitions("shard", "side")
+
+    def run(batches):
+        now, held, trees = None, [], None
+        for batch in batches:
+            shard, side = batch.column("shard").to_numpy(), batch.column("side").to_numpy()
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(side) != 0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if shard[a] != now:
+                    now, held, trees = shard[a], [], None
+                if side[a] == 0:
+                    held.append((part.column("vec_id").to_numpy(), _by_length(part.column("v"))))
+                    continue
+                if trees is None:
+                    trees, held = _trees(held), []
+                yield _answers(trees, part, k)
+
+    return both.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+
+
+def _by_length(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Places and vectors by their length."""
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        out[n] = at, column.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out
+
+
+def _trees(held: list) -> dict[int, Tree]:
+    parts: dict[int, list] = {}
+    for ids, vectors in held:
+        for n, (at, v) in vectors.items():
+            parts.setdefault(n, []).append((ids[at], v))
+    return {n: Tree(np.concatenate([i for i, _ in own]), np.concatenate([v for _, v in own])) for n, own in parts.items()}
+
+
+def _answers(trees: dict[int, Tree], part: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    ids, floors, out = part.column("vec_id").to_pylist(), part.column("floor").to_pylist(), []
+    for n, (at, v) in _by_length(part.column("v")).items():
+        if n in trees:
+            for i, query in zip(at.tolist(), v):
+                out += [(ids[i], vec, score) for score, vec in trees[n].search(query, ids[i], k, floors[i])]
+    cols = list(zip(*out)) or [(), (), ()]
+    kinds = (pa.int64(), pa.int64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["query_id", "vec_id", "score"])
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

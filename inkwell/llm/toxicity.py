@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from .common import arrow_pass, table, texts
 
-#: Most labelled texts that the fit uses; rows that share an id with one of them are reduced to one.
+#: Most labelled texts that the fit uses.
 MAX_ROWS = 4_000
 #: Letters of the word beginnings that count as features; levels of each; least texts of the sample that hold a feature.
 BEGINNINGS, LEVELS, LEAST_TEXTS = (4, 5, 6, 7), 3, 3
@@ -34,7 +34,7 @@ THRESHOLD = 0.5
 #: scaled to unit variance meanwhile.
 L1, RIDGE, STEPS = 3.0, 1e-4, (60, 200)
 #: Words whose features a task remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 #: Features of words that carry weight in the model of this name; a worker outlives the models that it serves.
 _cache: dict[str, dict] = {}
@@ -68,11 +68,13 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fit on up to max_rows rows of labels (doc_id, toxic) that have a text in docs.
 
-    Null labels and ids take no part; without both toxic and clean texts the model calls nothing toxic.
+    Null labels and ids take no part; of rows that share an id the least text counts, before anything reaches the driver;
+    without both toxic and clean texts, and so for empty tables, the model calls nothing toxic.
     """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("grade")).dropna().filter("grade IN (0, 1)")
     chosen = known.groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows of them
+    rows = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def step(batch):
         out = [np.array(present(t.decode()), np.int64) for t in texts(batch.column("text"))]
@@ -81,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     sparse = arrow_pass(rows.select(F.col("doc_id").cast("bigint"), "grade", "text"), step, "doc_id bigint, grade int, features array<bigint>")
     got = sparse.toArrow().combine_chunks()
     ids = got["doc_id"].to_numpy()
-    own = {int(ids[i]): i for i in np.argsort(ids, kind="stable")}.values()  # one row of each id, in the order of ids
+    own = np.argsort(ids, kind="stable")
     grades, rows = got["grade"].to_numpy(), got["features"]
     return train([int(grades[i]) for i in own], [rows[int(i)].values.to_numpy() for i in own])
 
@@ -185,7 +187,8 @@ def _refit(f: _Likelihood, steps: int) -> tuple[np.ndarray, np.ndarray]:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs with expected_severity, severity (the likeliest grade), p_toxic and toxic added, columns of these names replaced.
 
-    A null or empty text has no features and so the base rate's score; every row is kept.
+    A null or empty text has no features and so the base rate's score; a very long one is a step of its own; every row is
+    kept, repeated ones too, and an empty table gives an empty one.
     """
     added = [("expected_severity", T.DoubleType()), ("severity", T.IntegerType()), ("p_toxic", T.DoubleType()), ("toxic", T.BooleanType())]
     kept = [f for f in docs.schema.fields if f.name not in {n for n, _ in added}]

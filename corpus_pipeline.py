@@ -8,8 +8,6 @@ mix takes twice has two rows.
 
 from __future__ import annotations
 
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,38 +41,25 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs)
 
 
-#: Tables that the stage before has written on its way; its result is stored when the next stage begins.
-_spent: list[str] = []
-
-
-def _tidy(stage):
-    """The stage, which first removes what the stage before it left in the shared folder."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        remove(spark, _spent)
-        with scope() as made:
-            out = stage(spark, docs, sf_dir)
-        _spent[:] = made
-        return out
-
-    return run_stage
-
-
 STAGES = [
-    ("toxicity", _tidy(toxicity_stage)),
-    ("simhash", _tidy(simhash_stage)),
-    ("pii", _tidy(pii_stage)),
-    ("mixing", _tidy(mixing_stage)),
-    ("bpe", _tidy(bpe_stage)),
+    ("toxicity", toxicity_stage),
+    ("simhash", simhash_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("bpe", bpe_stage),
 ]
 
-#: A learned classifier, a hash order and a tokenizer have no SQL form; tests compare run() with a plain version.
+#: A learned classifier, a hash order and a tokenizer have no SQL form; tests compare every stage with a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows of documents. What a stage left in the shared folder goes once its result is written; the
+    mix, which the returned frame reads, stays there for the cluster's own cleaning."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scope() as made:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        remove(spark, [*before, *made[:-1]])
+        before = made[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,7 +26,8 @@ def hashed_trigrams(texts: list[str], dims: int = 64) -> list[list[float]]:
 def embedded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]] = lambda: hashed_trigrams, batch: int = BATCH) -> DataFrame:
     """rows with `vector` of their content. The encoder is loaded once a task and sees equal contents once in the job.
 
-    Distinct contents are spread by hash before the costly step; null contents have no vector.
+    Contents are known by 128 bits of their SHA-256; distinct ones are spread by it before the costly step, and the
+    vectors come back by it, so each text is shuffled once. Null contents have no vector; a column `vector` is replaced.
     """
 
     @F.pandas_udf("array<double>")
@@ -38,10 +39,11 @@ def embedded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list
                 out += model(texts[at : at + batch])
             yield pd.Series(out)
 
-    keyed = rows.withColumn("content_key", F.xxhash64("content"))
-    once = keyed.filter("content IS NOT NULL").select("content_key", "content").dropDuplicates(["content_key", "content"])
-    vectors = once.withColumn("vector", encode("content"))
-    return keyed.join(vectors, ["content_key", "content"], "left").drop("content_key")
+    half = lambda k: F.conv(F.substring(F.sha2("content", 256), 1 + 16 * k, 16), 16, -10).cast("bigint")
+    keyed = rows.drop("vector").withColumns({"_k1": half(0), "_k2": half(1)})
+    once = keyed.filter("content IS NOT NULL").groupBy("_k1", "_k2").agg(F.min("content").alias("content"))
+    vectors = once.select("_k1", "_k2", encode("content").alias("vector"))
+    return keyed.join(vectors, ["_k1", "_k2"], "left").drop("_k1", "_k2")
 
 
 def store_of(content_type: Column) -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of every file below path."""
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("content"))
+    """(path, content) of every file below path; an empty file has an empty content."""
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def checked(rows: DataFrame, body: str, key: str) -> DataFrame:
@@ -30,10 +31,13 @@ def links(pages: DataFrame, pattern: str) -> DataFrame:
 
 
 def crawl_order(urls: DataFrame, priority: list[str]) -> DataFrame:
-    """urls with `place` from 0: those with a priority word first, each class in its given order (pos, url)."""
+    """urls (page_id, url, pos) with `priority` and `place`, the place from 0 in which a page's links are crawled: those
+    with a priority word first, each class in its given order (pos, url). Words count whatever their case."""
     low = F.lower("url")
     first = F.exists(F.array(*[F.lit(p.lower()) for p in priority]), lambda p: F.contains(low, p))
-    return urls.withColumn("priority", first).orderBy(F.desc("priority"), "pos", "url")
+    marked = urls.withColumn("priority", first if priority else F.lit(False))
+    order = W.partitionBy("page_id").orderBy(F.desc("priority"), "pos", "url")
+    return marked.withColumn("place", F.row_number().over(order) - 1)
 
 
 def refresh(rows: DataFrame, path: str) -> None:

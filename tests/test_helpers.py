@@ -40,6 +40,31 @@ def test_java_sections():
     assert info["method_name"] == "f"
 
 
+def test_java_members_by_tokens():
+    body = """package a.b;
+import java.util.*;
+/** Top. */
+@Component(name = "x{", value = {1, 2})
+public final class C<T extends List<?>> implements D {
+    @Inject private Map<String, Integer> m = new HashMap<>() {{ put("}", 1); }};
+    protected static final int[] N = {1, 2};
+    public C(int n) { this.n = n; }
+    static { int q = 1; }
+    int hidden() { return 0; }
+    /* plain */ @Override public <R> R f(@Named("k(") List<R> xs) throws E, F { for (int i = 0; i < 3; i++) { g(); } return null; }
+    private enum Kind { A { void x() {} }, B }
+    public char open() { return '{'; }
+"""
+    package, got = parse.java_members(body)
+    assert package == "a.b"
+    assert [(k, n) for k, n, *_ in got] == [("class", "C"), ("field", "m"), ("field", "N"), ("method", "f"), ("class", "Kind"), ("method", "open")]
+    (_, method, begin, brace, end) = got[3]
+    assert body[begin:brace].startswith("@Override public") and body[brace - 1] == "{" and body[brace:end].endswith("return null; }")
+    assert got[0][4] == 0 and parse.java_sections(body, "u")[0][0].startswith("/** Top. */\n@Component")
+    cut = parse.java_sections("public class C { public int f() { return 1; " + "x" * 900, "u")
+    assert len(cut[1][0].split("{\n", 1)[1]) == parse.UNBALANCED - 1
+
+
 def test_xml_sections():
     got = parse.xml_sections('<r><c name="n" class="a.B"/><d/></r>', "u")
     assert len(got) == 2 and got[0][0].startswith("<!-- File: u -->\n<!-- Parent: <r> -->\n<c ")

@@ -10,24 +10,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkwell.operators import words as V
 
-def any_token(catalog: DataFrame, queries: DataFrame, fields: list[str], name: str = "name") -> DataFrame:
-    """(query_id, kind, name): catalogue rows that hold any lower-case token of a query in any listed field.
 
-    Queries may have a category, which restricts the rows of kind "api" alone. Rows of a kind count once by name.
-    """
-    tokens = F.array_distinct(F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda t: t != ""))
-    asked = queries.select("query_id", "category", F.explode(tokens).alias("token"))
-    body = F.lower(F.concat_ws("\n", *[F.col(f) for f in fields]))
-    rows = catalog.select("kind", F.col(name).alias("name"), F.col("category").alias("own"), body.alias("body"))
-    hit = F.contains("body", F.col("token"))
-    right = (F.col("kind") != "api") | F.col("category").isNull() | (F.lower("own") == F.lower("category"))
-    return rows.join(asked, hit & right).select("query_id", "kind", "name").distinct()
+#: Order of kinds in a search result; others follow by name.
+KINDS = ("api", "module", "handler")
 
 
-def by_name(catalog: DataFrame, queries: DataFrame, name: str = "name") -> DataFrame:
-    """Rows whose name is the asked one, whatever the case."""
-    return queries.join(catalog, F.lower(F.col("wanted")) == F.lower(F.col(name)))
+def any_token(catalog: DataFrame, queries: DataFrame, fields: list[str], name: str = "name", kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """(query_id, kind, name, place): catalogue rows that hold any lower-case token of a query in any listed field.
+
+    Fields may be arrays of strings, such as key classes. Queries may have a category, which restricts the rows of kind
+    "api" alone. Rows of a kind count once by name; place is their order from 1, by kind and then name. Null fields and
+    null or blank queries hold nothing; rows without a kind or name take no part.
+    """
+    tokens = F.array_distinct(F.filter(F.split(F.lower(F.trim("query")), r"\s+"), lambda t: t != ""))
+    asked = queries.select("query_id", "category", F.explode(tokens).alias("word"))
+    rows = catalog.select("kind", F.col(name).alias("name"), F.col("category").alias("own"), F.concat_ws("\n", *[F.col(f) for f in fields]).alias("body"))
+    rows = rows.filter("kind IS NOT NULL AND name IS NOT NULL").withColumn("own", F.coalesce(F.lower("own"), F.lit("")))
+    hits = V.holding(rows, ["kind", "name", "own"], F.col("body"), asked.select("word")).join(asked, "word")
+    right = (F.col("kind") != "api") | F.col("category").isNull() | (F.col("own") == F.lower("category"))
+    order = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+    by = W.partitionBy("query_id").orderBy(F.when(order > 0, order).otherwise(len(kinds) + 1), "kind", "name")
+    return hits.filter(right).select("query_id", "kind", "name").distinct().withColumn("place", F.row_number().over(by))
+
+
+def by_name(catalog: DataFrame, queries: DataFrame, *names: str) -> DataFrame:
+    """Rows of which one of the columns, as a module's name or its artifact, is the asked one, whatever the case; a row
+    that two columns match is there once."""
+    columns, out = names or ("name",), None
+    for i, name in enumerate(columns):
+        earlier = [F.lower(F.col(n)).eqNullSafe(F.lower("wanted")) for n in columns[:i]]
+        part = queries.join(catalog, F.lower(F.col("wanted")) == F.lower(F.col(name)))
+        for hit in earlier:
+            part = part.filter(~hit)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def by_suffix(catalog: DataFrame, queries: DataFrame, name: str = "fqcn") -> DataFrame:
@@ -38,8 +56,8 @@ def by_suffix(catalog: DataFrame, queries: DataFrame, name: str = "fqcn") -> Dat
 
 
 def grouped(catalog: DataFrame, name: str = "name") -> DataFrame:
-    """(category, names): distinct names by lower-case category, sorted."""
-    return catalog.groupBy(F.lower("category").alias("category")).agg(F.sort_array(F.collect_set(name)).alias("names"))
+    """(category, name): the distinct names of each lower-case category, as rows, so that no category is held in one."""
+    return catalog.select(F.lower("category").alias("category"), F.col(name).alias("name")).distinct()
 
 
 def class_index(modules: DataFrame) -> DataFrame:
@@ -60,18 +78,22 @@ def _share(words: Column, body: Column, none: float) -> Column:
 def categories(texts: DataFrame, words: DataFrame) -> DataFrame:
     """(query_id, category, hits, share): hits of each category's keywords in the query, where there are any."""
     sizes = words.groupBy("category").agg(F.count("*").alias("size"))
-    found = texts.select("query_id", F.lower("query").alias("low")).join(F.broadcast(words), F.contains("low", F.lower("keyword")))
+    found = V.held(texts.filter("query_id IS NOT NULL"), ["query_id"], F.col("query"), words.select(F.col("keyword").alias("word")))
+    found = found.join(words.select(F.lower("keyword").alias("word"), "keyword", "category"), "word")
     hits = found.groupBy("query_id", "category").agg(F.count("*").alias("hits"), F.sort_array(F.collect_set("keyword")).alias("keywords"))
-    return hits.join(F.broadcast(sizes), "category").withColumn("share", F.col("hits") / F.col("size"))
+    return hits.join(sizes, "category").withColumn("share", F.col("hits") / F.col("size"))
 
 
 def recommended(queries: DataFrame, patterns: DataFrame, words: DataFrame, n: int = DEFAULT_RESULTS) -> DataFrame:
     """(query_id, rank, name, score): patterns scored by keywords, category, application type and constraints.
 
     queries: query_id, query, app_type (or null), constraints (array). The category is that with the largest share of
-    its keywords in the query, ties by name. Patterns and keywords are small rule tables, which are broadcast.
+    its keywords in the query, ties by name. Every pattern is scored for every query, so patterns are a table of at
+    most RULES rules, which is checked before it goes to every task.
     """
     n = n if 1 <= n <= MOST_RESULTS else DEFAULT_RESULTS
+    if patterns.limit(V.RULES + 1).count() > V.RULES:
+        raise ValueError(f"more than {V.RULES} patterns")
     held = categories(queries, words)
     top = held.groupBy("query_id").agg(F.min(F.struct((-F.col("share")).alias("s"), "category")).alias("b"), F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("keywords"))
     asked = queries.join(top.select("query_id", F.col("b.category").alias("asked"), "keywords"), "query_id", "left")
@@ -120,9 +142,9 @@ def error_matches(features: DataFrame, catalog: DataFrame, fields: list[str], n:
     sides = [("terms", 0), ("handlers", 1)]
     asked = [features.select("query_id", F.explode(c).alias("token"), F.lit(p).alias("step")) for c, p in sides]
     asked.append(features.filter("category <> 'general'").select("query_id", F.col("category").alias("token"), F.lit(2).alias("step")))
-    every = asked[0].unionByName(asked[1]).unionByName(asked[2])
-    body = F.lower(F.concat_ws("\n", *[F.col(f) for f in fields]))
-    hits = every.join(F.broadcast(catalog.select("name", body.alias("body"))), F.contains("body", F.lower("token")))
+    every = asked[0].unionByName(asked[1]).unionByName(asked[2]).withColumn("word", F.lower("token"))
+    rows = catalog.filter("name IS NOT NULL").select("name", F.concat_ws("\n", *[F.col(f) for f in fields]).alias("body"))
+    hits = V.holding(rows, ["name"], F.col("body"), every.select("word")).join(every, "word")
     first = hits.groupBy("query_id", "name").agg(F.min("step").alias("step"))
     return first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("step", "name"))).filter(F.col("rank") <= n).select("query_id", "rank", "name")
 
@@ -134,12 +156,27 @@ def violations(entries: DataFrame, prefix: str = "") -> DataFrame:
     """(kind, name, problem) of entries (kind, name, fqcn, ord): bad class names, repeated names, gaps in the order."""
     bad = entries.filter(F.col("fqcn").isNotNull() & (~F.col("fqcn").rlike(CLASS_NAME) | ~F.col("fqcn").startswith(prefix))).select("kind", "name", F.lit("class name").alias("problem"))
     twice = entries.groupBy("kind", "name").agg(F.count("*").alias("n")).filter("n > 1").select("kind", "name", F.lit("repeated name").alias("problem"))
-    place = F.row_number().over(W.partitionBy("kind").orderBy("ord", "name"))
-    gap = entries.withColumn("place", place).filter("place <> ord").select("kind", "name", F.lit("order").alias("problem"))
+    gap = numbered(entries).filter("place <> ord").select("kind", "name", F.lit("order").alias("problem"))
     return bad.unionByName(twice).unionByName(gap)
 
 
-FLAT = "catalog string, section string, name string, fqcn string, description string, usage string, source_url string"
+#: Numbers of the order that one task ranks.
+STRETCH = 10_000
+
+
+def numbered(entries: DataFrame) -> DataFrame:
+    """entries with `place`, their row number by (ord, name) in their kind: counts of stretches of the order first, then
+    a rank inside each stretch, so that a large kind is many tasks."""
+    rows = entries.withColumn("_s", F.coalesce(F.floor(F.col("ord") / STRETCH), F.lit(-(1 << 62))))
+    sizes = rows.groupBy("kind", "_s").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("kind").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col("kind").alias("_k"), F.col("_s").alias("_t"), before.alias("_before"))
+    own = F.row_number().over(W.partitionBy("kind", "_s").orderBy("ord", "name"))
+    placed = rows.withColumn("_own", own).join(sizes, F.col("kind").eqNullSafe(F.col("_k")) & (F.col("_s") == F.col("_t")))
+    return placed.withColumn("place", F.col("_own") + F.col("_before")).drop("_s", "_own", "_k", "_t", "_before")
+
+
+FLAT = "catalog string, section string, name string, fqcn string, description string, usage string, source_url string, error string"
 
 
 def _items(node) -> Iterator[dict]:
@@ -153,23 +190,35 @@ def _items(node) -> Iterator[dict]:
             yield from _items(value)
 
 
+def _flat(catalog: str | None, body: str | None) -> list[tuple]:
+    text = lambda v: v if isinstance(v, str) else None
+    rows = []
+    for key, section in (json.loads(body) if body else {}).items():
+        if not isinstance(section, dict):
+            continue
+        if text(section.get("description")):
+            rows.append((catalog, key, key, None, section["description"], None, text(section.get("source_url")), None))
+        rows += [
+            (catalog, key, x["name"], text(x.get("fqcn")), text(x.get("description")), text(x.get("usage")) or text(x.get("example")), text(x.get("source_url")), None)
+            for x in _items(section)
+        ]
+    return rows
+
+
 def flattened(catalogs: DataFrame) -> DataFrame:
-    """FLAT rows of catalogs (catalog, body): described sections, then every named item; usage falls back to example."""
+    """FLAT rows of catalogs (catalog, body): described sections, then every named item; usage falls back to example.
+
+    A null or empty body has no rows; one that isn't a JSON object gives one row with an error and nothing else.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        text = lambda v: v if isinstance(v, str) else None
         for batch in batches:
             rows = []
             for catalog, body in zip(batch["catalog"], batch["body"]):
-                for key, section in (json.loads(body) if body else {}).items():
-                    if not isinstance(section, dict):
-                        continue
-                    if text(section.get("description")):
-                        rows.append((catalog, key, key, None, section["description"], None, text(section.get("source_url"))))
-                    rows += [
-                        (catalog, key, x["name"], text(x.get("fqcn")), text(x.get("description")), text(x.get("usage")) or text(x.get("example")), text(x.get("source_url")))
-                        for x in _items(section)
-                    ]
-            yield pd.DataFrame(rows, columns=["catalog", "section", "name", "fqcn", "description", "usage", "source_url"])
-
-    return catalogs.select("catalog", "body").mapInPandas(run, FLAT)
+                try:
+                    rows += _flat(catalog, body)
+                except (ValueError, AttributeError, RecursionError) as error:
+                    rows.append((catalog, *[None] * 6, f"[{catalog}] {error}"))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in FLAT.split(", ")])
+
+    return catalogs.select(F.col("catalog").cast("string").alias("catalog"), "body").mapInPandas(run, FLAT)

@@ -16,11 +16,13 @@ def _gain(k: int, rel: Column, rank: Column) -> Column:
     return F.sum(F.when((rank <= k) & rel, F.log(F.lit(2.0)) / F.log(rank + 1.0)).otherwise(0.0))
 
 
-def per_query(ranked: DataFrame, keys: tuple[str, ...] = ("query_id",), ks: tuple[int, ...] = (5, 10)) -> DataFrame:
+def per_query(ranked: DataFrame, keys: tuple[str, ...] = ("query_id",), ks: tuple[int, ...] = (5, 10), digits: int | None = None) -> DataFrame:
     """Reciprocal rank, recall, relevant count and NDCG at each k in one aggregate; ranked has rank and rel.
 
-    The ideal gain counts the relevant rows that were retrieved in the first k.
+    The ideal gain counts the relevant rows that were retrieved in the first k. Values are rounded only if digits are
+    given, so that means of them are rounded once. A null rel counts as not relevant.
     """
+    cut = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     rel, rank = F.col("rel"), F.col("rank")
     out = [F.coalesce(F.max(F.when(rel, 1.0 / rank)), F.lit(0.0)).alias("mrr")]
     for k in ks:
@@ -32,8 +34,8 @@ def per_query(ranked: DataFrame, keys: tuple[str, ...] = ("query_id",), ks: tupl
     got = ranked.groupBy(*keys).agg(*out)
     for k in ks:
         ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.col(f"relevant_{k}"), F.lit(1))), F.lit(0.0), lambda s, i: s + F.log(F.lit(2.0)) / F.log(i + 1.0))
-        got = got.withColumn(f"ndcg_{k}", F.round(F.when(F.col(f"relevant_{k}") > 0, F.col(f"dcg_{k}") / ideal).otherwise(0.0), 6)).drop(f"dcg_{k}")
-    return got.withColumn("mrr", F.round("mrr", 6))
+        got = got.withColumn(f"ndcg_{k}", cut(F.when(F.col(f"relevant_{k}") > 0, F.col(f"dcg_{k}") / ideal).otherwise(0.0))).drop(f"dcg_{k}")
+    return got.withColumn("mrr", cut(F.col("mrr")))
 
 
 def summary(metrics: DataFrame, category: str = "category", language: str = "language") -> DataFrame:
@@ -59,8 +61,15 @@ def graded(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     )
 
 
+def coverage(queries: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(queries, covered, coverage): the share of the queries (query_id) with at least one result."""
+    found = ranked.select("query_id", F.lit(1).alias("hit")).distinct()
+    rows = queries.select("query_id").distinct().join(found, "query_id", "left")
+    return rows.agg(F.count("*").alias("queries"), F.count("hit").alias("covered"), F.round(F.coalesce(F.count("hit") / F.count("*"), F.lit(0.0)), 6).alias("coverage"))
+
+
 def compared(metrics: DataFrame, modes: list[str], value: str = "mrr") -> DataFrame:
-    """One row a query with the value of every mode beside it."""
+    """One row a query with the value of every mode beside it; modes are named, so none is looked for in the rows."""
     return metrics.groupBy("query_id").pivot("mode", modes).agg(F.round(F.first(value), 6))
 
 
@@ -72,5 +81,8 @@ def paired(compare: DataFrame, a: str, b: str) -> DataFrame:
     return stats.select("n", F.round("mean", 6).alias("mean_difference"), F.round(sure * F.sqrt("n"), 6).alias("t"), F.round(sure, 6).alias("effect"))
 
 
-def latency(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    return rows.groupBy(*by).agg(*[F.round(F.percentile(value, q), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)])
+def latency(rows: DataFrame, value: str, *by: str, exact: bool = False) -> DataFrame:
+    """p50, p95 and p99 of a value by group: values of the rows at these ranks, from sketches of bounded size that are off
+    by at most a ten-thousandth of the rank; exact ones, interpolated, hold a group's distinct values in one task."""
+    point = F.percentile if exact else lambda v, q: F.percentile_approx(v, q, 10_000)
+    return rows.groupBy(*by).agg(*[F.round(point(value, q), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)])

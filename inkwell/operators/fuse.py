@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
 from inkwell.operators import keyword, vector
+from inkwell.operators import words as V
 from inkwell.operators.keyword import best
 
 RRF_K, CANDIDATES, ALPHA = 60, 50, 0.7
@@ -80,6 +81,23 @@ def weighted(text: DataFrame, vectors: DataFrame, k: int, alpha: float = ALPHA)
     return best(rows.select(*keys, F.round(alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("t", F.lit(0.0)), 6).alias("score")), k)
 
 
+def swept(text: DataFrame, vectors: DataFrame, grid: DataFrame, k: int) -> DataFrame:
+    """Fused lists for every row of a grid (method, rrf_k, alpha, candidates), from one reading of the two lists.
+
+    Method "rrf" is reciprocal with its rrf_k, "weighted" is weighted with its alpha; each uses the first `candidates`
+    rows of both lists. Gives the grid's columns with (query_id, tbl, id, score, rank).
+    """
+    if grid.limit(V.RULES + 1).count() > V.RULES:
+        raise ValueError(f"more than {V.RULES} settings")
+    keys, own = ["method", "rrf_k", "alpha", "candidates"], ["query_id", "tbl", "id"]
+    rows = text.select(*own, "rank", "score", F.lit(0).alias("side")).unionByName(vectors.select(*own, "rank", "score", F.lit(1).alias("side")))
+    rows = rows.crossJoin(F.broadcast(grid.select(*keys))).filter(F.col("rank") <= F.col("candidates"))
+    share = F.when(F.col("side") == 1, F.col("alpha")).otherwise(1 - F.col("alpha"))
+    value = F.when(F.col("method") == "rrf", 1.0 / (F.col("rrf_k") + F.col("rank"))).otherwise(share * F.col("score"))
+    fused = rows.groupBy(*keys, *own).agg(F.round(F.sum(value), 6).alias("score"))
+    return best(fused, k, (*keys, "query_id"))
+
+
 def search(chunks: DataFrame, queries: DataFrame, k: int, mode: str = "HYBRID", where: Column | None = None) -> DataFrame:
     """Keyword, vector or hybrid search of chunks (with vector) for queries (query_id, query, vector)."""
     if mode not in MODES:

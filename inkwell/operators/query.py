@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkwell.operators import words as V
+
 
 def entities(text: Column, patterns: list[str]) -> Column:
     """Distinct matches, in pattern order and then text order."""
@@ -35,6 +37,7 @@ def expanded(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
 def suggested(queries: DataFrame, module_pattern: str, app_words: DataFrame) -> DataFrame:
     """queries with module (first match of the pattern) and app_type: of the keywords in the query, the longest, then by name."""
     module = F.nullif(F.regexp_extract("query", module_pattern, 0), F.lit(""))
-    hits = queries.select("query_id", "query").join(F.broadcast(app_words), F.contains(F.lower("query"), F.lower("keyword")))
+    found = V.held(queries.filter("query_id IS NOT NULL"), ["query_id"], F.col("query"), app_words.select(F.col("keyword").alias("word")))
+    hits = found.join(app_words.withColumn("word", F.lower("keyword")), "word")
     best = hits.groupBy("query_id").agg(F.min(F.struct((-F.length("keyword")).alias("n"), "keyword", "app_type")).alias("b")).select("query_id", F.col("b.app_type").alias("app_type"))
     return queries.withColumn("module", module).join(best, "query_id", "left")

@@ -1,6 +1,7 @@
 """Rule scans over ordered configurations and source text, and the run log.
 
-Queues are tables (queue, pos, name); rules are small tables that are broadcast. Everything is keyed by queue or file.
+Queues are tables (queue, pos, name), where rows without a queue or name meet no rule; rules are small tables, joined by
+equality, which Spark broadcasts by their measured size. Everything is keyed by queue or file; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,8 +42,8 @@ def application_types(queues: DataFrame, rules: list[tuple[list[str], str]]) ->
 def missing(queues: DataFrame, kinds: DataFrame, entries: DataFrame) -> DataFrame:
     """(queue, name) of required entries of the queue's type that it lacks; a type without entries gives name null, an error row."""
     required = entries.filter("required").select("app_type", "name")
-    known = F.broadcast(entries.select("app_type").distinct())
-    lacking = kinds.join(F.broadcast(required), "app_type").join(queues.select("queue", "name").distinct(), ["queue", "name"], "left_anti").select("queue", "name")
+    known = entries.select("app_type").distinct()
+    lacking = kinds.join(required, "app_type").join(queues.select("queue", "name").distinct(), ["queue", "name"], "left_anti").select("queue", "name")
     unknown = kinds.join(known, "app_type", "left_anti").select("queue", F.lit(None).cast("string").alias("name"))
     return lacking.unionByName(unknown)
 
@@ -57,7 +59,7 @@ def order_violations(queues: DataFrame, rules: DataFrame) -> DataFrame:
     """
     last = _last(queues)
     pairs = rules.select("name", F.lit("before").alias("kind"), F.explode("must_before").alias("target")).unionByName(rules.select("name", F.lit("after").alias("kind"), F.explode("must_after").alias("target"))).distinct()
-    own = last.join(F.broadcast(pairs), "name").withColumnRenamed("pos", "own")
+    own = last.join(pairs, "name").withColumnRenamed("pos", "own")
     both = own.join(last.select("queue", F.col("name").alias("target"), F.col("pos").alias("other")), ["queue", "target"])
     broken = F.when(F.col("kind") == "before", F.col("own") >= F.col("other")).otherwise(F.col("own") <= F.col("other"))
     return both.filter(broken).select("queue", "name", "kind", "target").distinct()
@@ -66,7 +68,7 @@ def order_violations(queues: DataFrame, rules: DataFrame) -> DataFrame:
 def incompatible(queues: DataFrame, rules: DataFrame) -> DataFrame:
     """(queue, name, target) where a queue holds both sides of a pair; each pair once."""
     names = queues.select("queue", "name").distinct()
-    pairs = F.broadcast(rules.select("name", F.explode("incompatible_with").alias("target")))
+    pairs = rules.select("name", F.explode("incompatible_with").alias("target"))
     hit = names.join(pairs, "name").join(names.select("queue", F.col("name").alias("target")), ["queue", "target"])
     return hit.select("queue", F.least("name", "target").alias("name"), F.greatest("name", "target").alias("target")).distinct()
 
@@ -74,7 +76,7 @@ def incompatible(queues: DataFrame, rules: DataFrame) -> DataFrame:
 def absent(queues: DataFrame, kinds: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of rules (rule_id, concern, severity, app_types, names, report): a queue of these types holds none of the names."""
     rule = rules.select("rule_id", "concern", "severity", "app_types", "names", "report")
-    scope = kinds.join(F.broadcast(rule), F.array_contains("app_types", F.col("app_type")))
+    scope = kinds.join(rule.withColumn("app_type", F.explode(F.array_distinct("app_types"))), "app_type")
     held = queues.groupBy("queue").agg(F.collect_set("name").alias("have"))
     return scope.join(held, "queue").filter(~F.arrays_overlap("names", "have")).select("queue", "rule_id", "concern", "severity", F.col("report").alias("name"))
 
@@ -82,7 +84,7 @@ def absent(queues: DataFrame, kinds: DataFrame, rules: DataFrame) -> DataFrame:
 def present(queues: DataFrame, kinds: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of rules (rule_id, concern, severity, app_types or null, names): a queue of these types holds a name."""
     rule = rules.select("rule_id", "concern", "severity", "app_types", F.explode("names").alias("name"))
-    scope = queues.select("queue", "name").distinct().join(kinds, "queue").join(F.broadcast(rule), "name")
+    scope = queues.select("queue", "name").distinct().join(kinds, "queue").join(rule, "name")
     return scope.filter(F.col("app_types").isNull() | F.array_contains("app_types", F.col("app_type"))).select("queue", "rule_id", "concern", "severity", "name")
 
 
@@ -102,14 +104,16 @@ def report(findings: DataFrame) -> DataFrame:
 
 
 def ordered(findings: DataFrame) -> DataFrame:
-    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
-    return findings.orderBy(rank, "rule_id", "queue", "name")
+    """findings with severity_rank (1 high, 2 medium, 3 low), sorted by it, rule, queue and name; the rank keeps the order
+    of the report when rows are written."""
+    rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")).cast("int")
+    return findings.withColumn("severity_rank", rank).orderBy("severity_rank", "rule_id", "queue", "name")
 
 
 def misplaced(queues: DataFrame, rules: DataFrame) -> DataFrame:
     """(queue, name, rule): must_be_outer entries outside the first half of their queue, must_be_inner outside the second."""
     length = F.count("*").over(W.partitionBy("queue"))
-    placed = queues.withColumn("length", length).join(F.broadcast(rules.select("name", "rule")), "name")
+    placed = queues.withColumn("length", length).join(rules.select("name", "rule"), "name")
     outer = F.col("pos") * 2 < F.col("length")
     return placed.filter(((F.col("rule") == "must_be_outer") & ~outer) | ((F.col("rule") == "must_be_inner") & outer)).select("queue", "name", "rule").distinct()
 
@@ -138,15 +142,30 @@ def repaired_order(names: list[str], before: dict[str, list[str]], after: dict[s
     return names
 
 
-def repair(queues: DataFrame, before: dict[str, list[str]], after: dict[str, list[str]]) -> DataFrame:
-    """(queue, pos, name) after repair. A queue is reduced to distinct names by an aggregate first, so a group is small."""
-    first = queues.groupBy("queue", "name").agg(F.min("pos").alias("pos"))
+def inserted(names: list[str], wanted: list[tuple[str, str | None]]) -> list[str]:
+    """names with each wanted entry that they lack: after the entry named with it, at the end without one."""
+    names = list(names)
+    for name, after in wanted:
+        if name not in names:
+            names.insert(names.index(after) + 1 if after in names else len(names), name)
+    return names
+
+
+def repair(queues: DataFrame, before: dict[str, list[str]], after: dict[str, list[str]], wanted: list[tuple[str, str | None]] = ()) -> DataFrame:
+    """(queue, pos, name) after inserting the wanted entries and repairing the order.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = repaired_order(pdf.sort_values("pos")["name"].tolist(), before, after)
-        return pd.DataFrame({"queue": pdf["queue"].iloc[0], "pos": range(len(names)), "name": names})
+    A queue is reduced to distinct names by an aggregate first, so a group is small. Null names take no part; null
+    queues are one queue.
+    """
+    first = queues.filter("name IS NOT NULL").groupBy("queue", "name").agg(F.min("pos").alias("pos"))
+    kind = queues.schema["queue"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        names = repaired_order(inserted(table.sort_by([("pos", "ascending"), ("name", "ascending")])["name"].to_pylist(), wanted), before, after)
+        queue = table["queue"].slice(0, 1).to_pylist() * len(names)
+        return pa.table({"queue": pa.array(queue, table.schema.field("queue").type), "pos": pa.array(range(len(names)), pa.int32()), "name": pa.array(names, pa.string())})
 
-    return first.groupBy("queue").applyInPandas(run, "queue bigint, pos int, name string")
+    return first.groupBy("queue").applyInArrow(run, f"queue {kind}, pos int, name string")
 
 
 FINDINGS = "file string, rule_id string, category string, found string, line int"
@@ -173,7 +192,7 @@ def migration(files: DataFrame, rules: list[tuple[str, str, str]], scope: str =
 
 def migration_summary(found: DataFrame, rules: DataFrame) -> DataFrame:
     """(category, issues, automatic, manual, trivial, moderate, major) of findings."""
-    rows = found.drop("category").join(F.broadcast(rules.select("rule_id", "category", "auto_fixable", "effort")), "rule_id")
+    rows = found.drop("category").join(rules.select("rule_id", "category", "auto_fixable", "effort"), "rule_id")
     by_effort = [F.count_if(F.col("effort") == e).alias(e) for e in ("trivial", "moderate", "major")]
     return rows.groupBy("category").agg(F.count("*").alias("issues"), F.count_if(F.col("auto_fixable")).alias("automatic"), F.count_if(~F.col("auto_fixable")).alias("manual"), *by_effort)
 
@@ -189,6 +208,11 @@ def tool_statistics(calls: DataFrame) -> DataFrame:
     return calls.groupBy("tool", "exception").agg(F.count("*").alias("calls"), F.round(F.sum("duration"), 6).alias("total"), F.max("duration").alias("most"))
 
 
+def tool_totals(calls: DataFrame) -> DataFrame:
+    """(tool, calls, errors, total, most): by tool, whatever the exception."""
+    return calls.groupBy("tool").agg(F.count("*").alias("calls"), F.count("exception").alias("errors"), F.round(F.sum("duration"), 6).alias("total"), F.max("duration").alias("most"))
+
+
 def log_rows(calls: DataFrame, most: int = 100) -> DataFrame:
     """(id, parameters, response_bytes): parameters cut for the log, and the response's size in UTF-8."""
     return calls.select("id", X.clipped(F.col("parameters"), most).alias("parameters"), F.octet_length("response").alias("response_bytes"))

@@ -60,3 +60,16 @@ def holding(texts: DataFrame, keys: list[str], text: Column, words: DataFrame) -
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     sure = spaced.join(body, same).filter(F.contains("_body", F.col("word"))).select(*keys, "word").distinct()
     return near.filter(~F.col("word").rlike(r"\s")).unionByName(sure)
+
+
+#: Words up to which a table of rules goes to every task as it is.
+RULES = 1_000
+
+
+def held(texts: DataFrame, keys: list[str], text: Column, words: DataFrame) -> DataFrame:
+    """What `holding` gives, for words that are mostly a small table of rules: up to RULES of them, which are counted,
+    are looked for in each text where it stands; more go by equality joins."""
+    if words.limit(RULES + 1).count() > RULES:
+        return holding(texts, keys, text, words)
+    asked = F.broadcast(words.select(F.lower("word").alias("word")).filter("trim(word) <> ''").distinct())
+    return texts.select(*keys, F.lower(text).alias("_low")).join(asked, F.contains("_low", F.col("word"))).select(*keys, "word").distinct()

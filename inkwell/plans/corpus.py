@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
-from inkwell.operators import chunk, parse, store
+from inkwell.operators import chunk, ingest, parse, store
 from inkwell.operators import query as analysis
 from inkwell.plans.views import CHUNKS, chunk_vectors, chunks, table
 from inkwell.sources import pages as source
+from inkwell.sources.shared import fresh_path
 
 QUERIES, SQL = {}, {}
 
@@ -56,14 +54,24 @@ def s4(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(ARTICLE), F.lit(1))).alias("link")).distinct()
 
 
-@query("s5_crawl_order", f"WITH {LINKS} SELECT page_id, url, pos, contains(lower(url), 'th') OR contains(lower(url), 'ing') AS priority FROM links")
+@query("s1_read_files", "SELECT doc_id, text AS content FROM documents WHERE text IS NOT NULL AND text <> ''")
+def s1_files(spark, d):
+    """Texts written as files, one each, and read back; a file's name holds its id."""
+    path = fresh_path(spark, "files")
+    docs = table(spark, d, "documents").filter("text IS NOT NULL AND text <> ''").select(F.concat(F.lit("d"), "doc_id").alias("name"), "text")
+    docs.repartition("name").write.partitionBy("name").option("lineSep", "\u0001").option("maxRecordsPerFile", 1).text(path)
+    rows = source.read_files(spark, path)
+    return rows.select(F.regexp_extract("path", "name=d([0-9]+)", 1).cast("bigint").alias("doc_id"), F.regexp_replace("content", "\u0001$", "").alias("content"))
+
+
+@query("s5_crawl_order", f"WITH {LINKS}, p AS (SELECT *, contains(lower(url), 'th') OR contains(lower(url), 'ing') AS priority FROM links) SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, pos, url) - 1 AS INTEGER) AS place FROM p")
 def s5(spark, d):
     return source.crawl_order(source.links(table(spark, d, "pages"), LINK), ["TH", "ing"])
 
 
 @query("s6_refresh_source", "SELECT source, count(*) AS n, CAST(sum(CASE WHEN source = 'src3' THEN 1 ELSE 0 END) AS BIGINT) AS refreshed FROM documents WHERE source <> 'src3' OR doc_id % 3 = 0 GROUP BY source")
 def s6(spark, d):
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='spark-')}/store-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "store")
     docs = table(spark, d, "documents").select("doc_id", "source", F.lit(0).alias("refreshed"))
     source.refresh(docs, path)
     source.refresh(docs.filter("source = 'src3' AND doc_id % 3 = 0").withColumn("refreshed", F.lit(1)), path)
@@ -84,11 +92,25 @@ def p2(spark, d):
     return parse.plain(_html(spark, d))
 
 
-@query("p3_markdown_sections")
+SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+MARKDOWN = rf"""WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS key, string_split('# ' || replace(replace(replace(text, chr(10), chr(10) || '## '), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT key, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM t),
+f AS (SELECT *, starts_with(line, '```') AS fence, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i) AS seen FROM l),
+h AS (SELECT *, NOT fence AND seen % 2 = 0 AND regexp_matches(rtrim(line, {SPACE}), '^#{{2,3}}\s+.+$') AS head FROM f),
+s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY i) AS sec FROM h),
+g AS (SELECT key, sec, trim(string_agg(line, chr(10) ORDER BY i), {SPACE}) AS content, nullif(regexp_extract(rtrim(first(line ORDER BY i), {SPACE}), '^(#{{2,3}})\s+.+$', 1), '') AS hashes, trim(regexp_extract(rtrim(first(line ORDER BY i), {SPACE}), '^#{{2,3}}\s+(.+)$', 1), {SPACE}) AS name FROM s GROUP BY key, sec),
+ti AS (SELECT key, first(trim(regexp_extract(line, '^#\s+(.+)$', 1), {SPACE}) ORDER BY i) AS title FROM l WHERE regexp_matches(line, '^#\s+.+$') GROUP BY key),
+heads AS (SELECT key, max(sec) AS heads FROM g GROUP BY key)
+SELECT g.key, CAST(row_number() OVER (PARTITION BY g.key ORDER BY sec) - 1 AS INTEGER) AS section, content, nullif(title, '') AS title, CASE WHEN sec > 0 THEN name WHEN heads > 0 THEN nullif(title, '') END AS section_title, CAST(length(hashes) AS VARCHAR) AS heading_level
+FROM g JOIN heads USING (key) LEFT JOIN ti ON ti.key = g.key WHERE content <> ''"""
+
+
+@query("p3_markdown_sections", MARKDOWN)
 def p3(spark, d):
     """Markdown built from documents: first line as the title, each further line a section."""
     body = F.concat(F.lit("# "), F.regexp_replace("text", "\n", "\n## "))
-    return parse.sections(table(spark, d, "documents").select(F.col("doc_id").alias("key"), body.alias("body")), parse.markdown_sections)
+    rows = parse.sections(table(spark, d, "documents").filter("text IS NOT NULL").select(F.col("doc_id").alias("key"), body.alias("body")), parse.markdown_sections)
+    return rows.select("key", "section", "content", *[F.try_element_at("metadata", F.lit(n)).alias(n) for n in ("title", "section_title", "heading_level")])
 
 
 JAVA = "format_string('package shop.p%s;\\n\\n/** %s. */\\npublic class Part%s {\\n    private int size = %s;\\n\\n    /** Price. */\\n    public double price() {\\n        return %s; // }\\n    }\\n}\\n', p_size, p_name, p_partkey, p_size, p_retailprice)"
@@ -98,9 +120,15 @@ def java_files(spark, d):
     return table(spark, d, "part").select(F.concat(F.lit("Part"), "p_partkey", F.lit(".java")).alias("key"), F.expr(JAVA).alias("body"))
 
 
-@query("p4_java_sections")
+JAVA_SQL = """WITH j AS (SELECT 'Part' || p_partkey || '.java' AS key, p_partkey AS n, p_size AS size, p_name AS name, CAST(p_retailprice AS VARCHAR) AS price FROM part)
+SELECT key, 0 AS section, '/** ' || name || '. */' || chr(10) || 'public class Part' || n || ' {' || chr(10) || chr(10) || '    // Fields' || chr(10) || '    // - size' || chr(10) || '}' AS content, 'class' AS element_type, CAST(NULL AS VARCHAR) AS method_name, 'shop.p' || size || '.Part' || n AS fqcn FROM j
+UNION ALL SELECT key, 1, '// Class: Part' || n || ' (shop.p' || size || '.Part' || n || ')' || chr(10) || '// Fields: size' || chr(10) || chr(10) || '/** Price. */' || chr(10) || '    public double price() {' || chr(10) || chr(10) || '        return ' || price || '; // }' || chr(10) || '    }', 'method', 'price', 'shop.p' || size || '.Part' || n FROM j"""
+
+
+@query("p4_java_sections", JAVA_SQL)
 def p4(spark, d):
-    return parse.sections(java_files(spark, d), parse.java_sections)
+    rows = parse.sections(java_files(spark, d), parse.java_sections)
+    return rows.select("key", "section", "content", *[F.try_element_at("metadata", F.lit(n)).alias(n) for n in ("element_type", "method_name", "fqcn")])
 
 
 XML = "format_string('<list><component name=\"%s\" class=\"shop.%s.Part%s\"/><component name=\"size\"><property value=\"%s\"/></component></list>', p_name, lower(p_type), p_partkey, p_size)"
@@ -110,9 +138,15 @@ def xml_files(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.expr(XML).alias("body"))
 
 
-@query("p5_xml_sections")
+XML_SQL = """WITH x AS (SELECT CAST(p_partkey AS VARCHAR) AS key, 'shop.' || lower(p_type) || '.Part' || p_partkey AS fqcn, p_name AS name, p_size AS size FROM part)
+SELECT key, 0 AS section, '<!-- File: ' || key || ' -->' || chr(10) || '<!-- Parent: <list> -->' || chr(10) || '<component name="' || name || '" class="' || fqcn || '" />' AS content, name AS element_name, fqcn, 'list' AS parent_element FROM x
+UNION ALL SELECT key, 1, '<!-- File: ' || key || ' -->' || chr(10) || '<!-- Parent: <list> -->' || chr(10) || '<component name="size"><property value="' || size || '" /></component>', 'size', NULL, 'list' FROM x"""
+
+
+@query("p5_xml_sections", XML_SQL)
 def p5(spark, d):
-    return parse.sections(xml_files(spark, d), parse.xml_sections)
+    rows = parse.sections(xml_files(spark, d), parse.xml_sections)
+    return rows.select("key", "section", "content", *[F.try_element_at("metadata", F.lit(n)).alias(n) for n in ("element_name", "fqcn", "parent_element")])
 
 
 @query("p6_content_kind", "WITH u AS (SELECT 'page' AS tbl, page_id AS id, html AS t FROM pages UNION ALL SELECT 'document', doc_id, text FROM documents) SELECT tbl, id, CASE WHEN starts_with(lower(trim(t)), '<!doctype') OR starts_with(lower(trim(t)), '<html') OR contains(lower(t), '<head>') OR contains(lower(t), '<body>') THEN 'HTML' ELSE 'MARKDOWN' END AS kind FROM u")
@@ -160,7 +194,21 @@ def c7(spark, d):
     return chunk.with_metadata(chunk.chunked(docs), docs).withColumn("metadata", F.to_json("metadata"))
 
 
-@query("c8_fixed_windows")
+WINDOW_END = """CASE WHEN {0} + 800 >= length(text) THEN length(text) ELSE {0} + CASE WHEN contains({1}, '。') AND 801 - instr(reverse({1}), '。') > 1 THEN 801 - instr(reverse({1}), '。')
+  WHEN NOT contains({1}, '。') AND contains({1}, chr(10)) AND 801 - instr(reverse({1}), chr(10)) > 1 THEN 801 - instr(reverse({1}), chr(10)) ELSE 800 END END"""
+
+
+def window_end(start):
+    return WINDOW_END.format(start, f"substring(text, {start} + 1, 800)")
+
+
+WINDOWS = f"""WITH RECURSIVE w AS (SELECT doc_id AS id, text, 0::BIGINT AS s, CAST({window_end('0')} AS BIGINT) AS e FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT id, text, n AS s, CAST({window_end('n')} AS BIGINT) AS e FROM (SELECT id, text, greatest(s + 1, e - 100) AS n FROM w WHERE e < length(text))),
+p AS (SELECT id, s, CASE WHEN length(text) > 800 THEN trim(substring(text, s + 1, e - s), {SPACE}) ELSE text END AS content FROM w)
+SELECT id, {KIND.replace('doc_id', 'id')} AS content_type, CAST(row_number() OVER (PARTITION BY id ORDER BY s) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY id) AS INTEGER) AS total_chunks, content FROM p WHERE length(content) >= 50"""
+
+
+@query("c8_fixed_windows", WINDOWS)
 def c8(spark, d):
     return chunk.chunked(_typed(spark, d), chunk.fixed_windows)
 
@@ -219,10 +267,30 @@ def m4(spark, d):
     return store.backlog(store.clear_vectors(chunk_vectors(spark, d), "src3"), 50).select("id", "source")
 
 
-@query("m5_ingest_summary", "WITH r AS (SELECT 'host' || CAST(page_id % 5 AS VARCHAR) AS source, CASE WHEN page_id % 10 = 0 THEN '[' || url || '] blank content' END AS error FROM pages) SELECT source, count(*) AS processed, count(*) FILTER (error IS NULL) AS success, count(error) AS errors, list_sort(coalesce(list(error) FILTER (error IS NOT NULL), [])) AS messages FROM r GROUP BY source")
-def m5(spark, d):
+RESULTS = "r AS (SELECT 'host' || CAST(page_id % 5 AS VARCHAR) AS source, CASE WHEN page_id % 10 = 0 THEN '[' || url || '] blank content' END AS error FROM pages)"
+
+
+def _results(spark, d):
     rows = table(spark, d, "pages").withColumn("body", F.when(F.col("page_id") % 10 != 0, F.col("html")))
-    return store.ingest_summary(source.checked(rows, "body", "url").select(F.concat(F.lit("host"), (F.col("page_id") % 5).cast("string")).alias("source"), "error"))
+    return source.checked(rows, "body", "url").select(F.concat(F.lit("host"), (F.col("page_id") % 5).cast("string")).alias("source"), "error")
+
+
+@query("m5_ingest_summary", f"WITH {RESULTS} SELECT source, count(*) AS processed, count(*) FILTER (error IS NULL) AS success, count(error) AS errors FROM r GROUP BY source")
+def m5(spark, d):
+    return store.ingest_summary(_results(spark, d))
+
+
+@query("m5_ingest_errors", f"WITH {RESULTS} SELECT source, error AS message, count(*) AS n FROM r WHERE error IS NOT NULL GROUP BY ALL")
+def m5_errors(spark, d):
+    return store.ingest_errors(_results(spark, d))
+
+
+@query("ingest_pages")
+def ingest_pages(spark, d):
+    """Pages to sections, chunks, vectors, store and summary; every tenth page is blank, every seventh is stored already."""
+    rows = table(spark, d, "pages").select(F.concat(F.lit("host"), (F.col("page_id") % 5).cast("string")).alias("source"), "url", F.when(F.col("page_id") % 10 != 0, F.col("html")).alias("html"), "page_id")
+    stored = rows.filter("page_id % 7 = 0").select("url")
+    return ingest.ingest(rows, fresh_path(spark, "store"), F.lit("2024-06-01 00:00:00").cast("timestamp"), stored)
 
 
 @query("m6_store_counts", f"WITH {CHUNKS} SELECT c.source, count(*) AS chunks, count(e.embedding) AS embedded FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.id GROUP BY c.source")
@@ -251,14 +319,8 @@ def m9(spark, d):
 ENTITY = [r"[A-Z][a-z]+ing", r"[a-z]+tion"]
 
 
-@query("q2_entities", r"SELECT conv_id, turn, list_concat(regexp_extract_all(text, '[A-Z][a-z]+ing'), regexp_extract_all(text, '[a-z]+tion')) AS every FROM conversations WHERE role = 'user'")
+@query("q2_entities", r"WITH e AS (SELECT conv_id, turn, list_concat(regexp_extract_all(text, '[A-Z][a-z]+ing'), regexp_extract_all(text, '[a-z]+tion')) AS e FROM conversations WHERE role = 'user') SELECT conv_id, turn, list_filter(e, lambda x, i: list_position(e, x) = i) AS entities FROM e")
 def q2(spark, d):
-    every = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in ENTITY])
-    return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", every.alias("every"))
-
-
-@query("q2_distinct_entities")
-def q2_distinct(spark, d):
     return table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", analysis.entities(F.col("text"), ENTITY).alias("entities"))
 
 

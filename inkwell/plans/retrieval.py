@@ -235,12 +235,13 @@ MRR = "coalesce(max(CASE WHEN rel THEN 1.0::DOUBLE / rank END), 0)"
 
 
 def ndcg(k):
-    return f"""round(CASE WHEN count(*) FILTER (rank <= {k} AND rel) = 0 THEN 0 ELSE sum(CASE WHEN rank <= {k} AND rel THEN 1 / log2(rank + 1) ELSE 0 END)
-    / list_sum(list_transform(range(1, CAST(count(*) FILTER (rank <= {k} AND rel) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) END, 6)"""
+    return f"""CASE WHEN count(*) FILTER (rank <= {k} AND rel) = 0 THEN 0 ELSE sum(CASE WHEN rank <= {k} AND rel THEN 1 / log2(rank + 1) ELSE 0 END)
+    / list_sum(list_transform(range(1, CAST(count(*) FILTER (rank <= {k} AND rel) AS BIGINT) + 1), lambda i: 1 / log2(i + 1))) END"""
 
 
-METRICS = f"""round({MRR}, 6) AS mrr, max(CASE WHEN rank <= 5 AND rel THEN 1.0::DOUBLE ELSE 0 END) AS recall_5, count(*) FILTER (rank <= 5 AND rel) AS relevant_5,
-  max(CASE WHEN rank <= 10 AND rel THEN 1.0::DOUBLE ELSE 0 END) AS recall_10, count(*) FILTER (rank <= 10 AND rel) AS relevant_10, {ndcg(5)} AS ndcg_5, {ndcg(10)} AS ndcg_10"""
+def metrics(cut="{0}"):
+    return f"""{cut.format(MRR)} AS mrr, max(CASE WHEN rank <= 5 AND rel THEN 1.0::DOUBLE ELSE 0 END) AS recall_5, count(*) FILTER (rank <= 5 AND rel) AS relevant_5,
+  max(CASE WHEN rank <= 10 AND rel THEN 1.0::DOUBLE ELSE 0 END) AS recall_10, count(*) FILTER (rank <= 10 AND rel) AS relevant_10, {cut.format(ndcg(5))} AS ndcg_5, {cut.format(ndcg(10))} AS ndcg_10"""
 
 
 def _judged(spark, d):
@@ -259,57 +260,67 @@ def r1(spark, d):
     return _judged(spark, d).select("query_id", "tbl", "id", "rank", "rel")
 
 
-@query("r2_to_r5_metrics", f"{KEYWORD}, {RELEVANT.format('ktext')} SELECT query_id, {METRICS} FROM rk GROUP BY query_id")
+@query("r2_to_r5_metrics", f"{KEYWORD}, {RELEVANT.format('ktext')} SELECT query_id, {metrics("round({0}, 6)")} FROM rk GROUP BY query_id")
 def r2(spark, d):
-    return evaluate.per_query(_judged(spark, d))
+    return evaluate.per_query(_judged(spark, d), digits=6)
 
 
-@query("r7_summary", f"""{KEYWORD}, {RELEVANT.format('ktext')}, m AS (SELECT query_id, category, language, {METRICS} FROM rk GROUP BY query_id, category, language)
+@query("r7_summary", f"""{KEYWORD}, {RELEVANT.format('ktext')}, m AS (SELECT query_id, category, language, {metrics()} FROM rk GROUP BY query_id, category, language)
 SELECT category, language, CAST(grouping(category) * 2 + grouping(language) AS INTEGER) AS level, count(*) AS queries, round(avg(mrr), 6) AS mrr, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_5), 6) AS ndcg_5
 FROM m GROUP BY GROUPING SETS ((category), (language), ())""")
 def r7(spark, d):
     return evaluate.summary(evaluate.per_query(_judged(spark, d), ("query_id", "category", "language")))
 
 
-MODES = f"""{HYBRID}, modes AS (SELECT 'KEYWORD' AS mode, query_id, tbl, id, rank FROM tlist UNION ALL SELECT 'VECTOR', query_id, tbl, id, rank FROM wlist UNION ALL SELECT 'HYBRID', query_id, tbl, id, rank FROM b),
-{RELEVANT.format('modes')}, mm AS (SELECT mode, query_id, round({MRR}, 6) AS mrr FROM rk GROUP BY ALL),
-piv AS (SELECT query_id, max(mrr) FILTER (mode = 'KEYWORD') AS "KEYWORD", max(mrr) FILTER (mode = 'VECTOR') AS "VECTOR", max(mrr) FILTER (mode = 'HYBRID') AS "HYBRID" FROM mm GROUP BY query_id)"""
+NAMES = ("KEYWORD", "VECTOR", "HYBRID", "RERANKED")
+MODES = f"""{RERANK}, rrs AS (SELECT query_id, tbl, id, {SIMILARITY} AS score FROM rs), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM rrs),
+modes AS (SELECT 'KEYWORD' AS mode, query_id, tbl, id, rank FROM tlist UNION ALL SELECT 'VECTOR', query_id, tbl, id, rank FROM wlist UNION ALL SELECT 'HYBRID', query_id, tbl, id, rank FROM b UNION ALL SELECT 'RERANKED', query_id, tbl, id, rank FROM rr),
+{RELEVANT.format('modes')}, mm AS (SELECT mode, query_id, {MRR} AS mrr FROM rk GROUP BY ALL),
+piv AS (SELECT query_id, {', '.join(f"max(mrr) FILTER (mode = '{m}') AS {m}" for m in NAMES)} FROM mm GROUP BY query_id)"""
 
 
 def _modes(spark, d):
+    """Metrics of keyword, vector and hybrid search, and of hybrid search after reranking."""
     rows, asked = _both(spark, d)
     text, near = _lists(spark, d)
+    both = fuse.hybrid(text, near, 50)
+    wide = both.join(rows.select("tbl", "id", "content"), ["tbl", "id"]).join(asked.select("query_id", "query"), "query_id")
     ranked = None
-    for mode, part in (("KEYWORD", text), ("VECTOR", near), ("HYBRID", fuse.hybrid(text, near, 50))):
-        part = part.filter("rank <= 10").withColumn("mode", F.lit(mode))
+    for mode, part in zip(NAMES, (text, near, both, fuse.rerank(wide, 10))):
+        part = part.filter("rank <= 10").select("query_id", "tbl", "id", "rank", F.lit(mode).alias("mode"))
         ranked = part if ranked is None else ranked.unionByName(part)
     return evaluate.per_query(_labelled(ranked, rows), ("mode", "query_id"))
 
 
-@query("r8_mode_comparison", f"{MODES} SELECT * FROM piv")
+@query("r8_mode_comparison", f"{MODES} SELECT query_id, {', '.join(f'round({m}, 6) AS {m}' for m in NAMES)} FROM piv")
 def r8(spark, d):
-    return evaluate.compared(_modes(spark, d), list(fuse.MODES))
+    return evaluate.compared(_modes(spark, d), list(NAMES))
 
 
-@query("r9_paired_test", f"{MODES}, df AS (SELECT coalesce(\"HYBRID\", 0) - coalesce(\"KEYWORD\", 0) AS d FROM piv), st AS (SELECT count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd FROM df) SELECT n, round(mean, 6) AS mean_difference, round(CASE WHEN sd > 0 THEN mean / sd * sqrt(n) END, 6) AS t, round(CASE WHEN sd > 0 THEN mean / sd END, 6) AS effect FROM st")
+@query("r9_paired_test", f"{MODES}, df AS (SELECT coalesce(round(HYBRID, 6), 0) - coalesce(round(KEYWORD, 6), 0) AS d FROM piv), st AS (SELECT count(*) AS n, avg(d) AS mean, stddev_samp(d) AS sd FROM df) SELECT n, round(mean, 6) AS mean_difference, round(CASE WHEN sd > 0 THEN mean / sd * sqrt(n) END, 6) AS t, round(CASE WHEN sd > 0 THEN mean / sd END, 6) AS effect FROM st")
 def r9(spark, d):
-    return evaluate.paired(evaluate.compared(_modes(spark, d), list(fuse.MODES)), "KEYWORD", "HYBRID")
+    return evaluate.paired(evaluate.compared(_modes(spark, d), list(NAMES)), "KEYWORD", "HYBRID")
 
 
-SWEEP = " UNION ALL ".join(
-    f"SELECT {k} AS rrf_k, query_id, tbl, id, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / ({k} + rank)), 6) DESC, tbl, id) AS rank FROM u GROUP BY query_id, tbl, id" for k in (10, 60, 100)
-)
+#: Settings of the sweep: reciprocal fusion by constant, weighted fusion by share of the vector side, each by candidates.
+GRID = [("rrf", k, None, c) for k in (10, 60, 100) for c in (10, 50)] + [("weighted", None, a, c) for a in (0.3, 0.5, 0.7) for c in (10, 50)]
+GRID_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {k or 'NULL'}, {a or 'NULL'}::DOUBLE, {c})" for m, k, a, c in GRID) + ") t(method, rrf_k, alpha, candidates))"
 
 
-@query("r9_parameter_sweep", f"{RRF}, sw AS ({SWEEP}), {RELEVANT.format('sw')}, q AS (SELECT rrf_k, query_id, round({MRR}, 6) AS mrr FROM rk GROUP BY ALL) SELECT rrf_k, round(avg(mrr), 6) AS mrr, count(*) AS queries FROM q GROUP BY rrf_k")
+@query("r9_parameter_sweep", f"""{RRF}, {GRID_SQL}, sc AS (SELECT method, rrf_k, alpha, candidates, query_id, tbl, id, round(sum(CASE WHEN method = 'rrf' THEN 1.0::DOUBLE / (rrf_k + rank) ELSE CASE side WHEN 1 THEN alpha ELSE 1 - alpha END * score END), 6) AS score FROM u JOIN grid ON rank <= candidates GROUP BY ALL),
+sw AS (SELECT *, row_number() OVER (PARTITION BY method, rrf_k, alpha, candidates, query_id ORDER BY score DESC, tbl, id) AS rank FROM sc), {RELEVANT.format('sw')},
+q AS (SELECT method, rrf_k, alpha, candidates, query_id, {MRR} AS mrr FROM rk GROUP BY ALL) SELECT method, CAST(rrf_k AS INTEGER) AS rrf_k, alpha, candidates, round(avg(mrr), 6) AS mrr, count(*) AS queries FROM q GROUP BY ALL""")
 def r9_sweep(spark, d):
-    lists = _lists(spark, d)
-    ranked = None
-    for k in (10, 60, 100):
-        part = fuse.reciprocal(*lists, k=10, constant=k).withColumn("rrf_k", F.lit(k))
-        ranked = part if ranked is None else ranked.unionByName(part)
-    metrics = evaluate.per_query(_labelled(ranked, chunks(spark, d)), ("rrf_k", "query_id"))
-    return metrics.groupBy("rrf_k").agg(F.round(F.avg("mrr"), 6).alias("mrr"), F.count("*").alias("queries"))
+    grid = spark.createDataFrame(GRID, "method string, rrf_k int, alpha double, candidates int")
+    ranked = _labelled(fuse.swept(*_lists(spark, d), grid, 10), chunks(spark, d))
+    metrics = evaluate.per_query(ranked, ("method", "rrf_k", "alpha", "candidates", "query_id"))
+    return metrics.groupBy("method", "rrf_k", "alpha", "candidates").agg(F.round(F.avg("mrr"), 6).alias("mrr"), F.count("*").alias("queries"))
+
+
+@query("r6_coverage", f"{MATCHED} SELECT count(*) AS queries, count(f.query_id) AS covered, round(count(f.query_id) / count(*), 6) AS coverage FROM queries q LEFT JOIN (SELECT DISTINCT query_id FROM found) f ON f.query_id = q.query_id")
+def r6_coverage(spark, d):
+    asked = keyword_queries(spark, d)
+    return evaluate.coverage(asked, keyword.search(chunks(spark, d), asked, 10))
 
 
 @query("r6_graded", f"""{KEYWORD}, gold AS (SELECT query_id, id, (id % 4) AS grade FROM ktext WHERE id % 3 <> 0 AND rank <= 50),
@@ -325,7 +336,7 @@ def r6(spark, d):
     return evaluate.graded(ranked, gold, 10)
 
 
-@query("r10_latency", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+@query("r10_latency", "SELECT event_type, round(quantile_disc(value, 0.5), 6) AS p50, round(quantile_disc(value, 0.95), 6) AS p95, round(quantile_disc(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def r10(spark, d):
     return evaluate.latency(table(spark, d, "events"), "value", "event_type")
 

@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 
 from inkwell.functions import text as X
 from inkwell.operators import catalog, scan
-from inkwell.plans.corpus import java_files, xml_files
 from inkwell.plans.views import table
 
 QUERIES, SQL = {}, {}
@@ -42,7 +41,7 @@ def searches(spark, d):
 
 
 @query("g1_catalog_search", f"""WITH {ENTRIES}, {SEARCHES}, tk AS (SELECT query_id, category AS wanted, unnest(list_distinct(regexp_split_to_array(lower(trim(query)), '\\s+'))) AS token FROM searches)
-SELECT DISTINCT query_id, kind, name FROM tk JOIN entries e ON (contains(lower(e.name), token) OR contains(lower(e.brand), token) OR contains(lower(e.category), token)) AND (e.kind <> 'api' OR wanted IS NULL OR lower(e.category) = wanted)""")
+SELECT query_id, kind, name, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE kind WHEN 'api' THEN 1 WHEN 'module' THEN 2 ELSE 3 END, name) AS INTEGER) AS place FROM (SELECT DISTINCT query_id, kind, name FROM tk JOIN entries e ON (contains(lower(e.name), token) OR contains(lower(e.brand), token) OR contains(lower(e.category), token)) AND (e.kind <> 'api' OR wanted IS NULL OR lower(e.category) = wanted))""")
 def g1(spark, d):
     return catalog.any_token(entries(spark, d), searches(spark, d), ["name", "brand", "category"])
 
@@ -62,14 +61,22 @@ def g2_named(spark, d):
     return catalog.by_name(parts.select("p_partkey", "p_name"), asked, "p_name").select("asked", "p_partkey")
 
 
-@query("g3_catalog_index", "SELECT lower(p_type) AS category, list_sort(list_distinct(list(p_name))) AS names FROM part GROUP BY lower(p_type)")
+@query("g2_name_or_artifact", "SELECT a.p_partkey AS asked, b.p_partkey FROM part a JOIN part b ON lower(b.p_name) = lower(a.p_name) OR lower(b.p_brand || '.' || b.p_partkey) = lower(a.p_name) WHERE a.p_partkey % 100 = 0 UNION ALL SELECT a.p_partkey, b.p_partkey FROM part a JOIN part b ON a.p_brand || '.' || a.p_partkey = b.p_brand || '.' || b.p_partkey WHERE a.p_partkey % 100 = 50")
+def g2_artifact(spark, d):
+    artifact = F.concat("p_brand", F.lit("."), F.col("p_partkey").cast("string"))
+    parts = table(spark, d, "part").select("p_partkey", "p_name", artifact.alias("artifact"))
+    asked = parts.filter("p_partkey % 100 IN (0, 50)").select(F.col("p_partkey").alias("asked"), F.when(F.col("p_partkey") % 100 == 0, F.upper("p_name")).otherwise(F.lower("artifact")).alias("wanted"))
+    return catalog.by_name(parts, asked, "p_name", "artifact").select("asked", "p_partkey")
+
+
+@query("g3_catalog_index", "SELECT DISTINCT lower(p_type) AS category, p_name AS name FROM part")
 def g3(spark, d):
     return catalog.grouped(table(spark, d, "part").select(F.col("p_type").alias("category"), F.col("p_name").alias("name")))
 
 
 @query("g3_class_index", "SELECT DISTINCT p_brand AS module, p_name AS class_name FROM part")
 def g3_classes(spark, d):
-    modules = table(spark, d, "part").groupBy(F.col("p_brand").alias("name")).agg(F.collect_set("p_name").alias("key_classes"))
+    modules = table(spark, d, "part").groupBy(F.col("p_brand").alias("name"), "p_size", F.floor(F.col("p_partkey") / 1000).alias("part")).agg(F.collect_set("p_name").alias("key_classes"))
     return catalog.class_index(modules)
 
 
@@ -153,11 +160,17 @@ def g8(spark, d):
     return catalog.violations(rows)
 
 
-@query("s7_flatten_catalog")
+CATALOGS = "p_brand || '/' || CAST(p_partkey // 1000 AS VARCHAR)"
+
+
+@query("s7_flatten_catalog", f"""SELECT {CATALOGS} AS catalog, 'brand' AS section, p_name AS name, 'shop.Part' || p_partkey AS fqcn, CAST(NULL AS VARCHAR) AS description, p_type AS usage, CAST(NULL AS VARCHAR) AS source_url, CAST(NULL AS VARCHAR) AS error FROM part
+UNION ALL SELECT DISTINCT {CATALOGS}, 'brand', 'brand', NULL, p_brand, NULL, NULL, NULL FROM part""")
 def s7(spark, d):
+    """A catalogue for each brand and thousand of part keys."""
     item = F.struct(F.col("p_name").alias("name"), F.concat(F.lit("shop.Part"), "p_partkey").alias("fqcn"), F.col("p_type").alias("example"))
-    rows = table(spark, d, "part").groupBy("p_brand").agg(F.to_json(F.struct(F.struct(F.first("p_brand").alias("description"), F.sort_array(F.collect_list(item)).alias("parts")).alias("brand"))).alias("body"))
-    return catalog.flattened(rows.select(F.col("p_brand").alias("catalog"), "body"))
+    part = F.concat("p_brand", F.lit("/"), F.floor(F.col("p_partkey") / 1000).cast("string")).alias("catalog")
+    rows = table(spark, d, "part").groupBy(part).agg(F.to_json(F.struct(F.struct(F.first("p_brand").alias("description"), F.sort_array(F.collect_list(item)).alias("parts")).alias("brand"))).alias("body"))
+    return catalog.flattened(rows)
 
 
 QUEUES = "queues AS (SELECT user_id AS queue, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS pos, event_type AS name FROM events)"
@@ -253,14 +266,14 @@ def x8(spark, d):
     return scan.report(_security(spark, d).unionByName(_performance(spark, d)))
 
 
-@query("x8_ordered_findings", f"WITH {SECURITY}, {PERFORMANCE}, al AS (SELECT * FROM sec UNION ALL SELECT * FROM perf) SELECT * FROM al")
+@query("x8_ordered_findings", f"WITH {SECURITY}, {PERFORMANCE}, al AS (SELECT * FROM sec UNION ALL SELECT * FROM perf) SELECT *, CASE severity WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS severity_rank FROM al")
 def x8_ordered(spark, d):
     return scan.ordered(_security(spark, d).unionByName(_performance(spark, d)))
 
 
 @query("x9_queue_repair")
 def x9(spark, d):
-    return scan.repair(queues(spark, d), {"view": ["click"]}, {"purchase": ["view"]})
+    return scan.repair(queues(spark, d), {"view": ["click"]}, {"purchase": ["view"]}, [("login", "click"), ("logout", None)])
 
 
 MIGRATION = [("MR-1", "namespace", r"token = "), ("MR-2", "api_removal", r"\+1 \(\d+\)"), ("MR-3", "api_change", r"License, (?!version)"), ("MR-4", "namespace", r"rights\s+reserved")]
@@ -270,7 +283,13 @@ def _found(spark, d, scope="full"):
     return scan.migration(table(spark, d, "documents").select(F.col("doc_id").alias("file"), F.col("text").alias("body")), MIGRATION, scope)
 
 
-@query("x10_migration_scan")
+def found_sql(rule, category, pattern, sure="true"):
+    """Matches of a pattern with their lines; `sure` is a condition on the text after a match, `rest`."""
+    return f"""SELECT file, '{rule}' AS rule_id, '{category}' AS category, m[j] AS found, CAST(1 + length(pre) - length(replace(pre, chr(10), '')) AS INTEGER) AS line
+FROM (SELECT file, m, j, array_to_string(list_concat(p[1:j], m[1:j - 1]), '') AS pre, p[j + 1] AS rest FROM (SELECT CAST(doc_id AS VARCHAR) AS file, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p, unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 1)) AS j FROM documents)) WHERE {sure}"""
+
+
+@query("x10_migration_scan", " UNION ALL ".join([found_sql(*r) for r in MIGRATION if r[0] != "MR-3"] + [found_sql("MR-3", "api_change", "License, ", "NOT starts_with(rest, 'version')")]))
 def x10(spark, d):
     return _found(spark, d)
 
@@ -312,15 +331,22 @@ def x14(spark, d):
     return scan.misplaced(queues(spark, d), spark.createDataFrame([("signup", "must_be_outer"), ("purchase", "must_be_inner")], "name string, rule string"))
 
 
-@query("x_java_and_xml_types", "SELECT 'XML' AS kind, count(*) AS n FROM part UNION ALL SELECT 'JAVA', count(*) FROM part")
-def x_kinds(spark, d):
-    return java_files(spark, d).unionByName(xml_files(spark, d)).groupBy(X.code_type(F.col("body")).alias("kind")).agg(F.count("*").alias("n"))
+CALLS = "c AS (SELECT event_type AS tool, CASE WHEN event_type = 'error' THEN CAST(json_extract(props, '$.k') AS VARCHAR) END AS exception, value AS duration FROM events)"
 
 
-@query("l1_tool_statistics", "WITH c AS (SELECT event_type AS tool, CASE WHEN event_type = 'error' THEN CAST(json_extract(props, '$.k') AS VARCHAR) END AS exception, value AS duration FROM events) SELECT tool, exception, count(*) AS calls, round(sum(duration), 6) AS total, max(duration) AS most FROM c GROUP BY ALL")
-def l1(spark, d):
+def calls(spark, d):
     exception = F.when(F.col("event_type") == "error", F.get_json_object("props", "$.k"))
-    return scan.tool_statistics(table(spark, d, "events").select(F.col("event_type").alias("tool"), exception.alias("exception"), F.col("value").alias("duration")))
+    return table(spark, d, "events").select(F.col("event_type").alias("tool"), exception.alias("exception"), F.col("value").alias("duration"))
+
+
+@query("l1_tool_totals", f"WITH {CALLS} SELECT tool, count(*) AS calls, count(exception) AS errors, round(sum(duration), 6) AS total, max(duration) AS most FROM c GROUP BY tool")
+def l1_totals(spark, d):
+    return scan.tool_totals(calls(spark, d))
+
+
+@query("l1_tool_statistics", f"WITH {CALLS} SELECT tool, exception, count(*) AS calls, round(sum(duration), 6) AS total, max(duration) AS most FROM c GROUP BY ALL")
+def l1(spark, d):
+    return scan.tool_statistics(calls(spark, d))
 
 
 @query("l2_log_rows", "SELECT conv_id * 1000 + turn AS id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...(truncated)' ELSE text END AS parameters, CAST(strlen(text) AS INTEGER) AS response_bytes FROM conversations")

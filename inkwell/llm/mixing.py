@@ -68,7 +68,7 @@ def mix(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     goes to documents in the order of a hash of (doc_id, text), the last of them in part. Null texts have size 0 and
     are taken 0 times; a null source is a source of its own; repeated rows are ordered by their row number. positions are
     where the first words of each take are trained, in [0, 1), and position is the first of them; both are null for a
-    document that is not taken.
+    document that is not taken. A very long text is a document of its size like others; an empty table gives an empty one.
     """
     return _mixed(_with_sizes(docs.select("doc_id", "text", "source")), buckets)
 

@@ -4,6 +4,10 @@ masked, sources are mixed to their targets, and the result is encoded.
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept. All but the last return the
 columns of docs; the last returns the digests of ids and decoded bytes of every row of the mix, so a document that the
 mix takes twice has two rows.
+
+In every stage null and empty texts are kept (as clean, as one group of texts without words, as nothing to mask, as rows
+that the mix takes once, and as no ids), very long texts are steps of their own, extra columns and clashing names pass
+through, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -16,28 +20,31 @@ from inkwell.llm.common import remove, scope, table, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the model fitted on docs and labels calls toxic."""
+    """Drop the documents that the model fitted on docs and labels calls toxic. Repeated rows are judged alike; without
+    labels of both kinds nothing goes."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near copies."""
+    """Keep the document with the smallest id of each group of near copies: sets of five-word shingles of similarity 0.8
+    or more, and op6's links. Of repeated rows one stays; a null id stays only in a group without another."""
     return simhash.drop_near_copies(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind; n_chars follows the text."""
+    """Replace personal data by its kind; n_chars, where docs has it, follows the text. All rows stay."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as its source's target asks, in training order."""
+    """Take each document as often as its source's target asks, in training order; a null source is one of its own, ties
+    go by the row."""
     return mixing.resample(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode and decode each row."""
+    """Encode and decode each row, repeated ones too."""
     return bpe.digests(docs)
 
 

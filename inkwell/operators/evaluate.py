@@ -65,7 +65,7 @@ def coverage(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     """(queries, covered, coverage): the share of the queries (query_id) with at least one result."""
     found = ranked.select("query_id", F.lit(1).alias("hit")).distinct()
     rows = queries.select("query_id").distinct().join(found, "query_id", "left")
-    return rows.agg(F.count("*").alias("queries"), F.count("hit").alias("covered"), F.round(F.coalesce(F.count("hit") / F.count("*"), F.lit(0.0)), 6).alias("coverage"))
+    return rows.agg(F.count("*").alias("queries"), F.count("hit").alias("covered"), F.round(F.count("hit") / F.greatest(F.count("*"), F.lit(1)), 6).alias("coverage"))
 
 
 def compared(metrics: DataFrame, modes: list[str], value: str = "mrr") -> DataFrame:

@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def plain(v):
     if isinstance(v, (float, decimal.Decimal)):
-        return round(float(v), 5) + 0.0
+        return round(float(v), 6) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
     return v

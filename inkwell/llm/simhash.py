@@ -31,6 +31,10 @@ SHINGLE, SEED, MOST = 4, 42, 4
 #: Words of a shingle and least Jaccard similarity of near copies; bands and minima of a band, which miss a pair at
 #: ALIKE with probability (1 - ALIKE ** MINIMA) ** BANDS, below 0.0001.
 WORDS, ALIKE, BANDS, MINIMA = 5, 0.8, 24, 5
+#: Classes of shingle hashes by which common shingles are counted, a power of two.
+CLASSES = 64
+#: Columns of one text of a pair, and their names in the pair.
+HUB = {"node": "x", "root": "a", "n": "m", "common": "theirs"}
 #: Text of a step that holds sets of shingles.
 SETS_BYTES = 1 << 20
 _RANDOM = np.random.default_rng(SEED)
@@ -254,31 +258,62 @@ def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return arrow_pass(given, step, "a bigint, b bigint, close boolean", SETS_BYTES).filter("close").select("a", "b")
 
 
+def shared(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, lone, common) of nodes, texts of rows: how many of its shingles no other node has, and how many of the rest
+    fall in each class of hashes.
+
+    Two texts share at most the sum over classes of the smaller count, so the pair of counts rules out most pairs that
+    miss ALIKE; a hash that two shingles share only makes that bound looser.
+    """
+
+    def step(batch):
+        sets = [shingles(raw) for raw in texts(batch.column("text"))]
+        sizes = [np.bincount((h % CLASSES).astype(np.int64), minlength=CLASSES) for h in sets]
+        return {"node": batch.column("row"), "sizes": sizes, "hashes": [h.view(np.int64) for h in sets]}
+
+    given = rows.select("row", "text").join(nodes.withColumnRenamed("node", "row"), "row", "left_semi")
+    sets = written(arrow_pass(given, step, "node bigint, sizes array<int>, hashes array<bigint>", SETS_BYTES), "simhash-sets")
+    once = sets.select(F.explode("hashes").alias("hash"), "node").groupBy("hash").agg(F.count("*").alias("texts"), F.min("node").alias("node")).filter("texts = 1")
+    by_class = once.groupBy("node", F.col("hash").bitwiseAND(CLASSES - 1).cast("int").alias("class")).agg(F.count("*").cast("int").alias("n"))
+    lone = by_class.groupBy("node").agg(F.sum("n").alias("lone"), F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("own"))
+    own = lambda k: F.coalesce(F.try_element_at("own", k), F.lit(0))
+    common = F.transform("sizes", lambda n, k: n - own(k))
+    return sets.drop("hashes").join(lone, "node", "left").select("node", F.coalesce("lone", F.lit(0)).alias("lone"), common.alias("common"))
+
+
 def merged(rows: DataFrame, most: int = MOST) -> DataFrame:
     """A written table (fp, root): components of rows (row, doc_id, fp, text) by links and by near copies.
 
-    Buckets of a band first compare all their texts with the first one, then every pair that is still apart; a bucket
-    that has become one component drops out, so a large group of near copies doesn't cost its square.
+    Buckets of a band first compare all their texts with the one that has the fewest shingles of its own, the likely
+    origin of a group, then every pair that is still apart and whose counts of common shingles let it reach ALIKE. A
+    bucket that has become one component drops out, so a large group of near copies doesn't cost its square, as long as
+    its members differ from its origin by words of their own.
     """
     roots = rooted(rows.select("doc_id", "fp"), most).select("fp", "root")
     keyed = banded(rows.select("row", "fp", "text")).join(roots, "fp")
     placed = written(keyed.select(F.explode("keys").alias("key"), "node", "n", "root"), "simhash-bands")
     for star in (True, False):
-        apart = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.min(F.struct("node", "n", "root")).alias("low")).filter("r <> s")
-        apart = written(apart.select("key", "low"), "simhash-apart")
-        placed = written(placed.join(apart, "key"), "simhash-open")
+        apart = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
+        placed = written(placed.join(written(apart, "simhash-apart"), "key"), "simhash-open")
         if star:
-            pairs = placed.select(F.col("low.node").alias("x"), F.col("node").alias("y"), F.col("low.root").alias("a"), F.col("root").alias("b"), F.col("low.n").alias("m"), "n")
+            counts = shared(placed.select("node").distinct(), rows)
+            # a text whose common shingles are too few for ALIKE has no partner
+            placed = written(placed.join(counts, "node").filter(F.col("n") - F.col("lone") >= ALIKE * F.col("n")), "simhash-counted")
+            hub = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "root", "common"), F.struct("lone", "node")).alias("hub"))
+            one = hub.select("key", *[F.col(f"hub.{was}").alias(name) for was, name in HUB.items()])
         else:
-            one = placed.select("key", F.col("node").alias("x"), F.col("root").alias("a"), F.col("n").alias("m"))
-            two = placed.select("key", F.col("node").alias("y"), F.col("root").alias("b"), "n")
-            pairs = one.join(two.hint("merge"), (one["key"] == two["key"]) & (F.col("x") < F.col("y")) & (F.col("a") != F.col("b"))).drop("key")
-        # sets whose sizes differ more can't reach ALIKE
-        pairs = pairs.filter((F.col("a") != F.col("b")) & (F.least("m", "n") >= ALIKE * F.greatest("m", "n"))).select("x", "y", "a", "b").distinct()
+            one = placed.select("key", *[F.col(was).alias(name) for was, name in HUB.items()]).hint("merge")
+        two = placed.select("key", F.col("node").alias("y"), F.col("root").alias("b"), "n", "common")
+        other = F.lit(True) if star else F.col("x") < F.col("y")
+        # sets whose sizes, or common shingles, differ more can't reach ALIKE
+        sizes = F.least("m", "n") >= ALIKE * F.greatest("m", "n")
+        both = F.aggregate(F.zip_with("common", "theirs", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+        reach = both >= ALIKE / (1 + ALIKE) * (F.col("m") + F.col("n")) - 1e-6
+        pairs = two.join(one, "key").filter(other & (F.col("a") != F.col("b")) & sizes & reach).select("x", "y", "a", "b").distinct()
         joined = components(alike(written(pairs, "simhash-pairs"), rows)).toDF("was", "to")
         root = F.coalesce("to", "root").alias("root")
         roots = written(roots.join(joined, F.col("root") == F.col("was"), "left").select("fp", root), "simhash-merged")
-        placed = placed.join(joined, F.col("root") == F.col("was"), "left").select("key", "node", "n", root)
+        placed = placed.join(joined, F.col("root") == F.col("was"), "left").select("key", "node", "n", "common", root)
     return roots
 
 

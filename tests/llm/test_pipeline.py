@@ -1,6 +1,7 @@
 """The pipeline's stages on the awkward rows, each against a plain version, and on empty tables."""
 
 import hashlib
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -103,5 +104,33 @@ def test_frames_of_a_stage_stay_readable(spark, edge):
     assert one.count() == two.count() and 0 < len(made) <= 2
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Same survivors as by all pairs, from far fewer candidate pairs than the group has, copies of copies included."""
+    rnd = random.Random(11)
+    origin = [f"w{rnd.randrange(400)}" for _ in range(150)]
+    rows = []
+    for i in range(240):
+        words = list(origin)
+        for _ in range(min(30, int(rnd.expovariate(0.3)))):
+            words[rnd.randrange(len(words))] = f"w{rnd.randrange(400)}"
+        if i % 8 == 0:
+            del words[rnd.randrange(140) :][: rnd.randrange(12)]
+        rows.append({"doc_id": rnd.randrange(10**6), "text": " ".join(words)})
+    rows += [{"doc_id": 10**6 + k, "text": rows[k]["text"]} for k in range(20)]
+    pairs, write = [], simhash.written
+
+    def watched(df, name):
+        out = write(df, name)
+        if name == "simhash-pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "written", watched)
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want, far = survivors(rows)
+    assert far > 1000 and {r["doc_id"] for r in kept} == {r["doc_id"] for r in want} and len(kept) == len(want) > 20
+    assert sum(pairs) < 4 * len(rows)
+
+
 def test_empty(spark, bare):
     assert corpus_pipeline.run(spark, bare).count() == 0

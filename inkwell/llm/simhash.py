@@ -241,16 +241,19 @@ def banded(rows: DataFrame) -> DataFrame:
     return arrow_pass(rows, step, schema, SETS_BYTES).dropDuplicates(["digest", "fp"]).drop("digest")
 
 
-def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b): the roots of those pairs (x, y, a, b) whose rows' texts reach ALIKE."""
-    text = rows.select("row", "text")
-    given = pairs.join(text.toDF("x", "left"), "x").join(text.toDF("y", "right"), "y").select("a", "b", "left", "right")
+def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): the roots of those pairs (x, y, a, b), a written table, whose sets (node, hashes) reach ALIKE.
+
+    Only the sets of nodes in a pair are moved, so the work follows the pairs and not the corpus.
+    """
+    asked = written(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "simhash-asked")
+    own = written(sets.select("node", "hashes").join(asked, "node", "left_semi"), "simhash-own")
+    given = pairs.join(own.toDF("x", "left"), "x").join(own.toDF("y", "right"), "y").select("a", "b", "left", "right")
 
     def step(batch):
-        sets: dict[bytes, np.ndarray] = {}
         close = []
-        for one, two in zip(texts(batch.column("left")), texts(batch.column("right"))):
-            one, two = (sets[t] if t in sets else sets.setdefault(t, shingles(t)) for t in (one, two))
+        for one, two in zip(batch.column("left"), batch.column("right")):
+            one, two = one.values.to_numpy(), two.values.to_numpy()
             both = len(np.intersect1d(one, two, True))
             close.append(both >= ALIKE * (len(one) + len(two) - both))
         return {"a": batch.column("a"), "b": batch.column("b"), "close": close}
@@ -258,9 +261,9 @@ def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return arrow_pass(given, step, "a bigint, b bigint, close boolean", SETS_BYTES).filter("close").select("a", "b")
 
 
-def shared(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, lone, common) of nodes, texts of rows: how many of its shingles no other node has, and how many of the rest
-    fall in each class of hashes.
+def shared(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes, texts of rows: a written table (node, sizes, hashes) of its shingles, their number by class of hashes; and
+    (node, lone, common): how many of them no other node has, and how many of the rest fall in each class.
 
     Two texts share at most the sum over classes of the smaller count, so the pair of counts rules out most pairs that
     miss ALIKE; a hash that two shingles share only makes that bound looser.
@@ -278,7 +281,7 @@ def shared(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     lone = by_class.groupBy("node").agg(F.sum("n").alias("lone"), F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("own"))
     own = lambda k: F.coalesce(F.try_element_at("own", k), F.lit(0))
     common = F.transform("sizes", lambda n, k: n - own(k))
-    return sets.drop("hashes").join(lone, "node", "left").select("node", F.coalesce("lone", F.lit(0)).alias("lone"), common.alias("common"))
+    return sets, sets.drop("hashes").join(lone, "node", "left").select("node", F.coalesce("lone", F.lit(0)).alias("lone"), common.alias("common"))
 
 
 def merged(rows: DataFrame, most: int = MOST) -> DataFrame:
@@ -296,7 +299,7 @@ def merged(rows: DataFrame, most: int = MOST) -> DataFrame:
         apart = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
         placed = written(placed.join(written(apart, "simhash-apart"), "key"), "simhash-open")
         if star:
-            counts = shared(placed.select("node").distinct(), rows)
+            sets, counts = shared(placed.select("node").distinct(), rows)
             # a text whose common shingles are too few for ALIKE has no partner
             placed = written(placed.join(counts, "node").filter(F.col("n") - F.col("lone") >= ALIKE * F.col("n")), "simhash-counted")
             hub = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "root", "common"), F.struct("lone", "node")).alias("hub"))
@@ -310,7 +313,7 @@ def merged(rows: DataFrame, most: int = MOST) -> DataFrame:
         both = F.aggregate(F.zip_with("common", "theirs", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
         reach = both >= ALIKE / (1 + ALIKE) * (F.col("m") + F.col("n")) - 1e-6
         pairs = two.join(one, "key").filter(other & (F.col("a") != F.col("b")) & sizes & reach).select("x", "y", "a", "b").distinct()
-        joined = components(alike(written(pairs, "simhash-pairs"), rows)).toDF("was", "to")
+        joined = components(alike(written(pairs, "simhash-pairs"), sets)).toDF("was", "to")
         root = F.coalesce("to", "root").alias("root")
         roots = written(roots.join(joined, F.col("root") == F.col("was"), "left").select("fp", root), "simhash-merged")
         placed = placed.join(joined, F.col("root") == F.col("was"), "left").select("key", "node", "n", "common", root)

@@ -35,6 +35,8 @@ WORDS, ALIKE, BANDS, MINIMA = 5, 0.8, 24, 5
 CLASSES = 64
 #: Columns of one text of a pair, and their names in the pair.
 HUB = {"node": "x", "root": "a", "n": "m", "common": "theirs"}
+#: Bits of the broadcast bitmap of row numbers for each of them, and at most: BITS / 64 rows are broadcast.
+SPARSE, BITS = 16, 1 << 24
 #: Text of a step that holds sets of shingles.
 SETS_BYTES = 1 << 20
 _RANDOM = np.random.default_rng(SEED)
@@ -241,6 +243,23 @@ def banded(rows: DataFrame) -> DataFrame:
     return arrow_pass(rows, step, schema, SETS_BYTES).dropDuplicates(["digest", "fp"]).drop("digest")
 
 
+def sieved(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows with `may`, which is true for each row in ids (row, a written table) and for few others.
+
+    So rows that need no exact join stay where they are. The bitmap of row numbers that is broadcast has at most BITS bits;
+    where ids are so many that it fills, more rows go through the exact join.
+    """
+    n, bits = ids.count(), 1 << 10
+    while bits < min(n * SPARSE, BITS):
+        bits *= 2
+    slot = F.pmod(F.xxhash64("row"), F.lit(bits))
+    own = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
+    words = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(own).alias("mask"))
+    given = rows.withColumn("slot", slot).withColumn("word", F.shiftright("slot", 6))
+    given = given.join(F.broadcast(written(words, "simhash-words")), "word", "left")
+    return given.withColumn("may", F.coalesce(F.col("mask").bitwiseAND(own) != 0, F.lit(False))).drop("slot", "word", "mask")
+
+
 def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): the roots of those pairs (x, y, a, b), a written table, whose sets (node, hashes) reach ALIKE.
 
@@ -274,7 +293,8 @@ def shared(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         sizes = [np.bincount((h % CLASSES).astype(np.int64), minlength=CLASSES) for h in sets]
         return {"node": batch.column("row"), "sizes": sizes, "hashes": [h.view(np.int64) for h in sets]}
 
-    given = rows.select("row", "text").join(nodes.withColumnRenamed("node", "row"), "row", "left_semi")
+    nodes = written(nodes.withColumnRenamed("node", "row"), "simhash-asked")
+    given = sieved(rows.select("row", "text"), nodes).filter("may").join(nodes, "row", "left_semi").select("row", "text")
     sets = written(arrow_pass(given, step, "node bigint, sizes array<int>, hashes array<bigint>", SETS_BYTES), "simhash-sets")
     once = sets.select(F.explode("hashes").alias("hash"), "node").groupBy("hash").agg(F.count("*").alias("texts"), F.min("node").alias("node")).filter("texts = 1")
     by_class = once.groupBy("node", F.col("hash").bitwiseAND(CLASSES - 1).cast("int").alias("class")).agg(F.count("*").cast("int").alias("n"))
@@ -328,8 +348,10 @@ def drop_near_copies(docs: DataFrame, most: int = MOST) -> DataFrame:
     roots = merged(rows.select("row", "doc_id", "fp", F.col("doc.text").cast("string").alias("text")), most)
     placed = rows.select("doc_id", "fp", "row").join(roots, "fp")
     first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("f"))
-    first = written(first.select(F.col("f.row").alias("row")), "simhash-first")
-    return rows.join(first, "row", "left_semi").select(*[F.col("doc").getField(n).alias(n) for n in names])
+    gone = written(placed.select("row").join(first.select(F.col("f.row").alias("row")), "row", "left_anti"), "simhash-gone")
+    judged = sieved(rows.select("row", "doc"), gone)
+    kept = judged.filter("NOT may").unionByName(judged.filter("may").join(gone, "row", "left_anti"))
+    return kept.select(*[F.col("doc").getField(n).alias(n) for n in names])
 
 
 @tidy

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Paths of the tables written inside each open scope of this thread; other threads have scopes of their own.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,12 +34,44 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder. It stays there for the cluster's own cleaning, or for `remove`."""
+    """df as a table in the shared folder. It stays there until its scope removes it, or for the cluster's own cleaning."""
     path = fresh_path(df.sparkSession, name)
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[list[str]]:
+    """Collects the paths of the tables written inside, for `remove` once nothing reads them any more."""
+    made: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield made
+    finally:
+        _SCOPES.reset(token)
+
+
+def tidy(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The job, whose tables are removed before it returns, but for those that the frame it returns still reads."""
+
+    @wraps(job)
+    def run(*args, **kwargs) -> DataFrame:
+        with scope() as made:
+            out = job(*args, **kwargs)
+        if not made:
+            return out
+        read = out.inputFiles()
+        used = [path for path in made if any(path.rsplit("/", 1)[-1] in f for f in read)]
+        remove(out.sparkSession, [path for path in made if path not in used])
+        if _SCOPES.get():
+            _SCOPES.get()[-1].extend(used)
+        return out
+
+    return run
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         place = spark._jvm.org.apache.hadoop.fs.Path(path)

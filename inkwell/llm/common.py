@@ -1,58 +1,18 @@
-"""Helpers that the training-data operators share: tables written and removed, Arrow passes."""
+"""Helpers that the training-data operators share: Arrow passes, and tables written and removed by scope."""
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from inkwell.sources.shared import fresh_path, remove, shared_dir
+from inkwell.sources.shared import fresh_path, remove, scope, shared_dir, tidy, written
 
 __all__ = ["arrow_pass", "fresh_path", "remove", "scope", "shared_dir", "table", "texts", "tidy", "written"]
-#: Paths of the tables written inside each open scope.
-_SCOPES: list[list[str]] = []
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and a lost executor costs only a reread."""
-    path = fresh_path(df.sparkSession, name)
-    if _SCOPES:
-        _SCOPES[-1].append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scope() -> Iterator[list[str]]:
-    """Collects the paths of the tables written inside, for `remove` once nothing reads them any more."""
-    _SCOPES.append([])
-    try:
-        yield _SCOPES[-1]
-    finally:
-        _SCOPES.pop()
-
-
-def tidy(job: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """The job, whose tables are removed before it returns, but for those that the frame it returns still reads."""
-
-    @wraps(job)
-    def run(*args, **kwargs) -> DataFrame:
-        with scope() as made:
-            out = job(*args, **kwargs)
-        read = out.inputFiles()
-        used = [path for path in made if any(path.rsplit("/", 1)[-1] in f for f in read)]
-        remove(out.sparkSession, [path for path in made if path not in used])
-        if _SCOPES:
-            _SCOPES[-1].extend(used)
-        return out
-
-    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -28,7 +28,7 @@ def any_token(catalog: DataFrame, queries: DataFrame, fields: list[str], name: s
     asked = queries.select("query_id", "category", F.explode(tokens).alias("word"))
     rows = catalog.select("kind", F.col(name).alias("name"), F.col("category").alias("own"), F.concat_ws("\n", *[F.col(f) for f in fields]).alias("body"))
     rows = rows.filter("kind IS NOT NULL AND name IS NOT NULL").withColumn("own", F.coalesce(F.lower("own"), F.lit("")))
-    hits = V.holding(rows, ["kind", "name", "own"], F.col("body"), asked.select("word")).join(asked, "word")
+    hits = V.held(rows, ["kind", "name", "own"], F.col("body"), asked.select("word")).join(asked, "word")
     right = (F.col("kind") != "api") | F.col("category").isNull() | (F.col("own") == F.lower("category"))
     order = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
     by = W.partitionBy("query_id").orderBy(F.when(order > 0, order).otherwise(len(kinds) + 1), "kind", "name")
@@ -88,16 +88,13 @@ def recommended(queries: DataFrame, patterns: DataFrame, words: DataFrame, n: in
     """(query_id, rank, name, score): patterns scored by keywords, category, application type and constraints.
 
     queries: query_id, query, app_type (or null), constraints (array). The category is that with the largest share of
-    its keywords in the query, ties by name. Every pattern is scored for every query, so patterns are a table of at
-    most RULES rules, which is checked before it goes to every task.
+    its keywords in the query, ties by name. Every pattern is scored for every query, in blocks if there are many.
     """
     n = n if 1 <= n <= MOST_RESULTS else DEFAULT_RESULTS
-    if patterns.limit(V.RULES + 1).count() > V.RULES:
-        raise ValueError(f"more than {V.RULES} patterns")
     held = categories(queries, words)
     top = held.groupBy("query_id").agg(F.min(F.struct((-F.col("share")).alias("s"), "category")).alias("b"), F.array_distinct(F.flatten(F.collect_list("keywords"))).alias("keywords"))
     asked = queries.join(top.select("query_id", F.col("b.category").alias("asked"), "keywords"), "query_id", "left")
-    rows = asked.crossJoin(F.broadcast(patterns))
+    rows = V.with_each(asked, patterns)
     body = F.lower(F.concat_ws(" ", "name", "description", "problem", "solution", "category"))
     keyword = _share(F.coalesce("keywords", F.expr("cast(array() AS array<string>)")), body, 0.5)
     category = F.when(F.col("asked").isNull() | F.col("category").isNull(), 0.5).when(F.lower("category") == F.lower("asked"), 1.0).otherwise(0.3)
@@ -144,7 +141,7 @@ def error_matches(features: DataFrame, catalog: DataFrame, fields: list[str], n:
     asked.append(features.filter("category <> 'general'").select("query_id", F.col("category").alias("token"), F.lit(2).alias("step")))
     every = asked[0].unionByName(asked[1]).unionByName(asked[2]).withColumn("word", F.lower("token"))
     rows = catalog.filter("name IS NOT NULL").select("name", F.concat_ws("\n", *[F.col(f) for f in fields]).alias("body"))
-    hits = V.holding(rows, ["name"], F.col("body"), every.select("word")).join(every, "word")
+    hits = V.held(rows, ["name"], F.col("body"), every.select("word")).join(every, "word")
     first = hits.groupBy("query_id", "name").agg(F.min("step").alias("step"))
     return first.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("step", "name"))).filter(F.col("rank") <= n).select("query_id", "rank", "name")
 

@@ -87,11 +87,9 @@ def swept(text: DataFrame, vectors: DataFrame, grid: DataFrame, k: int) -> DataF
     Method "rrf" is reciprocal with its rrf_k, "weighted" is weighted with its alpha; each uses the first `candidates`
     rows of both lists. Gives the grid's columns with (query_id, tbl, id, score, rank).
     """
-    if grid.limit(V.RULES + 1).count() > V.RULES:
-        raise ValueError(f"more than {V.RULES} settings")
     keys, own = ["method", "rrf_k", "alpha", "candidates"], ["query_id", "tbl", "id"]
     rows = text.select(*own, "rank", "score", F.lit(0).alias("side")).unionByName(vectors.select(*own, "rank", "score", F.lit(1).alias("side")))
-    rows = rows.crossJoin(F.broadcast(grid.select(*keys))).filter(F.col("rank") <= F.col("candidates"))
+    rows = V.with_each(rows, grid.select(*keys)).filter(F.col("rank") <= F.col("candidates"))
     share = F.when(F.col("side") == 1, F.col("alpha")).otherwise(1 - F.col("alpha"))
     value = F.when(F.col("method") == "rrf", 1.0 / (F.col("rrf_k") + F.col("rank"))).otherwise(share * F.col("score"))
     fused = rows.groupBy(*keys, *own).agg(F.round(F.sum(value), 6).alias("score"))

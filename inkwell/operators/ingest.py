@@ -1,43 +1,86 @@
-"""Pages to a searchable store: the steps of an ingest as one job."""
+"""Pages, articles and source files to a searchable store: the steps of an ingest as one job."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.functions import text as X
 from inkwell.operators import chunk, embed, parse, store
-from inkwell.sources import pages as source
-from inkwell.sources.shared import written
+from inkwell.sources.shared import tidy, written
+from inkwell.sources.versioned import Store
 
-#: Columns of the store.
-STORED = ("source", "url", "section", "chunk_index", "total_chunks", "content", "content_type", "title", "section_title", "version", "language", "created_at", "updated_at", "vector")
+#: Columns of the store; tbl is the store that a chunk is routed to, doc or code.
+STORED = ("tbl", "source", "url", "section", "chunk_index", "total_chunks", "content", "content_type", "title", "section_title", "fqcn", "version", "language", "created_at", "updated_at", "vector")
+MODES = ("append", "replace", "upsert")
+#: Parser of each kind of body; a text of another kind is one section.
+PARSERS = {"HTML": parse.html_sections, "MARKDOWN": parse.markdown_sections, "JAVA": parse.java_sections, "XML": parse.xml_sections}
+#: Kinds by the ending of a file's name; others are sniffed.
+ENDINGS = {".java": "JAVA", ".xml": "XML", ".xhtml": "HTML", ".html": "HTML", ".htm": "HTML", ".md": "MARKDOWN", ".properties": "TEXT", ".txt": "TEXT"}
 
 
-def ingest(pages: DataFrame, path: str, now, stored: DataFrame | None = None, load: Callable = lambda: embed.hashed_trigrams) -> DataFrame:
-    """Ingest pages (source, url, html) into the store at path; gives (source, processed, success, errors, chunks).
+def page_kind(body: Column) -> Column:
+    """HTML or MARKDOWN, as an article is sniffed."""
+    return F.when(X.looks_like_html(body), "HTML").otherwise("MARKDOWN")
 
-    Urls of `stored` (url) are left out. A page that is blank or can't be parsed counts as an error of its source and
-    leaves the others alone; every other page is parsed into sections, which are chunked, embedded and written, each
-    source's rows replacing those it had. Pages with a null url are errors; pages that share source and url are all ingested and count as one.
+
+def file_kind(path: Column, body: Column) -> Column:
+    """The kind of a file by its name's ending, else of code by its text."""
+    out = F.when(X.looks_like_html(body), "HTML").otherwise(F.when(X.code_type(body).isin("POM", "XML"), "XML").when(X.code_type(body) == "PROPERTIES", "TEXT").otherwise("JAVA"))
+    for ending, kind in ENDINGS.items():
+        out = F.when(F.lower(path).endswith(ending), kind).otherwise(out)
+    return out
+
+
+def _parsed(body: str, key: str) -> list[parse.Section]:
+    given = json.loads(key)
+    own = PARSERS.get(given["kind"], lambda text, url: [(text, {"source_url": url})])
+    return own(body, given.get("url") or "")
+
+
+@tidy
+def ingest(pages: DataFrame, path: str, now: Column, mode: str = "append", load: Callable = lambda: embed.hashed_trigrams, load_code: Callable | None = None) -> DataFrame:
+    """Ingest pages (source, url, body, and perhaps kind) into the versioned store at path, as one new version; gives
+    (source, processed, success, errors, chunks) of this run.
+
+    Mode "append" leaves out urls that the store has and adds the rest, "replace" gives each source that made chunks
+    these and no others, "upsert" each url that did. kind is HTML, MARKDOWN, JAVA, XML or TEXT; without it, or where it is
+    null, a page is sniffed as HTML or Markdown. Every page is parsed, chunked by its kind, embedded (code by load_code,
+    by default load) and routed to doc or code.
+
+    A page that is blank or can't be parsed counts as an error of its source and leaves the others alone, and what was
+    stored for it stays. Pages with a null url are errors; pages that share source and url are all ingested and count as
+    one. No pages, or only blank ones, give a version without new rows; a run that fails leaves the store as it was.
     """
-    new = pages.select("source", "url", "html")
-    if stored is not None:
-        new = new.join(stored.select("url").distinct(), "url", "left_anti")
-    rows = new.select(F.to_json(F.struct("source", "url")).alias("key"), F.when(F.col("url").isNotNull(), F.col("html")).alias("body"))
-    parsed = parse.sections(rows, lambda body, key: parse.html_sections(body, json.loads(key).get("url") or ""))
-    parsed = written(parsed.withColumn("at", F.from_json("key", "source string, url string")), "ingest-sections")
-    sections = parsed.filter("error IS NULL").withColumn("id", F.monotonically_increasing_id())
-    sections = written(sections, "ingest-rows")
-    parts = chunk.chunked(sections.select("id", "content", F.lit("HTML").alias("content_type")))
-    wide = parts.join(sections.select("id", "section", F.col("at.source").alias("source"), F.col("at.url").alias("url"), "metadata"), "id")
-    wide = wide.withColumn("title", F.try_element_at("metadata", F.lit("title"))).withColumn("section_title", F.try_element_at("metadata", F.lit("section_title")))
-    made = store.with_defaults(embed.embedded(wide, load), now).select(*STORED)
-    source.refresh(made, path)
-    pages_of = parsed.groupBy("key").agg(F.first("at.source").alias("source"), F.max("error").alias("error"))
-    missing = rows.select("key").distinct().select("key", F.get_json_object("key", "$.source").alias("source")).join(pages_of.select("key"), "key", "left_anti").withColumn("error", F.concat(F.lit("["), "key", F.lit("] no section")))
-    summary = store.ingest_summary(pages_of.select("source", "error").unionByName(missing.select("source", "error")))
-    kept = made.sparkSession.read.parquet(path).groupBy("source").agg(F.count("*").alias("chunks"))
-    return summary.join(kept, "source", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+    spark = pages.sparkSession
+    kept = Store(spark, path)
+    kind = F.coalesce("kind", page_kind(F.col("body"))) if "kind" in pages.columns else page_kind(F.col("body"))
+    new = pages.select(F.col("source").cast("string").alias("source"), F.col("url").cast("string").alias("url"), kind.alias("kind"), F.col("body").cast("string").alias("body"))
+    if mode == "append" and kept.versions():
+        new = new.join(kept.read().select("url").filter("url IS NOT NULL").distinct(), "url", "left_anti")
+    rows = written(new.select(F.to_json(F.struct("source", "url", "kind")).alias("key"), F.when(F.col("url").isNotNull(), F.col("body")).alias("body")), "ingest-pages")
+    parsed = parse.sections(rows, _parsed).withColumn("at", F.from_json("key", "source string, url string, kind string"))
+    parsed = written(parsed.withColumn("id", F.monotonically_increasing_id()), "ingest-sections")
+    good = parsed.filter("error IS NULL")
+    parts = chunk.chunked(good.select("id", "content", F.col("at.kind").alias("content_type")))
+    meta = [F.try_element_at("metadata", F.lit(n)).alias(n) for n in ("title", "section_title", "fqcn")]
+    wide = parts.join(good.select("id", "section", F.col("at.source").alias("source"), F.col("at.url").alias("url"), *meta), "id").withColumn("tbl", embed.store_of(F.col("content_type")))
+    doc, code = (embed.embedded(wide.filter(F.col("tbl") == name), how) for name, how in (("doc", load), ("code", load_code or load)))
+    made = written(store.with_defaults(doc.unionByName(code), now).select(*STORED), "ingest-made")
+    getattr(kept, mode)(made)
+    return written(_summary(rows, parsed, made), "ingest-summary")
+
+
+def _summary(rows: DataFrame, parsed: DataFrame, made: DataFrame) -> DataFrame:
+    source = F.get_json_object("key", "$.source").alias("source")
+    read = parsed.groupBy("key").agg(F.max("error").alias("error"))
+    error = F.when(F.col("seen").isNull(), F.concat(F.lit("["), "key", F.lit("] no section"))).otherwise(F.col("error"))
+    pages = rows.select("key").distinct().join(read.withColumn("seen", F.lit(1)), "key", "left").select(source, error.alias("error"))
+    chunks = made.groupBy(F.col("source").alias("_s")).agg(F.count("*").alias("chunks"))
+    out = store.ingest_summary(pages).join(chunks, F.col("source").eqNullSafe(F.col("_s")), "left")
+    return out.select("source", "processed", "success", "errors", F.coalesce("chunks", F.lit(0)).alias("chunks"))

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
+from inkwell.operators import words as V
 
 CLASS_ATTRIBUTE = r'class\s*=\s*"([^"]+)"'
 SEVERITIES = ("high", "medium", "low")
@@ -171,23 +172,47 @@ def repair(queues: DataFrame, before: dict[str, list[str]], after: dict[str, lis
 FINDINGS = "file string, rule_id string, category string, found string, line int"
 
 
+def literal(pattern: str) -> str | None:
+    """The longest text that every match of a pattern holds, or None: the literals that stand in a row in its top level.
+
+    A pattern that ignores case anywhere has none, since its letters match others of another case.
+    """
+    if re.compile(pattern).flags & re.IGNORECASE or re.search(r"\(\?[a-zA-Z]*i", pattern):
+        return None
+    runs, now = [""], ""
+    for kind, value in re._parser.parse(pattern):
+        now = now + chr(value) if str(kind) == "LITERAL" else ""
+        runs.append(now)
+    return max(runs, key=len) or None
+
+
 def migration(files: DataFrame, rules: list[tuple[str, str, str]], scope: str = "full") -> DataFrame:
     """FINDINGS of files (file, body): every match of every rule (rule_id, category, pattern) in scope, with its line.
 
-    Scope is "full", a category, or the beginning of one. One combined expression drops files without any match.
+    Patterns are Python's. Scope is "full", a category, or the beginning of one. One automaton of the literals that the
+    rules' matches hold goes over each body, and only rules whose literal is there, or that have none, are matched; so
+    cost follows what is found and not the number of rules. Null bodies hold nothing.
     """
     used = [r for r in rules if scope == "full" or r[1].startswith(scope)]
     if not used:
         return files.sparkSession.createDataFrame([], FINDINGS)
-    compiled = [(i, c, re.compile(p)) for i, c, p in used]
+    texts = [literal(p) for _, _, p in used]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        compiled = [(i, c, re.compile(p)) for i, c, p in used]
+        machine, by_text = V.automaton(t for t in texts if t), {}
+        for n, t in enumerate(texts):
+            by_text.setdefault(t, []).append(n)
         for batch in batches:
-            rows = [(f, i, c, m[0], b.count("\n", 0, m.start()) + 1) for f, b in zip(batch["file"], batch["body"]) for i, c, p in compiled for m in p.finditer(b)]
+            rows = []
+            for f, b in zip(batch["file"], batch["body"]):
+                hits = {None} | ({t for _, t in machine.iter(b)} if machine is not None and b else set())
+                for n in sorted(n for t in hits for n in by_text.get(t, ())):
+                    i, c, p = compiled[n]
+                    rows += [(f, i, c, m[0], b.count("\n", 0, m.start()) + 1) for m in p.finditer(b)]
             yield pd.DataFrame(rows, columns=["file", "rule_id", "category", "found", "line"])
 
-    any_rule = "|".join(f"(?:{p})" for _, _, p in used)
-    return files.filter(F.col("body").rlike(any_rule)).select(F.col("file").cast("string").alias("file"), "body").mapInPandas(run, FINDINGS)
+    return files.filter("body IS NOT NULL").select(F.col("file").cast("string").alias("file"), "body").mapInPandas(run, FINDINGS)
 
 
 def migration_summary(found: DataFrame, rules: DataFrame) -> DataFrame:

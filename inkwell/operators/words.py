@@ -1,14 +1,19 @@
-"""Which texts hold which words, as substrings of their lower case, by equality joins alone.
+"""Which texts hold which words, as substrings of their lower case: by one automaton of all words, or by equality joins.
 
-A word without white space that a text holds lies inside one of the text's white-space tokens. So words first meet the
+Joins work for any number of words. A word without white space that a text holds lies inside one of the text's white-space tokens. So words first meet the
 vocabulary, which is far smaller than the texts, by one of a word's three-letter windows; texts then meet the tokens
 found by equality. Texts are gone through once for each. Nothing is joined by a condition, collected, or broadcast by hand.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.sources.shared import written
 
@@ -62,14 +67,56 @@ def holding(texts: DataFrame, keys: list[str], text: Column, words: DataFrame) -
     return near.filter(~F.col("word").rlike(r"\s")).unionByName(sure)
 
 
-#: Words up to which a table of rules goes to every task as it is.
+#: Bytes of words up to which one automaton of them all is built in every task; a task needs some 40 times as many.
+AUTOMATON_BYTES = 1 << 20
+#: Rows up to which a table of rules goes to every task as it is, and rows of a block beyond.
 RULES = 1_000
 
 
+def automaton(words: Iterable[str]) -> ahocorasick.Automaton | None:
+    """A failure-link automaton whose matches are the words that end at each place; None without words."""
+    out = ahocorasick.Automaton()
+    for word in words:
+        out.add_word(word, word)
+    if not len(out):
+        return None
+    out.make_automaton()
+    return out
+
+
 def held(texts: DataFrame, keys: list[str], text: Column, words: DataFrame) -> DataFrame:
-    """What `holding` gives, for words that are mostly a small table of rules: up to RULES of them, which are counted,
-    are looked for in each text where it stands; more go by equality joins."""
-    if words.limit(RULES + 1).count() > RULES:
-        return holding(texts, keys, text, words)
-    asked = F.broadcast(words.select(F.lower("word").alias("word")).filter("trim(word) <> ''").distinct())
-    return texts.select(*keys, F.lower(text).alias("_low")).join(asked, F.contains("_low", F.col("word"))).select(*keys, "word").distinct()
+    """What `holding` gives: up to AUTOMATON_BYTES of words, which are counted, are looked for in one pass over the texts,
+    by an automaton of them all; more go by equality joins."""
+    asked = words.select(F.lower("word").alias("word")).filter("trim(word) <> ''").distinct()
+    own = written(asked, "words-asked")
+    if (own.agg(F.sum(F.octet_length("word"))).first()[0] or 0) > AUTOMATON_BYTES:
+        return holding(texts, keys, text, own)
+    shared = texts.sparkSession.sparkContext.broadcast([r[0] for r in own.collect()])  # at most AUTOMATON_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = automaton(shared.value)
+        for batch in batches if machine is not None else ():
+            at, hits = [], []
+            for i, body in enumerate(batch.column("_low").to_pylist()):
+                found = sorted({word for _, word in machine.iter(body)}) if body else []
+                at += [i] * len(found)
+                hits += found
+            rows = batch.select(keys).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(hits, pa.string())], names=[*keys, "word"])
+
+    rows = texts.select(*keys, F.lower(text).alias("_low"))
+    schema = T.StructType([*[rows.schema[k] for k in keys], T.StructField("word", T.StringType())])
+    return rows.mapInArrow(run, schema).distinct()
+
+
+def with_each(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every row with every rule, for rules that are scored against all rows. Up to RULES of them, which are counted, go
+    to every task; more meet the rows in blocks of that size, by an equality of block numbers."""
+    n = rules.count()
+    if n <= RULES:
+        return rows.crossJoin(F.broadcast(rules))
+    blocks, deals = -(-n // RULES), 64
+    each = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+    left = rows.select("*", F.pmod(F.xxhash64(*rows.columns), F.lit(deals)).cast("int").alias("_deal"), each(blocks).alias("_block"))
+    right = rules.select("*", F.pmod(F.xxhash64(*rules.columns), F.lit(blocks)).cast("int").alias("_block"), each(deals).alias("_deal"))
+    return left.join(right, ["_deal", "_block"]).drop("_deal", "_block")

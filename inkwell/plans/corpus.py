@@ -10,6 +10,7 @@ from inkwell.operators import query as analysis
 from inkwell.plans.views import CHUNKS, chunk_vectors, chunks, table
 from inkwell.sources import pages as source
 from inkwell.sources.shared import fresh_path
+from inkwell.sources.versioned import Store
 
 QUERIES, SQL = {}, {}
 
@@ -71,11 +72,30 @@ def s5(spark, d):
 
 @query("s6_refresh_source", "SELECT source, count(*) AS n, CAST(sum(CASE WHEN source = 'src3' THEN 1 ELSE 0 END) AS BIGINT) AS refreshed FROM documents WHERE source <> 'src3' OR doc_id % 3 = 0 GROUP BY source")
 def s6(spark, d):
-    path = fresh_path(spark, "store")
-    docs = table(spark, d, "documents").select("doc_id", "source", F.lit(0).alias("refreshed"))
-    source.refresh(docs, path)
-    source.refresh(docs.filter("source = 'src3' AND doc_id % 3 = 0").withColumn("refreshed", F.lit(1)), path)
-    return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("n"), F.sum("refreshed").alias("refreshed"))
+    """A source's rows replaced in a versioned store, whose other sources stay."""
+    kept = Store(spark, fresh_path(spark, "store"))
+    docs = table(spark, d, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("url"), F.col("text").alias("content"), F.lit(0).alias("refreshed"))
+    kept.append(docs)
+    kept.replace(docs.filter("source = 'src3' AND doc_id % 3 = 0").withColumn("refreshed", F.lit(1)))
+    return kept.read().groupBy("source").agg(F.count("*").alias("n"), F.sum("refreshed").alias("refreshed"))
+
+
+EDITED = """WITH v AS (SELECT doc_id, source, text, 1 AS version FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, source, text, 2 FROM documents WHERE doc_id % 2 = 1),
+w AS (SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END AS text, CASE WHEN doc_id % 5 = 0 THEN 3 ELSE version END AS version FROM v WHERE doc_id % 11 <> 0)
+SELECT version, source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM w GROUP BY version, source"""
+
+
+@query("s6_versions", EDITED)
+def s6_versions(spark, d):
+    """Rows of documents appended in two versions, a fifth of them changed, an eleventh deleted, then rewritten in one folder."""
+    kept = Store(spark, fresh_path(spark, "store"))
+    docs = table(spark, d, "documents").select("doc_id", "source", F.col("doc_id").cast("string").alias("url"), F.col("text").alias("content"))
+    kept.append(docs.filter("doc_id % 2 = 0").withColumn("version", F.lit(1)))
+    kept.append(docs.filter("doc_id % 2 = 1").withColumn("version", F.lit(2)))
+    kept.upsert(docs.filter("doc_id % 5 = 0").withColumn("content", F.concat("content", F.lit("!"))).withColumn("version", F.lit(3)))
+    kept.delete(docs.filter("doc_id % 11 = 0"))
+    kept.compact()
+    return kept.read().groupBy("version", "source").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
 def _html(spark, d):
@@ -243,6 +263,15 @@ def m2(spark, d):
     return store.changes(*_versions(spark, d))
 
 
+@query("m2_store_changes", f"WITH {STATUS} SELECT url, status FROM st")
+def m2_store(spark, d):
+    """m2_changes against a store, of which only the url ranges with other digests are read."""
+    before, after = _versions(spark, d)
+    kept = Store(spark, fresh_path(spark, "store"))
+    kept.append(before.withColumn("source", F.lit("documents")))
+    return kept.changes(after)
+
+
 @query("m2_apply_changes", f"WITH {STATUS} SELECT url, content FROM after")
 def m2_apply(spark, d):
     before, after = _versions(spark, d)
@@ -285,12 +314,56 @@ def m5_errors(spark, d):
     return store.ingest_errors(_results(spark, d))
 
 
+def now():
+    return F.lit("2024-06-01 00:00:00").cast("timestamp")
+
+
+def _pages(spark, d):
+    """Pages of five sources; every tenth is blank."""
+    rows = table(spark, d, "pages")
+    return rows.select(F.concat(F.lit("host"), (F.col("page_id") % 5).cast("string")).alias("source"), "url", F.when(F.col("page_id") % 10 != 0, F.col("html")).alias("body"), "page_id")
+
+
 @query("ingest_pages")
 def ingest_pages(spark, d):
-    """Pages to sections, chunks, vectors, store and summary; every tenth page is blank, every seventh is stored already."""
-    rows = table(spark, d, "pages").select(F.concat(F.lit("host"), (F.col("page_id") % 5).cast("string")).alias("source"), "url", F.when(F.col("page_id") % 10 != 0, F.col("html")).alias("html"), "page_id")
-    stored = rows.filter("page_id % 7 = 0").select("url")
-    return ingest.ingest(rows, fresh_path(spark, "store"), F.lit("2024-06-01 00:00:00").cast("timestamp"), stored)
+    """Chunks of each url in the store after two incremental runs: every seventh page first, then all pages."""
+    path, rows = fresh_path(spark, "store"), _pages(spark, d)
+    for part in (rows.filter("page_id % 7 = 0"), rows):
+        ingest.ingest(part, path, now())
+    return Store(spark, path).read().groupBy("source", "url", "content_type", "tbl").agg(F.count("*").alias("chunks"))
+
+
+@query("ingest_refresh")
+def ingest_refresh(spark, d):
+    """Chunks of each source after a full load and a refresh of one source with half of its pages."""
+    path, rows = fresh_path(spark, "store"), _pages(spark, d)
+    ingest.ingest(rows, path, now(), "replace")
+    ingest.ingest(rows.filter("source = 'host3' AND page_id % 2 = 0"), path, now(), "replace")
+    return Store(spark, path).read().groupBy("source").agg(F.count_distinct("url").alias("urls"), F.count("*").alias("chunks"))
+
+
+@query("ingest_articles")
+def ingest_articles(spark, d):
+    """Articles whose kind is sniffed: pages are HTML, documents Markdown; the summary of the run."""
+    marked = F.concat(F.lit("# "), F.regexp_replace("text", "\n", "\n## "))
+    articles = table(spark, d, "documents").select("source", F.concat(F.lit("doc/"), "doc_id").alias("url"), marked.alias("body"))
+    return ingest.ingest(_pages(spark, d).drop("page_id").unionByName(articles), fresh_path(spark, "store"), now())
+
+
+FILES_SQL = f"""WITH j AS ({JAVA_SQL}), x AS ({XML_SQL}),
+f AS (SELECT 'java/' || key AS url, 'JAVA' AS content_type, content, fqcn FROM j UNION ALL SELECT 'xml/' || replace(content, '<!-- File: ' || key || ' -->', '<!-- File: xml/' || key || '.xml -->') AS url, 'XML', replace(content, '<!-- File: ' || key || ' -->', '<!-- File: xml/' || key || '.xml -->'), fqcn FROM x)
+SELECT content_type, 'code' AS tbl, fqcn, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars FROM f WHERE length(content) >= 50 GROUP BY ALL"""
+
+
+@query("ingest_code", FILES_SQL)
+def ingest_code(spark, d):
+    """Java and XML files, told by their names, to the code store: chunks and characters by class."""
+    java = java_files(spark, d).select(F.lit("java").alias("source"), F.concat(F.lit("java/"), "key").alias("url"), "body")
+    xml = xml_files(spark, d).select(F.lit("xml").alias("source"), F.concat(F.lit("xml/"), "key", F.lit(".xml")).alias("url"), "body")
+    files, path = java.unionByName(xml).withColumn("kind", ingest.file_kind(F.col("url"), F.col("body"))), fresh_path(spark, "store")
+    ingest.ingest(files, path, now())
+    rows = Store(spark, path).read()
+    return rows.groupBy("content_type", "tbl", "fqcn").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars"))
 
 
 @query("m6_store_counts", f"WITH {CHUNKS} SELECT c.source, count(*) AS chunks, count(e.embedding) AS embedded FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.id GROUP BY c.source")

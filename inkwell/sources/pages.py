@@ -1,4 +1,4 @@
-"""Pages, files and their links; the partitioned chunk store."""
+"""Pages, files and their links."""
 
 from __future__ import annotations
 
@@ -38,8 +38,3 @@ def crawl_order(urls: DataFrame, priority: list[str]) -> DataFrame:
     marked = urls.withColumn("priority", first if priority else F.lit(False))
     order = W.partitionBy("page_id").orderBy(F.desc("priority"), "pos", "url")
     return marked.withColumn("place", F.row_number().over(order) - 1)
-
-
-def refresh(rows: DataFrame, path: str) -> None:
-    """Replace the rows of the sources that rows hold, and no others, in the store at path."""
-    rows.repartition("source").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)

@@ -1,12 +1,10 @@
 """Core operators on nulls, repeats, empty tables, ties and odd rows, and plans that must hold at any size."""
 
-from collections import Counter
-
 import pytest
 from inkwell.operators import catalog, chunk, embed, evaluate, fuse, keyword, scan, store, vector
 from inkwell.operators import words as V
 from inkwell.plans import registry
-from inkwell.plans.views import chunk_vectors, chunks, keyword_queries, table, vector_queries
+from inkwell.plans.views import chunk_vectors, chunks, keyword_queries, vector_queries
 from pyspark.sql import functions as F
 
 CHUNKS = "id bigint, tbl string, content string"
@@ -75,21 +73,6 @@ def test_chunks_keep_ids_and_take_unknown_types(spark):
     assert chunk.chunked(docs.limit(0)).count() == 0
 
 
-def test_chunk_metadata_and_quality_over_a_whole_table(spark, sf):
-    """Against chunks made one text at a time."""
-    kinds, got = ["HTML", "MARKDOWN", "TEXT", "JAVA", "JAVADOC", "XML"], registry.QUERIES["c9_chunk_quality"](spark, sf).collect()
-    made = {k: [] for k in kinds}
-    for r in table(spark, sf, "documents").collect():
-        kind = kinds[r["doc_id"] % 6]
-        made[kind].append((r["text"], chunk.chunk_text(r["text"], kind)))
-    assert Counter(r["content_type"] for r in registry.QUERIES["c7_chunk_metadata"](spark, sf).collect()) == Counter({k: sum(len(c) for _, c in v) for k, v in made.items()})
-    for r in got:
-        own = made[r["content_type"]]
-        tokens = [len(c) / 4 for _, cs in own for c in cs]
-        assert (r["documents"], r["chunks"], r["with_chunks"], r["too_short"]) == (len(own), len(tokens), sum(bool(c) for _, c in own), sum(len(t) < 50 for t, _ in own))
-        assert [r["to_128"], r["to_256"], r["to_512"], r["above_512"]] == [sum(lo <= t < hi for t in tokens) for lo, hi in ((0, 128), (128, 256), (256, 512), (512, 1e9))]
-
-
 def test_changes_of_urls_with_several_rows(spark):
     before = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("c", None), (None, "q"), ("e", "1"), ("e", "1")], "url string, content string")
     after = spark.createDataFrame([("a", "z"), ("b", "x"), ("c", None), ("d", "n"), ("e", "1")], "url string, content string")
@@ -120,21 +103,6 @@ def test_repair_inserts_what_is_wanted(spark):
     assert rows(got, "queue", "pos", "name") == [("q", 0, "b"), ("q", 1, "a"), ("q", 2, "n"), ("q", 3, "x"), ("r", 0, "x"), ("r", 1, "n")]
 
 
-def test_ingest_over_whole_pages(spark, sf):
-    """Counts of pages and chunks against pages parsed and chunked one at a time."""
-    from inkwell.operators import parse
-
-    want = {}
-    for r in table(spark, sf, "pages").filter("page_id % 7 <> 0").collect():
-        own = want.setdefault(f"host{r['page_id'] % 5}", [0, 0, 0])
-        made = [] if r["page_id"] % 10 == 0 else [c for content, _ in parse.html_sections(r["html"], r["url"]) for c in chunk.chunk_text(content, "HTML")]
-        own[0] += 1
-        own[1] += r["page_id"] % 10 == 0
-        own[2] += len(made)
-    got = {r["source"]: [r["processed"], r["errors"], r["chunks"]] for r in registry.QUERIES["ingest_pages"](spark, sf).collect()}
-    assert got == want
-
-
 def test_empty_tables_of_rules_and_metrics(spark):
     queues = spark.createDataFrame([], "queue string, pos int, name string")
     rules = spark.createDataFrame([("a", ["b"], [])], "name string, must_before array<string>, must_after array<string>")

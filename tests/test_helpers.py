@@ -16,6 +16,11 @@ def test_html_sections():
     assert parse.html_sections("<p>only text", "u") == [("only text", {"source_url": "u"})]
 
 
+def test_code_keeps_its_lines():
+    page = "<h2>A</h2><p>x\n  y</p><pre><code class='language-java'>\nint a;\n    int b;\n\n</code></pre><div>one <pre>  p\n\tq </pre> two</div>"
+    assert parse.html_sections(page, "u")[0][0] == "## A\n\nx y\n\n```java\nint a;\n    int b;\n```\n\none   p\n\tq two"
+
+
 def test_html_in_one_box_repeats_the_page_as_introduction():
     got = parse.html_sections("<body><div><h2>A</h2><p>one</p></div></body>", "u")
     assert [c for c, _ in got] == ["A one", "## A\n\none"]

@@ -65,6 +65,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Digits of a score that don't depend on the order in which its parts were summed.
+STEADY = 12
+
+
+def steady(score: Column) -> Column:
+    """A score without the noise of its summation, so that equal texts and vectors tie."""
+    return F.round(score, STEADY)
+
+
 def doubles(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double"))
 

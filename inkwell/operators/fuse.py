@@ -1,4 +1,8 @@
-"""Filters, fusion, reranking and facets over ranked lists (query_id, tbl, id, score, rank)."""
+"""Filters, fusion, reranking and facets over ranked lists (query_id, tbl, id, score, rank).
+
+Scores stay as they are computed until a caller rounds them to show; rows of lists with a null key or rank take no part
+beyond what a join drops, an absent list is an empty one, and empty lists give empty results.
+"""
 
 from __future__ import annotations
 
@@ -62,7 +66,7 @@ def reciprocal(*lists: DataFrame, k: int, constant: int = RRF_K) -> DataFrame:
     rows = lists[0].select("query_id", "tbl", "id", "rank")
     for other in lists[1:]:
         rows = rows.unionByName(other.select("query_id", "tbl", "id", "rank"))
-    fused = rows.groupBy("query_id", "tbl", "id").agg(F.round(F.sum(1.0 / (constant + F.col("rank"))), 6).alias("score"))
+    fused = rows.groupBy("query_id", "tbl", "id").agg(X.steady(F.sum(1.0 / (constant + F.col("rank")))).alias("score"))
     return best(fused, k)
 
 
@@ -71,14 +75,14 @@ def hybrid(text: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     tagged = text.withColumn("side", F.lit(0)).unionByName(vectors.withColumn("side", F.lit(1)))
     both = F.size(F.collect_set("side").over(W.partitionBy("query_id"))) == 2
     tagged = tagged.withColumn("value", F.when(both, 1.0 / (RRF_K + F.col("rank"))).otherwise(F.col("score")))
-    return best(tagged.groupBy("query_id", "tbl", "id").agg(F.round(F.sum("value"), 6).alias("score")), k)
+    return best(tagged.groupBy("query_id", "tbl", "id").agg(X.steady(F.sum("value")).alias("score")), k)
 
 
 def weighted(text: DataFrame, vectors: DataFrame, k: int, alpha: float = ALPHA) -> DataFrame:
     """alpha * vector score + (1 - alpha) * text score, a missing side counting 0."""
     keys = ["query_id", "tbl", "id"]
     rows = vectors.select(*keys, F.col("score").alias("v")).join(text.select(*keys, F.col("score").alias("t")), keys, "full_outer")
-    return best(rows.select(*keys, F.round(alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("t", F.lit(0.0)), 6).alias("score")), k)
+    return best(rows.select(*keys, X.steady(alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("t", F.lit(0.0))).alias("score")), k)
 
 
 def swept(text: DataFrame, vectors: DataFrame, grid: DataFrame, k: int) -> DataFrame:
@@ -92,7 +96,7 @@ def swept(text: DataFrame, vectors: DataFrame, grid: DataFrame, k: int) -> DataF
     rows = V.with_each(rows, grid.select(*keys)).filter(F.col("rank") <= F.col("candidates"))
     share = F.when(F.col("side") == 1, F.col("alpha")).otherwise(1 - F.col("alpha"))
     value = F.when(F.col("method") == "rrf", 1.0 / (F.col("rrf_k") + F.col("rank"))).otherwise(share * F.col("score"))
-    fused = rows.groupBy(*keys, *own).agg(F.round(F.sum(value), 6).alias("score"))
+    fused = rows.groupBy(*keys, *own).agg(X.steady(F.sum(value)).alias("score"))
     return best(fused, k, (*keys, "query_id"))
 
 
@@ -130,7 +134,7 @@ def rerank(rows: DataFrame, k: int, scorer: Callable[[list[str], list[str]], lis
     new = new.withColumn("new", F.coalesce("new", "score"))
     new = new.filter(F.col("new") >= least) if least is not None else new
     blended = beta * F.col("new") + (1 - beta) * F.col("score")
-    return best(new.withColumn("score", F.round(blended, 6)).drop("new", "rank"), k)
+    return best(new.withColumn("score", X.steady(blended)).drop("new", "rank"), k)
 
 
 def semantic_search(chunks: DataFrame, queries: DataFrame, k: int = 5, where: Column | None = None) -> DataFrame:

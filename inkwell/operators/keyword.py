@@ -61,7 +61,7 @@ def scored(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """matches with score, the trigram similarity of content and query; trigrams are cut once a chunk and once a query."""
     grams = asked(queries).select("query_id", X.trigrams(F.col("query")).alias("b"))
     found = _verified(chunks, queries, X.trigrams(F.col("content")).alias("a")).select("query_id", "tbl", "id", "a")
-    return found.join(grams, "query_id").select("query_id", "tbl", "id", F.round(X.jaccard(F.col("a"), F.col("b")), 6).alias("score"))
+    return found.join(grams, "query_id").select("query_id", "tbl", "id", X.jaccard(F.col("a"), F.col("b")).alias("score"))
 
 
 def best(rows: DataFrame, k: int, per: tuple[str, ...] = ("query_id",), score: str = "score") -> DataFrame:
@@ -109,4 +109,4 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int, every_term: bool = True,
     sums = parts.groupBy("query_id", "tbl", "id").agg(F.sum("part").alias("s"), F.count("*").alias("held"))
     if every_term:
         sums = sums.join(needed, "query_id").filter(F.col("held") == F.col("needed"))
-    return best(sums.select("query_id", "tbl", "id", F.round(F.col("s") / (F.col("s") + 1), 6).alias("score")), k)
+    return best(sums.select("query_id", "tbl", "id", X.steady(F.col("s") / (F.col("s") + 1)).alias("score")), k)

@@ -65,7 +65,7 @@ class _Kept:
             if n not in self.units:
                 continue
             own, q = self.units[n]
-            score = np.round(q @ m.T, 6)
+            score = np.round(q @ m.T, X.STEADY)
             for name in set(tbl[at].tolist()):
                 here = tbl[at] == name
                 s, i = score[:, here], np.broadcast_to(ids[at][here], (len(own), int(here.sum())))

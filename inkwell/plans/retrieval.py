@@ -25,8 +25,8 @@ WORDS = r"""list_filter(list_transform(regexp_split_to_array(trim(query), '\s+')
     lambda t: trim(regexp_replace(regexp_replace(t, '<[^>]*>', '', 'g'), '[&|!():''"\\]', '', 'g'))), lambda t: t <> '')"""
 TRIGRAMS = r"""list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+'),
     lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"""
-SIMILARITY = "round(CASE WHEN len(list_concat(a, b)) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 6)"
-DISTANCE = "round(list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])), 6)"
+SIMILARITY = "CASE WHEN len(list_concat(a, b)) = 0 THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END"
+DISTANCE = "round(list_cosine_similarity(CAST(q.vector AS DOUBLE[]), CAST(c.vector AS DOUBLE[])), 12)"
 
 MATCHED = f"""WITH {CHUNKS}, {KEYWORD_QUERIES}, words AS (SELECT query_id, query, list_distinct(list_transform({WORDS}, lambda w: lower(w))) AS words FROM queries),
 low AS (SELECT *, lower(content) AS lc FROM chunks),
@@ -45,8 +45,13 @@ vper AS (SELECT *, row_number() OVER (PARTITION BY query_id, tbl ORDER BY score
 vtext AS (SELECT query_id, tbl, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM vper WHERE n <= 50)"""
 
 
+def shown(rows):
+    """rows with their score as it is shown."""
+    return rows.withColumn("score", F.round("score", 6))
+
+
 def top(source, k, extra=""):
-    return f"SELECT query_id, tbl, id, score, CAST(rank AS INTEGER) AS rank FROM {source} WHERE rank <= {k} {extra}"
+    return f"SELECT query_id, tbl, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM {source} WHERE rank <= {k} {extra}"
 
 
 @query("k1_keywords", f"WITH q AS (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user') SELECT conv_id, turn, {WORDS} AS words FROM q")
@@ -59,14 +64,14 @@ def k2(spark, d):
     return keyword.matches(chunks(spark, d), keyword_queries(spark, d))
 
 
-@query("k3_trigram_similarity", f"{KEYWORD} SELECT query_id, tbl, id, score FROM scored")
+@query("k3_trigram_similarity", f"{KEYWORD} SELECT query_id, tbl, id, round(score, 6) AS score FROM scored")
 def k3(spark, d):
-    return keyword.scored(chunks(spark, d), keyword_queries(spark, d))
+    return shown(keyword.scored(chunks(spark, d), keyword_queries(spark, d)))
 
 
 @query("k4_keyword_top_k", f"{KEYWORD} {top('ktext', 10)}")
 def k4(spark, d):
-    return keyword.search(chunks(spark, d), keyword_queries(spark, d), 50).filter("rank <= 10")
+    return shown(keyword.search(chunks(spark, d), keyword_queries(spark, d), 50).filter("rank <= 10"))
 
 
 TOKENS = r"list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda t: lower(t)), lambda t: t <> '' AND t NOT IN ('the','of','and','to','a','in','is','for'))"
@@ -83,36 +88,36 @@ part AS (SELECT a.query_id, tf.tbl, tf.id, ln(1 + (n - df + 0.5) / (df + 0.5)) *
 sums AS (SELECT query_id, tbl, id, sum(p) AS s, count(*) AS held FROM part GROUP BY ALL)"""
 
 
-@query("k5_full_text", f"{BM25}, r AS (SELECT s.query_id, tbl, id, round(s / (s + 1), 6) AS score FROM sums s JOIN needed n ON s.query_id = n.query_id AND held = needed), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM r) {top('b', 50)}")
+@query("k5_full_text", f"{BM25}, r AS (SELECT s.query_id, tbl, id, round(s / (s + 1), 12) AS score FROM sums s JOIN needed n ON s.query_id = n.query_id AND held = needed), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM r) {top('b', 50)}")
 def k5(spark, d):
-    return keyword.bm25(chunks(spark, d), keyword_queries(spark, d), 50)
+    return shown(keyword.bm25(chunks(spark, d), keyword_queries(spark, d), 50))
 
 
-@query("k6_bm25", f"{BM25}, r AS (SELECT query_id, tbl, id, round(s / (s + 1), 6) AS score FROM sums), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM r) {top('b', 10)}")
+@query("k6_bm25", f"{BM25}, r AS (SELECT query_id, tbl, id, round(s / (s + 1), 12) AS score FROM sums), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM r) {top('b', 10)}")
 def k6(spark, d):
-    return keyword.bm25(chunks(spark, d), keyword_queries(spark, d), 10, every_term=False)
+    return shown(keyword.bm25(chunks(spark, d), keyword_queries(spark, d), 10, every_term=False))
 
 
 @query("v1_cosine_top_k", f"WITH {CHUNKS}, {VECTORS} {top('vtext', 10)}")
 def v1(spark, d):
-    return vector.search(chunk_vectors(spark, d), vector_queries(spark, d), 50).filter("rank <= 10")
+    return shown(vector.search(chunk_vectors(spark, d), vector_queries(spark, d), 50).filter("rank <= 10"))
 
 
 @query("v2_filtered_cosine", f"WITH {CHUNKS}, {VECTORS.replace('c.vector IS NOT NULL', 'c.vector IS NOT NULL AND c.app_type = ' + chr(39) + 'web' + chr(39))} {top('vtext', 10)}")
 def v2(spark, d):
-    return vector.search(chunk_vectors(spark, d), vector_queries(spark, d), 50, F.col("app_type") == "web").filter("rank <= 10")
+    return shown(vector.search(chunk_vectors(spark, d), vector_queries(spark, d), 50, F.col("app_type") == "web").filter("rank <= 10"))
 
 
 @query("v3_two_stores", f"""WITH {CHUNKS}, {VECTORS.replace("q JOIN cvectors c ON", "q JOIN cvectors c ON ((c.tbl = 'doc') = (q.query_id % 200 = 0)) AND")} {top('vtext', 10)}""")
 def v3(spark, d):
     rows, asked = chunk_vectors(spark, d), vector_queries(spark, d)
     doc = vector.search(rows.filter("tbl = 'doc'"), asked.filter("query_id % 200 = 0"), 10)
-    return doc.unionByName(vector.search(rows.filter("tbl = 'code'"), asked.filter("query_id % 200 <> 0"), 10))
+    return shown(doc.unionByName(vector.search(rows.filter("tbl = 'code'"), asked.filter("query_id % 200 <> 0"), 10)))
 
 
 @query("v4_probed_lists")
 def v4(spark, d):
-    return vector.approximate(chunk_vectors(spark, d), vector_queries(spark, d), 10)
+    return shown(vector.approximate(chunk_vectors(spark, d), vector_queries(spark, d), 10))
 
 
 @query("e2_mean_pool", """WITH t AS (SELECT label, unnest(range(1, 65)) AS dim, embedding, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS mask FROM embeddings),
@@ -173,33 +178,33 @@ RRF = f"{LISTS}, u AS (SELECT query_id, tbl, id, rank, score, 0 AS side FROM tli
 RANKED = "b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM f)"
 
 
-@query("h4_reciprocal_rank_fusion", f"{RRF}, f AS (SELECT query_id, tbl, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM u GROUP BY ALL), {RANKED} {top('b', 10)}")
+@query("h4_reciprocal_rank_fusion", f"{RRF}, f AS (SELECT query_id, tbl, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM u GROUP BY ALL), {RANKED} {top('b', 10)}")
 def h4(spark, d):
-    return fuse.reciprocal(*_lists(spark, d), k=10)
+    return shown(fuse.reciprocal(*_lists(spark, d), k=10))
 
 
 HYBRID = f"""{RRF}, two AS (SELECT query_id, count(DISTINCT side) = 2 AS two FROM u GROUP BY query_id),
-f AS (SELECT query_id, tbl, id, round(sum(CASE WHEN two THEN 1.0::DOUBLE / (60 + rank) ELSE score END), 6) AS score FROM u JOIN two USING (query_id) GROUP BY ALL), {RANKED}"""
+f AS (SELECT query_id, tbl, id, round(sum(CASE WHEN two THEN 1.0::DOUBLE / (60 + rank) ELSE score END), 12) AS score FROM u JOIN two USING (query_id) GROUP BY ALL), {RANKED}"""
 
 
 @query("h5_hybrid_fallback", f"{HYBRID} {top('b', 10)}")
 def h5(spark, d):
-    return fuse.hybrid(*_lists(spark, d), 10)
+    return shown(fuse.hybrid(*_lists(spark, d), 10))
 
 
-@query("h6_weighted_fusion", f"{LISTS}, f AS (SELECT coalesce(t.query_id, v.query_id) AS query_id, coalesce(t.tbl, v.tbl) AS tbl, coalesce(t.id, v.id) AS id, round(0.7 * coalesce(v.score, 0) + (1 - 0.7::DOUBLE) * coalesce(t.score, 0), 6) AS score FROM tlist t FULL JOIN wlist v ON t.query_id = v.query_id AND t.tbl = v.tbl AND t.id = v.id), {RANKED} {top('b', 10)}")
+@query("h6_weighted_fusion", f"{LISTS}, f AS (SELECT coalesce(t.query_id, v.query_id) AS query_id, coalesce(t.tbl, v.tbl) AS tbl, coalesce(t.id, v.id) AS id, round(0.7 * coalesce(v.score, 0) + (1 - 0.7::DOUBLE) * coalesce(t.score, 0), 12) AS score FROM tlist t FULL JOIN wlist v ON t.query_id = v.query_id AND t.tbl = v.tbl AND t.id = v.id), {RANKED} {top('b', 10)}")
 def h6(spark, d):
-    return fuse.weighted(*_lists(spark, d), 10)
+    return shown(fuse.weighted(*_lists(spark, d), 10))
 
 
-@query("h7_search_modes", f"{HYBRID}, m AS (SELECT 'KEYWORD' AS mode, query_id, tbl, id, score, rank FROM tlist UNION ALL SELECT 'VECTOR', query_id, tbl, id, score, rank FROM wlist UNION ALL SELECT 'HYBRID', query_id, tbl, id, score, rank FROM b) SELECT mode, query_id, tbl, id, score, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 5")
+@query("h7_search_modes", f"{HYBRID}, m AS (SELECT 'KEYWORD' AS mode, query_id, tbl, id, score, rank FROM tlist UNION ALL SELECT 'VECTOR', query_id, tbl, id, score, rank FROM wlist UNION ALL SELECT 'HYBRID', query_id, tbl, id, score, rank FROM b) SELECT mode, query_id, tbl, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM m WHERE rank <= 5")
 def h7(spark, d):
     rows, asked = _both(spark, d)
     out = None
     for mode in fuse.MODES:
         part = fuse.search(rows, asked, 50, mode).filter("rank <= 5").withColumn("mode", F.lit(mode))
         out = part if out is None else out.unionByName(part)
-    return out
+    return shown(out)
 
 
 RERANK = f"""{HYBRID}, cand AS (SELECT b.query_id, b.tbl, b.id, b.score AS old, c.content, q.query FROM b JOIN chunks c ON c.tbl = b.tbl AND c.id = b.id JOIN queries q ON q.query_id = b.query_id WHERE rank <= 50),
@@ -214,20 +219,17 @@ def _candidates(spark, d):
 
 @query("h8_rerank", f"{RERANK}, r AS (SELECT query_id, tbl, id, {SIMILARITY} AS score FROM rs), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM r) {top('rr', 5)}")
 def h8(spark, d):
-    return fuse.rerank(_candidates(spark, d), 5).select("query_id", "tbl", "id", "score", "rank")
-
-
-RAW = SIMILARITY.removeprefix("round(").removesuffix(", 6)")
+    return shown(fuse.rerank(_candidates(spark, d), 5).select("query_id", "tbl", "id", "score", "rank"))
 
 
-@query("h9_rerank_blend", f"{RERANK}, n AS (SELECT query_id, tbl, id, old, {RAW} AS new FROM rs), r AS (SELECT query_id, tbl, id, round(0.6 * new + (1 - 0.6::DOUBLE) * old, 6) AS score FROM n WHERE new >= 0.005), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM r) {top('rr', 5)}")
+@query("h9_rerank_blend", f"{RERANK}, n AS (SELECT query_id, tbl, id, old, {SIMILARITY} AS new FROM rs), r AS (SELECT query_id, tbl, id, round(0.6 * new + (1 - 0.6::DOUBLE) * old, 12) AS score FROM n WHERE new >= 0.005), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM r) {top('rr', 5)}")
 def h9(spark, d):
-    return fuse.rerank(_candidates(spark, d), 5, least=0.005, beta=0.6).select("query_id", "tbl", "id", "score", "rank")
+    return shown(fuse.rerank(_candidates(spark, d), 5, least=0.005, beta=0.6).select("query_id", "tbl", "id", "score", "rank"))
 
 
-@query("h10_semantic_search", f"{RERANK}, r AS (SELECT query_id, tbl, id, {SIMILARITY} AS score FROM rs), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM r) SELECT rr.query_id, CAST(rank AS INTEGER) AS rank, rr.tbl, rr.id, rr.score, source, module, language, content FROM rr JOIN chunks c ON c.tbl = rr.tbl AND c.id = rr.id WHERE rank <= 5")
+@query("h10_semantic_search", f"{RERANK}, r AS (SELECT query_id, tbl, id, {SIMILARITY} AS score FROM rs), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM r) SELECT rr.query_id, CAST(rank AS INTEGER) AS rank, rr.tbl, rr.id, round(rr.score, 6) AS score, source, module, language, content FROM rr JOIN chunks c ON c.tbl = rr.tbl AND c.id = rr.id WHERE rank <= 5")
 def h10(spark, d):
-    return fuse.semantic_search(*_both(spark, d), 5)
+    return shown(fuse.semantic_search(*_both(spark, d), 5))
 
 
 RELEVANT = """rk AS (SELECT r.*, s.language, CASE WHEN r.query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS category, contains(lower(s.content), 'token') OR contains(lower(s.content), 'license') AS rel FROM {0} r JOIN chunks s ON s.tbl = r.tbl AND s.id = r.id WHERE r.rank <= 10)"""
@@ -307,7 +309,7 @@ GRID = [("rrf", k, None, c) for k in (10, 60, 100) for c in (10, 50)] + [("weigh
 GRID_SQL = "grid AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', {k or 'NULL'}, {a or 'NULL'}::DOUBLE, {c})" for m, k, a, c in GRID) + ") t(method, rrf_k, alpha, candidates))"
 
 
-@query("r9_parameter_sweep", f"""{RRF}, {GRID_SQL}, sc AS (SELECT method, rrf_k, alpha, candidates, query_id, tbl, id, round(sum(CASE WHEN method = 'rrf' THEN 1.0::DOUBLE / (rrf_k + rank) ELSE CASE side WHEN 1 THEN alpha ELSE 1 - alpha END * score END), 6) AS score FROM u JOIN grid ON rank <= candidates GROUP BY ALL),
+@query("r9_parameter_sweep", f"""{RRF}, {GRID_SQL}, sc AS (SELECT method, rrf_k, alpha, candidates, query_id, tbl, id, round(sum(CASE WHEN method = 'rrf' THEN 1.0::DOUBLE / (rrf_k + rank) ELSE CASE side WHEN 1 THEN alpha ELSE 1 - alpha END * score END), 12) AS score FROM u JOIN grid ON rank <= candidates GROUP BY ALL),
 sw AS (SELECT *, row_number() OVER (PARTITION BY method, rrf_k, alpha, candidates, query_id ORDER BY score DESC, tbl, id) AS rank FROM sc), {RELEVANT.format('sw')},
 q AS (SELECT method, rrf_k, alpha, candidates, query_id, {MRR} AS mrr FROM rk GROUP BY ALL) SELECT method, CAST(rrf_k AS INTEGER) AS rrf_k, alpha, candidates, round(avg(mrr), 6) AS mrr, count(*) AS queries FROM q GROUP BY ALL""")
 def r9_sweep(spark, d):

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
 from inkwell.operators import embed, evaluate, fuse, keyword, vector
+from inkwell.operators.index import KeywordIndex
 from inkwell.plans.views import CHUNKS, KEYWORD_QUERIES, chunk_vectors, chunks, keyword_queries, table, vector_queries
+from inkwell.sources.shared import fresh_path
 
 QUERIES, SQL = {}, {}
 
@@ -98,6 +100,26 @@ def k6(spark, d):
     return shown(keyword.bm25(chunks(spark, d), keyword_queries(spark, d), 10, every_term=False))
 
 
+def _index(spark, d):
+    """A kept index of chunks, whose third part was added in a second version."""
+    kept, rows = KeywordIndex(spark, fresh_path(spark, "index")), chunks(spark, d)
+    kept.add(rows.filter("id % 3 <> 0"))
+    kept.add(rows.filter("id % 3 = 0"))
+    return kept, rows
+
+
+@query("k4_kept_index", f"{KEYWORD} {top('ktext', 10)}")
+def k4_kept(spark, d):
+    kept, rows = _index(spark, d)
+    return shown(kept.search(rows, keyword_queries(spark, d), 50).filter("rank <= 10"))
+
+
+@query("k6_kept_index", f"{BM25}, r AS (SELECT query_id, tbl, id, round(s / (s + 1), 12) AS score FROM sums), b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM r) {top('b', 10)}")
+def k6_kept(spark, d):
+    kept, rows = _index(spark, d)
+    return shown(kept.bm25(rows, keyword_queries(spark, d), 10, every_term=False))
+
+
 @query("v1_cosine_top_k", f"WITH {CHUNKS}, {VECTORS} {top('vtext', 10)}")
 def v1(spark, d):
     return shown(vector.search(chunk_vectors(spark, d), vector_queries(spark, d), 50).filter("rank <= 10"))

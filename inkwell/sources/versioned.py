@@ -47,6 +47,9 @@ class Conflict(RuntimeError):
 class Store:
     """A versioned store of rows at a path that driver and executors share."""
 
+    #: Folders of a version.
+    KINDS: tuple[str, ...] = ("data", "digests", "gone")
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
@@ -244,9 +247,9 @@ class Store:
         """
         known = self.versions()
         held = [self.manifest(v) for v in known[-max(keep, 1) :]]
-        used = {("data", c) for m in held for c in m["parts"]} | {("digests", c) for m in held for c in m["parts"]} | {("gone", c) for m in held for c in m["gone"]}
+        used = {(kind, c) for m in held for kind in self.KINDS for c in m["gone" if kind == "gone" else "parts"]}
         out = []
-        for kind in ("data", "digests", "gone"):
+        for kind in self.KINDS:
             fs, place = self._fs(kind)
             for f in fs.listStatus(place) if fs.exists(place) else []:
                 if (kind, f.getPath().getName().removeprefix("commit=")) not in used:

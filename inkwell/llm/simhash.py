@@ -304,11 +304,23 @@ def shared(nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sets, sets.drop("hashes").join(lone, "node", "left").select("node", F.coalesce("lone", F.lit(0)).alias("lone"), common.alias("common"))
 
 
+def in_blocks(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """placed (key, node) twice, with block numbers i and j: rows of both that share key, i and j are all pairs of a key,
+    each once, and a key of more than BLOCK rows is many such cells."""
+    sizes = placed.groupBy("key").agg(F.count("*").alias("rows"))
+    hot = sizes.filter(F.col("rows") > BLOCK).select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    dealt = placed.join(written(hot, "simhash-hot"), "key", "left").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    return dealt.select("*", F.col("own").alias("i"), every.alias("j")), dealt.select("*", F.col("own").alias("j"), every.alias("i"))
+
+
 def merged(rows: DataFrame, most: int = MOST) -> DataFrame:
     """A written table (fp, root): components of rows (row, doc_id, fp, text) by links and by near copies.
 
     Buckets of a band first compare all their texts with the one that has the fewest shingles of its own, the likely
-    origin of a group, then every pair that is still apart and whose counts of common shingles let it reach ALIKE. A
+    origin of a group, then every pair that is still apart and whose counts of common shingles let it reach ALIKE; there a
+    large bucket is cut into pairs of blocks. A
     bucket that has become one component drops out, so a large group of near copies doesn't cost its square, as long as
     its members differ from its origin by words of their own.
     """
@@ -324,15 +336,17 @@ def merged(rows: DataFrame, most: int = MOST) -> DataFrame:
             placed = written(placed.join(counts, "node").filter(F.col("n") - F.col("lone") >= ALIKE * F.col("n")), "simhash-counted")
             hub = placed.groupBy("key").agg(F.min_by(F.struct("node", "n", "root", "common"), F.struct("lone", "node")).alias("hub"))
             one = hub.select("key", *[F.col(f"hub.{was}").alias(name) for was, name in HUB.items()])
+            two, at = placed, ["key"]
         else:
-            one = placed.select("key", *[F.col(was).alias(name) for was, name in HUB.items()]).hint("merge")
-        two = placed.select("key", F.col("node").alias("y"), F.col("root").alias("b"), "n", "common")
+            one, two, at = *in_blocks(placed), ["key", "i", "j"]
+            one = one.select(*at, *[F.col(was).alias(name) for was, name in HUB.items()])
+        two = two.select(*at, F.col("node").alias("y"), F.col("root").alias("b"), "n", "common")
         other = F.lit(True) if star else F.col("x") < F.col("y")
         # sets whose sizes, or common shingles, differ more can't reach ALIKE
         sizes = F.least("m", "n") >= ALIKE * F.greatest("m", "n")
         both = F.aggregate(F.zip_with("common", "theirs", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
         reach = both >= ALIKE / (1 + ALIKE) * (F.col("m") + F.col("n")) - 1e-6
-        pairs = two.join(one, "key").filter(other & (F.col("a") != F.col("b")) & sizes & reach).select("x", "y", "a", "b").distinct()
+        pairs = two.join(one, at).filter(other & (F.col("a") != F.col("b")) & sizes & reach).select("x", "y", "a", "b").distinct()
         joined = components(alike(written(pairs, "simhash-pairs"), sets)).toDF("was", "to")
         root = F.coalesce("to", "root").alias("root")
         roots = written(roots.join(joined, F.col("root") == F.col("was"), "left").select("fp", root), "simhash-merged")

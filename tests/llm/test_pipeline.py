@@ -8,6 +8,7 @@ import corpus_pipeline
 import numpy as np
 from inkwell.llm import bpe, mixing, simhash, toxicity
 from inkwell.llm.common import scope, table
+from pyspark.sql import functions as F
 
 from .test_operators import plain_spans
 
@@ -134,3 +135,27 @@ def test_large_group_of_near_copies(spark, monkeypatch):
 
 def test_empty(spark, bare):
     assert corpus_pipeline.run(spark, bare).count() == 0
+
+
+def test_buckets_in_blocks_hold_every_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 3)
+    placed = spark.createDataFrame([(k, n) for k, size in ((1, 11), (2, 2), (3, 1)) for n in range(size)], "key int, node bigint")
+    one, two = simhash.in_blocks(placed)
+    both = one.select("key", "i", "j", "node").join(two.select("key", "i", "j", F.col("node").alias("other")), ["key", "i", "j"])
+    assert Counter(map(tuple, both.select("key", "node", "other").collect())) == Counter((k, a, b) for k, size in ((1, 11), (2, 2), (3, 1)) for a in range(size) for b in range(size))
+    assert both.groupBy("key", "i", "j").count().filter("key = 1").count() == 16
+
+
+def test_operators_run_at_once_as_they_do_alone(spark, sf):
+    """Tables of one thread aren't removed by another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from inkwell.llm.queries import QUERIES
+
+    names = ["op3_substrings", "op6_simhash", "op8_mixing", "op13_importance"]
+    run = lambda name: Counter(map(str, QUERIES[name](spark, sf).collect()))
+    alone = {name: run(name) for name in names}
+    with ThreadPoolExecutor(5) as pool:
+        piped = pool.submit(lambda: whole(corpus_pipeline.run(spark, sf)))
+        at_once = dict(zip(names, pool.map(run, names)))
+        assert at_once == alone and piped.result() == whole(corpus_pipeline.run(spark, sf))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_pass, table, texts
+from .common import arrow_pass, keeps, table, texts
 
 #: The vocabulary file, and the code points of Unicode's White_Space property.
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -241,6 +241,9 @@ class Codec:
         return b"".join(parts), np.cumsum(sizes) - sizes
 
 
+keeps(__name__, Codec.load.cache_clear)
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 

@@ -20,7 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Text of one step of an Arrow pass; a row is never cut, so a single longer text makes a step of its own.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
+#: What empties the cache that a module keeps in a Python worker from task to task, by module.
+_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, empty: Callable[[], None]) -> None:
+    """Name the cache of a module, which a pass of another module's empties, so that stages don't add up in a worker."""
+    _CACHES[module] = empty
+
+
+def _begin(module: str) -> None:
+    for name, empty in _CACHES.items():
+        if name != module:
+            empty()
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: T.StructType | str, piece_bytes: int = PIECE_BYTES) -> DataFrame:
@@ -28,7 +41,10 @@ def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | di
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     out = to_arrow_schema(schema)
 
+    module = fn.__module__
+
     def run(batches):
+        _begin(module)
         for batch in batches:
             for part in pieces(batch, piece_bytes):
                 cols = fn(part)

@@ -35,7 +35,7 @@ LETTER, DIGIT, OTHER, BLANK, SPACE, LAST, TICK1, TICK2, END = range(9)
 SHUT, IN_L, IN_D, IN_O, IN_W, JOIN, C1, C2 = range(8)
 STATES = 8
 #: Most slices that the merge cache keeps.
-CACHE_SLICES = 500_000
+CACHE_SLICES = 200_000
 #: Slices of up to this many bytes are merged together with all others of their length.
 SHORT = 40
 

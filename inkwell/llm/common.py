@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Text of one step of an Arrow pass; a row is never cut, so a single longer text makes a step of its own.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: What empties the cache that a module keeps in a Python worker from task to task, by module.
 _CACHES: dict[str, Callable[[], None]] = {}
 

@@ -61,6 +61,23 @@ def facets(rows: DataFrame, columns: tuple[str, ...] = FACETS) -> DataFrame:
     return long.filter("value IS NOT NULL AND value <> ''").groupBy("facet", "value").agg(F.count("*").alias("count"))
 
 
+def narrowed(found: DataFrame, chunks: DataFrame, where: Column, k: int | None = None) -> DataFrame:
+    """Rows of found whose chunk passes a post-filter, with their metadata FACETS and a new rank, the first k of each query.
+
+    Metadata is fetched by key; a chunk that is stored twice is there twice, one that is gone isn't. `facets` of the
+    result counts what is left, over all queries or, with `facets_by_query`, for each.
+    """
+    wide = found.drop("rank").join(chunks, ["tbl", "id"]).filter(where).select(*[c for c in found.columns if c != "rank"], *FACETS)
+    ranked = wide.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "tbl", "id")))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
+
+
+def facets_by_query(rows: DataFrame, columns: tuple[str, ...] = FACETS) -> DataFrame:
+    """(query_id, facet, value, count) of narrowed rows; nulls and empty values don't count."""
+    long = rows.select("query_id", *columns).unpivot(["query_id"], list(columns), "facet", "value")
+    return long.filter("value IS NOT NULL AND value <> ''").groupBy("query_id", "facet", "value").agg(F.count("*").alias("count"))
+
+
 def reciprocal(*lists: DataFrame, k: int, constant: int = RRF_K) -> DataFrame:
     """Sum of 1 / (constant + rank) over the lists, k rows a query."""
     rows = lists[0].select("query_id", "tbl", "id", "rank")

@@ -229,6 +229,25 @@ def h7(spark, d):
     return shown(out)
 
 
+NARROWED = f"""{HYBRID}, n AS (SELECT b.query_id, b.tbl, b.id, b.score, c.source, c.source_type, c.app_type, c.module, c.language, row_number() OVER (PARTITION BY b.query_id ORDER BY b.score DESC, b.tbl, b.id) AS rank
+  FROM b JOIN chunks c ON c.tbl = b.tbl AND c.id = b.id WHERE b.rank <= 50 AND c.language = 'en' AND c.app_type = 'web')"""
+
+
+def _narrowed(spark, d):
+    rows, asked = _both(spark, d)
+    return fuse.narrowed(fuse.search(rows, asked, 50), rows, fuse.post_filter(language="en", app_type="web"))
+
+
+@query("h2_narrowed_search", f"{NARROWED} {top('n', 10)}")
+def h2_narrowed(spark, d):
+    return shown(_narrowed(spark, d).filter("rank <= 10").select("query_id", "tbl", "id", "score", "rank"))
+
+
+@query("h3_search_facets", f"{NARROWED}, fc AS (SELECT query_id, unnest(['source', 'source_type', 'app_type', 'module', 'language']) AS facet, unnest([source, source_type, app_type, module, language]) AS value FROM n) SELECT query_id, facet, value, count(*) AS count FROM fc WHERE value IS NOT NULL AND value <> '' GROUP BY ALL")
+def h3_search(spark, d):
+    return fuse.facets_by_query(_narrowed(spark, d))
+
+
 RERANK = f"""{HYBRID}, cand AS (SELECT b.query_id, b.tbl, b.id, b.score AS old, c.content, q.query FROM b JOIN chunks c ON c.tbl = b.tbl AND c.id = b.id JOIN queries q ON q.query_id = b.query_id WHERE rank <= 50),
 rs AS (SELECT query_id, tbl, id, old, {TRIGRAMS.format('content')} AS a, {TRIGRAMS.format('query')} AS b FROM cand)"""
 

@@ -1,10 +1,13 @@
 """Mixing sources to target weights along a time-varying curriculum.
 
-Every source has a weight schedule over training time u in [0, 1], linear from its opening to its closing emphasis; the
+Every source has a weight schedule over time u in [0, 1], linear from its opening to its closing emphasis; the
 schedule's integral is the source's target. A source's documents stand in a fixed pseudo-random order, which is gone
 through as often as the target asks, and a take whose words begin at share p of the source's taken words is trained at
-the u where the integrated schedule reaches p. So every source lasts from 0 to 1, whether it is cut or repeated. The
-whole mix is range-sorted by that position.
+the u where the integrated schedule reaches p. So every source lasts from 0 to 1, whether it is cut or repeated.
+
+The clock of training is words, not u: the position of a take is the share of all sources' words that their schedules
+have asked for by u. So each tenth of the positions holds a tenth of the words, and at each position a source has its
+weight over the sum of all weights there. The whole mix is range-sorted by position.
 
 Running totals inside a source come from two levels: sums by (source, hash bucket), then a window inside each bucket,
 so that a source with a third of all rows is spread over many tasks; the number of buckets grows with the rows.
@@ -67,7 +70,7 @@ def mix(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     taken counts words: each document is taken floor(target / source_size) times in whole, and the rest of the target
     goes to documents in the order of a hash of (doc_id, text), the last of them in part. Null texts have size 0 and
     are taken 0 times; a null source is a source of its own; repeated rows are ordered by their row number. positions are
-    where the first words of each take are trained, in [0, 1), and position is the first of them; both are null for a
+    where the first words of each take are trained, as shares of all taken words in [0, 1), and position is the first of them; both are null for a
     document that is not taken. A very long text is a document of its size like others; an empty table gives an empty one.
     """
     return _mixed(_with_sizes(docs.select("doc_id", "text", "source")), buckets)
@@ -86,6 +89,7 @@ def _mixed(rows: DataFrame, buckets: int | None) -> DataFrame:
     rows = rows.withColumn("bucket", F.pmod("tie", F.lit(buckets)))
     sums = written(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "mix-sums")
     shares = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
+    opening, closing = shares.agg(*(F.coalesce(F.sum(F.round("target") * x), F.lit(0.0)) for x in emphasis(F.col("rank")))).first()
     place = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     plan = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(place), F.lit(0))).join(
         shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))
@@ -100,20 +104,29 @@ def _mixed(rows: DataFrame, buckets: int | None) -> DataFrame:
     part = F.least("size", F.greatest(F.lit(0).cast("bigint"), extra - start))
     out = out.withColumn("start", start).withColumn("taken", (times * F.col("size") + part).cast("bigint"))
     out = out.withColumn("takes", (times + (part > 0).cast("bigint")).cast("int"))
-    at = lambda k: reached((k * F.col("source_size") + F.col("start")) / F.greatest(F.round("target"), F.lit(1)), F.col("rank"))
+    at = lambda k: spent(reached((k * F.col("source_size") + F.col("start")) / F.greatest(F.round("target"), F.lit(1)), F.col("rank")), opening, closing)
     out = out.withColumn("positions", F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0), F.greatest("takes", F.lit(1)) - 1), at)))
     return out.withColumn("position", F.get("positions", F.lit(0))).drop("bucket", "inner", "before", "tie", "rank", "start", "takes")
 
 
+def emphasis(rank: Column, schedules=SCHEDULES) -> tuple[Column, Column]:
+    """A source's opening and closing emphasis."""
+    pick = (rank % len(schedules) + 1).cast("int")
+    return tuple(F.element_at(F.array(*[F.lit(float(pair[i])) for pair in schedules]), pick) for i in (0, 1))
+
+
 def reached(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
     """The time at which a schedule a + (b - a) u, scaled to integrate to 1, has spent `share` of its demand."""
-    pick = (rank % len(schedules) + 1).cast("int")
-    a = F.element_at(F.array(*[F.lit(float(x)) for x, _ in schedules]), pick)
-    b = F.element_at(F.array(*[F.lit(float(x)) for _, x in schedules]), pick)
+    a, b = emphasis(rank, schedules)
     p = share * (a + b) / 2
     return F.when(a == b, share).otherwise((F.sqrt(a * a + 2 * (b - a) * p) - a) / F.when(a != b, b - a) + F.lit(0.0))
 
 
+def spent(u: Column, opening: float, closing: float) -> Column:
+    """The share of all words that schedules with these sums of demand at u = 0 and u = 1 have asked for by u."""
+    return u * (opening + (closing - opening) / 2 * u) / max((opening + closing) / 2, 1.0)
+
+
 def ordered(mixed: DataFrame) -> DataFrame:
     """The mix in training order: a range sort by position, ties by doc_id."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id", "row")

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from inkwell.llm import bpe, licenses, media, mixing, pii, repeats, simhash, substrings, suffixes, topk, toxicity
 from inkwell.llm.common import table
@@ -191,19 +192,20 @@ def test_automaton_streams_matching_statistics():
 
 
 def test_topk(spark, edge):
-    vectors = {}
+    vectors = []
     for r in table(spark, edge, "embeddings").collect():
         v = r["embedding"]
         if r["vec_id"] is not None and v and all(x is not None and math.isfinite(x) for x in v):
-            ints = tuple(math.floor(256 * x) for x in v)
-            vectors[r["vec_id"]] = max(ints, vectors.get(r["vec_id"], ints))
+            vectors.append((r["vec_id"], [math.floor(256 * x) for x in v]))
+    assert len(vectors) > len({k for k, _ in vectors})
     want = Counter()
-    for q in (k for k in vectors if k % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(vectors[q], v)), k) for k, v in vectors.items() if k != q)[:5]
-        want.update((q, i, k, -s) for i, (s, k) in enumerate(best, 1))
+    for at, (q, own) in enumerate(vectors):
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(own, v)), k) for i, (k, v) in enumerate(vectors) if i != at)[:5]
+            want.update((q, i, k, -s) for i, (s, k) in enumerate(best, 1))
     assert bag(topk.op4_topk(spark, edge), "query_id", "rank", "vec_id", "score") == want
     points = topk.integers(table(spark, edge, "embeddings"))
-    small = topk.top_k(points, points.filter("vec_id % 50 = 0"), shard_rows=9)
+    small = topk.top_k(points, F.col("vec_id") % 50 == 0, shard_rows=9)
     assert bag(small, "query_id", "rank", "vec_id", "score") == want
 
 
@@ -382,6 +384,9 @@ def test_each_source_follows_its_schedule(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
     got = mixing.mix(docs).collect()
     assert {r["target"] < r["source_size"] for r in got} == {True, False}
+    demand = {s: next(round(r["target"]) for r in got if r["source"] == s) for s in sizes}
+    opening, closing = (sum(demand[s] * mixing.SCHEDULES[k % 3][end] for k, s in enumerate(sorted(sizes))) for end in (0, 1))
+    clock = lambda u: (opening * u + (closing - opening) * u * u / 2) / sum(demand.values())
     for rank, s in enumerate(sorted(sizes)):
         own = [r for r in got if r["source"] == s]
         total = sum(r["taken"] for r in own)
@@ -391,7 +396,7 @@ def test_each_source_follows_its_schedule(spark):
         a, b = mixing.SCHEDULES[rank % 3]
         for u in (0.1, 0.25, 0.5, 0.75, 0.9, 1.0):
             want = (a * u + (b - a) * u * u / 2) / ((a + b) / 2)
-            assert abs(sum(n for p, n in takes if p < u) / total - want) <= 10 / total, (s, u)
+            assert abs(sum(n for p, n in takes if p < clock(u)) / total - want) <= 10 / total, (s, u)
     ids = [r["doc_id"] for r in mixing.resample(docs).collect()]
     times = {r["doc_id"]: round(r["taken"] / r["size"]) for r in got}
     assert sum(abs(Counter(ids)[k] - n) for k, n in times.items()) <= 2 * len(sizes)
@@ -401,6 +406,29 @@ def test_each_source_follows_its_schedule(spark):
     assert half[0] > half[1] > half[2]
 
 
+def test_each_tenth_of_the_mix_has_the_scheduled_weights(spark):
+    """A tenth of the positions holds a tenth of the words, and in it each source its normalised weight."""
+    rnd, sizes = random.Random(5), {"a": 6000, "b": 2500, "c": 900, "d": 1200}
+    rows = [(i, "w " * rnd.randrange(1, 9), s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    takes = [(p, r["source"], min(r["size"], r["taken"] - k * r["size"])) for r in got for k, p in enumerate(r["positions"] or ())]
+    demand = {r["source"]: round(r["target"]) for r in got}
+    total, steps = sum(demand.values()), 20_000
+    want = [Counter() for _ in range(10)]  # words by source and tenth, stepped along u
+    done = 0.0
+    for i in range(steps):
+        u = (i + 0.5) / steps
+        step = {s: demand[s] * (a + (b - a) * u) / ((a + b) / 2) / steps for (a, b), s in zip(mixing.SCHEDULES * 2, sorted(sizes))}
+        for s, n in step.items():
+            want[min(9, int(10 * done / total))][s] += n
+        done += sum(step.values())
+    for tenth in range(10):
+        own = [(s, n) for p, s, n in takes if tenth <= 10 * p < tenth + 1]
+        assert abs(sum(n for _, n in own) / total - 0.1) <= 40 / total, tenth
+        for s in sizes:
+            assert abs(sum(n for x, n in own if x == s) - want[tenth][s]) <= 30, (tenth, s)
+
+
 def test_bpe(spark, edge):
     import tiktoken
     from public_tokenizers import PATTERN

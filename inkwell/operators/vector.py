@@ -59,13 +59,16 @@ class _Kept:
     def __init__(self, ids: np.ndarray, units: dict, k: int):
         self.ids, self.units, self.k, self.kept = ids, units, k, {}
 
+    def scored(self, vectors):
+        """Length, places of the rows of that length, and their scores by query."""
+        for n, (at, m) in _units(vectors).items():
+            if n in self.units:
+                yield n, at, self.units[n][1] @ m.T
+
     def add(self, tbl, ids: np.ndarray, vectors) -> None:
         tbl = np.array(tbl, object)
-        for n, (at, m) in _units(vectors).items():
-            if n not in self.units:
-                continue
-            own, q = self.units[n]
-            score = np.round(q @ m.T, X.STEADY)
+        for n, at, score in self.scored(vectors):
+            own, score = self.units[n][0], np.round(score, X.STEADY)
             for name in set(tbl[at].tolist()):
                 here = tbl[at] == name
                 s, i = score[:, here], np.broadcast_to(ids[at][here], (len(own), int(here.sum())))
@@ -87,30 +90,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None
     Up to QUERY_BLOCK queries go to every task, which keeps its own k best rows a query and store, so only those are
     shuffled. More queries meet the rows in cells of bounded size, each compared by one task.
     """
-    rows, asked = _rows(vectors if where is None else vectors.filter(where)), _asked(queries)
+    return _merged(_found(_rows(vectors if where is None else vectors.filter(where)), _asked(queries), k), k)
+
+
+def _found(rows: DataFrame, asked: DataFrame, k: int, make=_Kept) -> DataFrame:
+    """FOUND rows that hold the k best of each query and store; make says how a task scores what is in `v`."""
     few = asked.limit(QUERY_BLOCK + 1).toArrow()
     if few.num_rows > QUERY_BLOCK:
         one = F.lit(0).alias("cell")
-        found = _in_cells(rows.select("*", one), asked.select("*", one), k)
-    else:
-        ids, units = few["query_id"].to_numpy(), _units(few["q"])
+        return _in_cells(rows.select("*", one), asked.select("*", one), k, make)
+    ids, units = few["query_id"].to_numpy(), _units(few["q"])
 
-        def run(batches):
-            kept = _Kept(ids, units, k)
-            for batch in batches:
-                if batch.num_rows and len(ids):
-                    kept.add(batch["tbl"].to_pylist(), batch["id"].to_numpy(), batch["v"])
-            yield from kept.table().to_batches()
+    def run(batches):
+        kept = make(ids, units, k)
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                kept.add(batch["tbl"].to_pylist(), batch["id"].to_numpy(), batch["v"])
+        yield from kept.table().to_batches()
 
-        found = rows.mapInArrow(run, FOUND)
-    return _merged(found, k)
+    return rows.mapInArrow(run, FOUND)
 
 
 def _merged(found: DataFrame, k: int) -> DataFrame:
     return best(best(found.distinct(), k, ("query_id", "tbl")).drop("rank"), k)
 
 
-def _in_cells(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def _in_cells(rows: DataFrame, asked: DataFrame, k: int, make=_Kept) -> DataFrame:
     """FOUND rows: the k best of every block of rows for every block of queries of the same cell.
 
     A cell's rows and queries are cut into blocks by a hash; sizes are counted first, so a cell with a third of all
@@ -124,7 +129,7 @@ def _in_cells(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     right = asked.join(blocks, "cell").select("cell", every("rb").alias("r"), F.pmod(F.xxhash64("query_id"), "qb").cast("int").alias("c"), "query_id", "q")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kept = _Kept(right["query_id"].to_numpy(), _units(right["q"]), k) if right.num_rows else _Kept(np.zeros(0, np.int64), {}, k)
+        kept = make(right["query_id"].to_numpy(), _units(right["q"]), k) if right.num_rows else make(np.zeros(0, np.int64), {}, k)
         if left.num_rows and right.num_rows:
             kept.add(left["tbl"].to_pylist(), left["id"].to_numpy(), left["v"])
         return kept.table()

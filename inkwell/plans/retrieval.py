@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
-from inkwell.operators import embed, evaluate, fuse, keyword, vector
+from inkwell.operators import codes, embed, evaluate, fuse, keyword, vector
 from inkwell.operators.index import KeywordIndex
 from inkwell.plans.views import CHUNKS, KEYWORD_QUERIES, chunk_vectors, chunks, keyword_queries, table, vector_queries
 from inkwell.sources.shared import fresh_path
@@ -142,6 +142,11 @@ def v4(spark, d):
     return shown(vector.approximate(chunk_vectors(spark, d), vector_queries(spark, d), 10))
 
 
+@query("v4_codes")
+def v4_codes(spark, d):
+    return shown(codes.search(chunk_vectors(spark, d), vector_queries(spark, d), 10))
+
+
 @query("e2_mean_pool", """WITH t AS (SELECT label, unnest(range(1, 65)) AS dim, embedding, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE 1 END AS mask FROM embeddings),
 m AS (SELECT label, dim, round(sum(CAST(embedding[dim] AS DOUBLE) * mask) / greatest(sum(mask), 1), 6) AS x FROM t GROUP BY ALL) SELECT CAST(label AS BIGINT) AS id, list(x ORDER BY dim) AS vector FROM m GROUP BY label""")
 def e2(spark, d):

@@ -318,7 +318,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with each span of its text replaced by its kind in brackets; columns and rows stay as they are."""
     names = docs.columns
     spans = _found(docs, scan(docs.select("doc_id", "text")))
-    given = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), F.col("text").cast("string").alias("text"))
+    given = docs.select(F.struct(*[F.col(f"`{n}`") for n in names if n != "text"]).alias("doc"), F.col("text").cast("string").alias("text"))
     if spans is None:
         given = given.withColumn("found", F.expr(f"cast(NULL AS array<{SPAN}>)"))
     else:

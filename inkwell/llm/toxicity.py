@@ -221,9 +221,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the model fitted on docs and labels doesn't call toxic, columns as they were."""
     names = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("doc"), F.col("text").cast("string").alias("text"))
+    inner = docs.select(F.struct(*[F.col(f"`{n}`") for n in names if n != "text"]).alias("doc"), F.col("text").cast("string").alias("text"))
     scored = score(inner, fit(docs, labels)).filter(~F.col("toxic"))
-    return scored.select(*[F.col("doc").getField(n).alias(n) for n in names])
+    return scored.select(*[F.col("text").cast(docs.schema[n].dataType) if n == "text" else F.col("doc").getField(n).alias(n) for n in names])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

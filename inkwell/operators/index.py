@@ -85,9 +85,9 @@ class KeywordIndex(Store):
         return texts
 
     @tidy
-    def bm25(self, chunks: DataFrame, queries: DataFrame, k: int, every_term: bool = True, version: int | None = None) -> DataFrame:
+    def bm25(self, chunks: DataFrame, queries: DataFrame, k: int, every_term: bool = True, version: int | None = None, synonyms: DataFrame | None = None) -> DataFrame:
         """keyword.bm25 of a version; no text is read."""
-        return keyword.bm25(chunks, queries, k, every_term, index=self.postings(version))
+        return keyword.bm25(chunks, queries, k, every_term, index=self.postings(version), synonyms=synonyms)
 
     @tidy
     def search(self, chunks: DataFrame, queries: DataFrame, k: int, where: Column | None = None, version: int | None = None) -> DataFrame:

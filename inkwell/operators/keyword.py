@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
+from inkwell.operators import query as analysis
 from inkwell.operators import words as V
 from inkwell.sources.shared import written
 
@@ -214,14 +215,15 @@ def completed(index: Postings, found: DataFrame, asked: DataFrame, k1: float = K
     return parts.groupBy("query_id", "tbl", "id").agg(F.sum(value).alias("s"), F.count("*").alias("held"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int, every_term: bool = True, k1: float = K1, b: float = B, index: Postings | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, queries: DataFrame, k: int, every_term: bool = True, k1: float = K1, b: float = B, index: Postings | None = None, synonyms: DataFrame | None = None) -> DataFrame:
     """BM25, normalised to s / (s + 1): the best k chunks of each query; with every_term a chunk must hold all its terms.
 
     Up to PLAIN pairs, which are counted, all postings of asked terms are joined; beyond, and with a kept index, only
     `survivors` are scored, from the index, so texts are read once when it is made. index is a kept index of the
     chunks; without one, an index of the asked terms is made. A chunk that is stored twice is one text of all its terms,
-    as long as either copy.
+    as long as either copy. synonyms (key, synonyms) widens the queries first; with every_term these must be held too.
     """
+    queries = queries if synonyms is None else analysis.widened(queries, synonyms)
     needs = written(queries.filter("query_id IS NOT NULL").select("query_id", F.explode(terms(F.col("query"))).alias("term")).distinct(), "keyword-needs")
     index = index or posted(chunks, needs)
     plain = 0

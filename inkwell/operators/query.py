@@ -34,6 +34,16 @@ def expanded(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     return queries.join(lists, "query_id", "left").withColumn("expansions", F.coalesce("expansions", F.expr("cast(array() AS array<string>)")))
 
 
+def widened(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(query_id, query): each query followed by its expansions, as a search takes it; one without any stays as it is.
+
+    Of rows that share an id the smallest query counts, rows without an id go, and a null query stays null.
+    """
+    one = queries.filter("query_id IS NOT NULL").groupBy("query_id").agg(F.min("query").alias("query"))
+    text = F.when(F.size("expansions") > 0, F.concat_ws(" ", "query", F.array_join("expansions", " "))).otherwise(F.col("query"))
+    return expanded(one, synonyms).select("query_id", text.alias("query"))
+
+
 def suggested(queries: DataFrame, module_pattern: str, app_words: DataFrame) -> DataFrame:
     """queries with module (first match of the pattern) and app_type: of the keywords in the query, the longest, then by name."""
     module = F.nullif(F.regexp_extract("query", module_pattern, 0), F.lit(""))

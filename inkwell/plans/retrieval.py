@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import text as X
 from inkwell.operators import codes, embed, evaluate, fuse, keyword, vector
 from inkwell.operators.index import KeywordIndex
+from inkwell.plans.corpus import SYNONYMS
 from inkwell.plans.views import CHUNKS, KEYWORD_QUERIES, chunk_vectors, chunks, keyword_queries, table, vector_queries
 from inkwell.sources.shared import fresh_path
 
@@ -100,6 +101,23 @@ def k6(spark, d):
     return shown(keyword.bm25(chunks(spark, d), keyword_queries(spark, d), 10, every_term=False))
 
 
+PAIRS = ", ".join(f"('{key}', {terms})" for key, terms in SYNONYMS)
+WIDENED = rf"""syn AS (SELECT * FROM (VALUES {PAIRS}) t(key, synonyms)),
+lookup AS (SELECT key AS term, synonyms AS terms FROM syn
+  UNION ALL SELECT s, list_concat([key], list_filter(synonyms, lambda x: x <> s)) FROM (SELECT key, synonyms, unnest(synonyms) AS s FROM syn)),
+given AS (SELECT item_id AS query_id, text AS query FROM benchmark WHERE trim(text) <> ''),
+parts AS (SELECT query_id, lower(unnest(regexp_split_to_array(trim(query), '\s+'))) AS term FROM given),
+more AS (SELECT query_id, string_agg(word, ' ') AS words FROM (SELECT query_id, unnest(terms) AS word FROM parts JOIN lookup USING (term)) GROUP BY query_id),
+queries AS (SELECT query_id, concat_ws(' ', query, words) AS query FROM given LEFT JOIN more USING (query_id))"""
+
+
+@query("k6_expanded", f"""{BM25.replace(KEYWORD_QUERIES, WIDENED)}, r AS (SELECT query_id, tbl, id, round(s / (s + 1), 12) AS score FROM sums),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tbl, id) AS rank FROM r) {top('b', 10)}""")
+def k6_expanded(spark, d):
+    synonyms = spark.createDataFrame(SYNONYMS, "key string, synonyms array<string>")
+    return shown(keyword.bm25(chunks(spark, d), keyword_queries(spark, d), 10, every_term=False, synonyms=synonyms))
+
+
 def _index(spark, d):
     """A kept index of chunks, whose third part was added in a second version."""
     kept, rows = KeywordIndex(spark, fresh_path(spark, "index")), chunks(spark, d)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from inkwell.functions import text as X
-from inkwell.operators import catalog, scan
+from inkwell.operators import catalog, latency, scan
 from inkwell.plans.views import table
 
 QUERIES, SQL = {}, {}
@@ -349,6 +349,27 @@ def l1(spark, d):
     return scan.tool_statistics(calls(spark, d))
 
 
+def _days(spark, d):
+    """Sketches of two parts of the events, kept apart and merged, as a second day's run would."""
+    rows = table(spark, d, "events").select(F.col("ts").alias("at"), F.col("event_type").alias("name"), F.col("value").alias("duration"), "user_id")
+    late = F.col("user_id") % 2 == 0
+    return latency.added(latency.kept(rows.filter(~late | late.isNull())), latency.kept(rows.filter(late)))
+
+
+SINCE, UNTIL = "2024-01-05", "2024-01-20"
+
+
+@query("l1_latency_periods")
+def l1_latency(spark, d):
+    return latency.period(_days(spark, d), SINCE, UNTIL)
+
+
+@query("l1_period_totals", f"""SELECT event_type AS name, count(*) AS calls, count(value) AS timed, round(round(avg(value), 12), 6) AS mean, max(value) AS most
+FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '{SINCE}' AND DATE '{UNTIL}' GROUP BY event_type""")
+def l1_period(spark, d):
+    return latency.period(_days(spark, d), SINCE, UNTIL).select("name", "calls", "timed", F.round(X.steady(F.col("mean")), 6).alias("mean"), "most")
+
+
 @query("l2_log_rows", "SELECT conv_id * 1000 + turn AS id, CASE WHEN length(text) > 100 THEN substring(text, 1, 100) || '...(truncated)' ELSE text END AS parameters, CAST(strlen(text) AS INTEGER) AS response_bytes FROM conversations")
 def l2(spark, d):
     return scan.log_rows(table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("parameters"), F.col("text").alias("response")))

@@ -59,10 +59,8 @@ def s4(spark, d):
 def s1_files(spark, d):
     """Texts written as files, one each, and read back; a file's name holds its id."""
     path = fresh_path(spark, "files")
-    docs = table(spark, d, "documents").filter("text IS NOT NULL AND text <> ''").select(F.concat(F.lit("d"), "doc_id").alias("name"), "text")
-    docs.repartition("name").write.partitionBy("name").option("lineSep", "\u0001").option("maxRecordsPerFile", 1).text(path)
-    rows = source.read_files(spark, path)
-    return rows.select(F.regexp_extract("path", "name=d([0-9]+)", 1).cast("bigint").alias("doc_id"), F.regexp_replace("content", "\u0001$", "").alias("content"))
+    source.write_files(table(spark, d, "documents").filter("text IS NOT NULL AND text <> ''").select(F.concat(F.lit("d"), "doc_id").alias("name"), F.col("text").alias("content")), path)
+    return source.read_files(spark, path).select(F.regexp_extract("path", r"/d(-?[0-9]+)[.][0-9]+[.][0-9]+$", 1).cast("bigint").alias("doc_id"), "content")
 
 
 @query("s5_crawl_order", f"WITH {LINKS}, p AS (SELECT *, contains(lower(url), 'th') OR contains(lower(url), 'ing') AS priority FROM links) SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, pos, url) - 1 AS INTEGER) AS place FROM p")

@@ -1,11 +1,12 @@
 """Kept sketches of durations against exact ranks."""
 
+import math
 import random
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from datetime import datetime
 
-from inkwell.operators import latency
+from inkwell.operators import evaluate, latency
 
 CALLS = "at timestamp, name string, duration double, note string"
 
@@ -41,3 +42,17 @@ def test_awkward_rows(spark):
     empty = latency.kept(spark.createDataFrame([], CALLS))
     assert empty.count() == 0 and latency.period(empty).count() == 0
     assert latency.added(days, empty).count() == days.count()
+
+
+def test_latency_is_exact_above_the_size_of_a_sketch(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), rng.lognormvariate(0, 3)) for _ in range(60_000)] + [("c", 1.0)] * 500 + [("d", None), (None, 2.0)]
+    exact = {}
+    for name, v in rows:
+        exact.setdefault(name, []).extend([v] if v is not None else [])
+    got = {r[0]: r[1:] for r in evaluate.latency(spark.createDataFrame(rows, "name string, value double").repartition(7), "value", "name").collect()}
+    assert got.keys() == exact.keys()
+    for name, values in exact.items():
+        values.sort()
+        want = [round(values[math.ceil(len(values) * p / 100) - 1], 6) if values else None for p in (50, 95, 99)]
+        assert list(got[name]) == want

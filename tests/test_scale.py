@@ -1,5 +1,10 @@
 """Steps whose memory, time or exactness once gave way on larger tables."""
 
+import math
+
+import duckdb
+
+from inkwell.plans import registry
 from inkwell.sources import pages
 
 
@@ -19,3 +24,14 @@ def test_no_files(spark, tmp_path):
     path = f"file://{tmp_path}/files"
     assert pages.write_files(spark.createDataFrame([], "name string, content string"), path) == 0
     assert pages.read_files(spark, path).count() == 0
+
+
+def test_small_negative_components_keep_their_sign(spark, tmp_path):
+    """Larger tables hold components that round to zero from below; as text -0.0 isn't 0.0."""
+    rows = [(1, [-1e-7, 1.0, 1e-7]), (2, [-0.5, 0.0, -2e-9]), (3, [3.0, -4.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    signed = lambda rows: sorted((i, [(x, math.copysign(1, x)) for x in v]) for i, v in rows)
+    got = registry.QUERIES["e3_l2_normalise"](spark, str(tmp_path)).select("vec_id", "vector").collect()
+    assert signed(got) == signed(con.sql(registry.SQL["e3_l2_normalise"]).fetchall())

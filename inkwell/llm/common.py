@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from inkwell.sources.shared import fresh_path, remove, scope, shared_dir, tidy, written
+from inkwell.sources.shared import fresh_path, remove, scope, shared_dir, small_batches, tidy, written
 
 __all__ = ["arrow_pass", "fresh_path", "remove", "scope", "shared_dir", "table", "texts", "tidy", "written"]
 
@@ -21,9 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: Text of one step of an Arrow pass; a row is never cut, so a single longer text makes a step of its own.
 PIECE_BYTES = 2 << 20
-#: Rows and bytes of a batch that Spark hands to Python, where the session doesn't set them: its own 10,000 rows of texts
-#: stand in the executor's native memory and in the worker as a whole, before pieces are cut.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 #: What empties the cache that a module keeps in a Python worker from task to task, by module.
 _CACHES: dict[str, Callable[[], None]] = {}
 
@@ -43,9 +40,7 @@ def arrow_pass(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | di
     """Map each Arrow batch with fn, which returns columns by name; batches hold at most piece_bytes of input."""
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     out = to_arrow_schema(schema)
-    for key, most in BATCHES.items():
-        if df.sparkSession.conf.get(key, None) is None:
-            df.sparkSession.conf.set(key, most)
+    small_batches(df.sparkSession)
     module = fn.__module__
 
     def run(batches):

@@ -21,6 +21,9 @@ PARSERS = {"HTML": parse.html_sections, "MARKDOWN": parse.markdown_sections, "JA
 #: Kinds by the ending of a file's name; others are sniffed.
 ENDINGS = {".java": "JAVA", ".xml": "XML", ".xhtml": "HTML", ".html": "HTML", ".htm": "HTML", ".md": "MARKDOWN", ".properties": "TEXT", ".txt": "TEXT"}
 
+#: Pages and bytes of bodies that a parsing task is meant for.
+PARSE_ROWS, PARSE_BYTES = 20_000, 8 << 20
+
 
 def page_kind(body: Column) -> Column:
     """HTML or MARKDOWN, as an article is sniffed."""
@@ -64,14 +67,21 @@ def ingest(pages: DataFrame, path: str, now: Column, mode: str = "append", load:
     if mode == "append" and kept.versions():
         new = new.join(kept.read().select("url").filter("url IS NOT NULL").distinct(), "url", "left_anti")
     rows = written(new.select(F.to_json(F.struct("source", "url", "kind")).alias("key"), F.when(F.col("url").isNotNull(), F.col("body")).alias("body")), "ingest-pages")
-    parsed = parse.sections(rows, _parsed).withColumn("at", F.from_json("key", "source string, url string, kind string"))
+    n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()
+    # small compressed files would be few tasks, whatever work their bodies are
+    spread = rows.repartition(max(1, -(-n // PARSE_ROWS), -(-total // PARSE_BYTES)), "key")
+    parsed = parse.sections(spread, _parsed).withColumn("at", F.from_json("key", "source string, url string, kind string"))
     parsed = written(parsed.withColumn("id", F.monotonically_increasing_id()), "ingest-sections")
     good = parsed.filter("error IS NULL")
     parts = chunk.chunked(good.select("id", "content", F.col("at.kind").alias("content_type")))
     meta = [F.try_element_at("metadata", F.lit(n)).alias(n) for n in ("title", "section_title", "fqcn")]
     wide = parts.join(good.select("id", "section", F.col("at.source").alias("source"), F.col("at.url").alias("url"), *meta), "id").withColumn("tbl", embed.store_of(F.col("content_type")))
-    doc, code = (embed.embedded(wide.filter(F.col("tbl") == name), how) for name, how in (("doc", load), ("code", load_code or load)))
-    made = written(store.with_defaults(doc.unionByName(code), now).select(*STORED), "ingest-made")
+    wide = written(wide, "ingest-chunks")
+    vectors = embed.embedded(wide, load)
+    if load_code is not None:
+        doc, code = (embed.embedded(wide.filter(F.col("tbl") == name), how) for name, how in (("doc", load), ("code", load_code)))
+        vectors = doc.unionByName(code)
+    made = written(store.with_defaults(vectors, now).select(*STORED), "ingest-made")
     getattr(kept, mode)(made)
     return written(_summary(rows, parsed, made), "ingest-summary")
 

@@ -1,9 +1,13 @@
 """Steps whose memory, time or exactness once gave way on larger tables."""
 
 import math
+import random
+import zlib
 
 import duckdb
+from pyspark import TaskContext
 
+from inkwell.operators import embed
 from inkwell.plans import registry
 from inkwell.sources import pages
 
@@ -35,3 +39,26 @@ def test_small_negative_components_keep_their_sign(spark, tmp_path):
     signed = lambda rows: sorted((i, [(x, math.copysign(1, x)) for x in v]) for i, v in rows)
     got = registry.QUERIES["e3_l2_normalise"](spark, str(tmp_path)).select("vec_id", "vector").collect()
     assert signed(got) == signed(con.sql(registry.SQL["e3_l2_normalise"]).fetchall())
+
+
+def test_trigram_counts_are_those_of_single_hashes(monkeypatch):
+    def plain(texts, dims):
+        out = [[0.0] * dims for _ in texts]
+        for row, text in zip(out, texts):
+            for i in range(len(text) - 2):
+                row[zlib.crc32(text[i : i + 3].encode()) % dims] += 1
+        return out
+
+    rng = random.Random(1)
+    texts = ["", "a", "ab", "abc", "日本語テキスト"] + ["".join(rng.choice("ab é日\U0001f600\n\0") for _ in range(rng.randrange(200))) for _ in range(60)]
+    for piece in (7, embed.PIECE):
+        monkeypatch.setattr(embed, "PIECE", piece)
+        assert embed.hashed_trigrams(texts, 7) == plain(texts, 7) and embed.hashed_trigrams(texts) == plain(texts, 64)
+    assert embed.hashed_trigrams([]) == []
+
+
+def test_texts_are_encoded_by_many_tasks(spark):
+    """Few compressed bytes once made one encoding task, however long the texts were."""
+    rows = spark.createDataFrame([(i, f"class Part{i}") for i in range(2_000)], "id int, content string").coalesce(1)
+    where = lambda: lambda texts: [[float(TaskContext.get().partitionId())] for _ in texts]
+    assert embed.embedded(rows, where).select("vector").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -35,13 +35,29 @@ def any_token(catalog: DataFrame, queries: DataFrame, fields: list[str], name: s
     return hits.filter(right).select("query_id", "kind", "name").distinct().withColumn("place", F.row_number().over(by))
 
 
+#: Rows of a name that meet its queries in one block.
+NAME_ROWS = 1_000
+
+
+def _named(catalog: DataFrame, queries: DataFrame, name: str) -> DataFrame:
+    """queries with the rows of catalog whose name is the wanted one. Rows of a common name are dealt to blocks, which
+    its queries meet one by one, and blocks to as many tasks as the session shuffles to: pairs are far more bytes than
+    what is joined, so a plan by bytes would give them to one task."""
+    rows, asked = catalog.withColumn("_name", F.lower(name)).filter("_name IS NOT NULL"), queries.withColumn("_name", F.lower("wanted"))
+    blocks = rows.groupBy("_name").agg(F.ceil(F.count("*") / NAME_ROWS).cast("int").alias("_blocks"))
+    tasks, by = int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions")), ("_name", "_block")
+    left = asked.join(blocks, "_name").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    right = rows.join(blocks, "_name").withColumn("_block", F.pmod(F.xxhash64(*catalog.columns), "_blocks").cast("int")).drop("_blocks")
+    return left.repartition(tasks, *by).join(right.repartition(tasks, *by), list(by)).drop(*by)
+
+
 def by_name(catalog: DataFrame, queries: DataFrame, *names: str) -> DataFrame:
     """Rows of which one of the columns, as a module's name or its artifact, is the asked one, whatever the case; a row
     that two columns match is there once."""
     columns, out = names or ("name",), None
     for i, name in enumerate(columns):
         earlier = [F.lower(F.col(n)).eqNullSafe(F.lower("wanted")) for n in columns[:i]]
-        part = queries.join(catalog, F.lower(F.col("wanted")) == F.lower(F.col(name)))
+        part = _named(catalog, queries, name)
         for hit in earlier:
             part = part.filter(~hit)
         out = part if out is None else out.unionByName(part)

@@ -5,9 +5,12 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import functions as F
 
-from inkwell.operators import embed
+from inkwell.operators import catalog, embed, vector
 from inkwell.plans import registry
 from inkwell.sources import pages
 
@@ -62,3 +65,33 @@ def test_texts_are_encoded_by_many_tasks(spark):
     rows = spark.createDataFrame([(i, f"class Part{i}") for i in range(2_000)], "id int, content string").coalesce(1)
     where = lambda: lambda texts: [[float(TaskContext.get().partitionId())] for _ in texts]
     assert embed.embedded(rows, where).select("vector").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_scores_of_a_cell_are_held_in_blocks(monkeypatch):
+    """A cell's scores at once once took several arrays of its rows by its queries."""
+    rng = np.random.default_rng(2)
+    rows, asked = rng.normal(size=(300, 5)).round(1), rng.normal(size=(70, 5)).round(1)
+    lists, ids = pa.array(rows.tolist(), pa.list_(pa.float64())), rng.permutation(300)
+    units = vector._units(pa.array(asked.tolist(), pa.list_(pa.float64())))
+
+    def found():
+        kept, most = vector._Kept(np.arange(70) + 1_000, units, 4), 0
+        for part in (slice(0, 200), slice(200, 300)):
+            kept.add(["doc", "code"] * (len(rows[part]) // 2), ids[part], lists[part])
+            most = max([most, *(score.size for *_, score in kept.scored(lists[part]))])
+        return sorted(map(tuple, kept.table().to_pandas().values.tolist())), most
+
+    whole, _ = found()
+    monkeypatch.setattr(vector, "STEP_ROWS", 16)
+    monkeypatch.setattr(vector, "STEP_QUERIES", 9)
+    cut, most = found()
+    assert cut == whole and len(cut) == 70 * 2 * 4 and most == 16 * 9
+
+
+def test_a_common_name_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "NAME_ROWS", 10)
+    rows = spark.createDataFrame([(i, "Bolt" if i % 3 else "Nut") for i in range(600)] + [(601, None)], "key int, name string").coalesce(1)
+    asked = spark.createDataFrame([(1, "BOLT"), (2, "bolt"), (3, "x"), (4, None)], "query int, wanted string")
+    out = catalog.by_name(rows, asked).withColumn("task", F.spark_partition_id())
+    assert sorted((r.query, r.key) for r in out.collect()) == sorted((q, i) for q in (1, 2) for i in range(600) if i % 3)
+    assert out.select("task").distinct().count() > 1

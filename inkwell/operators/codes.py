@@ -17,13 +17,14 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
 from inkwell.operators import vector as V
+from inkwell.sources.shared import small_batches
 
 #: Components of a part, centres of a part, and rows of the short list for each row asked for.
 PART, CENTRES, SHORT = 4, 256, 4
 #: Lengths of vectors that get codes, the commonest of the sample; rows of other lengths are compared in full.
 LENGTHS = 16
-#: Turns of the fit, rows that are compared with the centres at a time, and queries that a task has tables of at a time.
-TURNS, BLOCK, TABLES = 10, 8_192, 256
+#: Turns of the fit, and rows that are compared with the centres at a time.
+TURNS, BLOCK = 10, 8_192
 
 Books = dict[int, list[np.ndarray]]
 
@@ -87,6 +88,7 @@ def encode(vectors: DataFrame, of: Books) -> DataFrame:
                     codes[i] = head + code.tobytes()
             yield pa.RecordBatch.from_arrays([batch["tbl"], batch["id"], pa.array(codes, pa.binary())], names=["tbl", "id", "code"])
 
+    small_batches(vectors.sparkSession)
     return V._rows(vectors).mapInArrow(run, "tbl string, id bigint, code binary").filter("code IS NOT NULL")
 
 
@@ -105,11 +107,12 @@ class _KeptCodes(V._Kept):
             at, q = np.flatnonzero(lengths == n), self.units[n][1]
             byte = np.frombuffer(b"".join(raw[i][4:] for i in at), np.uint8).reshape(len(at), -1)
             edges = np.cumsum([0, *(c.shape[1] for c in self.of[n])])
-            score = np.zeros((len(q), len(at)))
-            for some in range(0, len(q), TABLES):
+            for a, b in V.blocks(len(at), len(q)):
+                own, near = q[b : b + V.STEP_QUERIES], byte[a : a + V.STEP_ROWS]
+                score = np.zeros((len(own), len(near)))
                 for j, centres in enumerate(self.of[n]):
-                    score[some : some + TABLES] += (q[some : some + TABLES, edges[j] : edges[j + 1]] @ centres.T)[:, byte[:, j]]
-            yield n, at, score
+                    score += (own[:, edges[j] : edges[j + 1]] @ centres.T)[:, near[:, j]]
+                yield n, b, at[a : a + V.STEP_ROWS], score
 
 
 def short_list(codes: DataFrame, queries: DataFrame, of: Books, rows: int) -> DataFrame:

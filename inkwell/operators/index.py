@@ -10,7 +10,7 @@ from inkwell.operators import keyword
 from inkwell.sources.shared import tidy
 from inkwell.sources.versioned import Store
 
-TOKENS = "token string, tbl string, id bigint, n bigint"
+TOKENS = "token string, tbl string, id bigint"
 
 
 class KeywordIndex(Store):
@@ -73,7 +73,7 @@ class KeywordIndex(Store):
 
     def _write(self, tokens: DataFrame, rows: DataFrame, texts: DataFrame, mean: float, name: str) -> None:
         sort = lambda df, *by: df.repartitionByRange(*by).sortWithinPartitions(*by)
-        sort(tokens.select("token", "tbl", "id", "n"), "token", "tbl", "id").write.parquet(self._folder("tokens", name))
+        sort(tokens.select("token", "tbl", "id"), "token", "tbl", "id").write.parquet(self._folder("tokens", name))
         sort(keyword.blocked(rows, mean).select(*T.StructType.fromDDL(keyword.BLOCKS).names), "term", "shard", "nth").write.parquet(self._folder("blocks", name))
         texts.select("tbl", "id", "length").write.parquet(self._folder("texts", name))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from inkwell.operators import catalog, embed, vector
+from inkwell.operators import catalog, embed, keyword, vector
 from inkwell.plans import registry
 from inkwell.sources import pages
 
@@ -95,3 +95,12 @@ def test_a_common_name_is_many_tasks(spark, monkeypatch):
     out = catalog.by_name(rows, asked).withColumn("task", F.spark_partition_id())
     assert sorted((r.query, r.key) for r in out.collect()) == sorted((q, i) for q in (1, 2) for i in range(600) if i % 3)
     assert out.select("task").distinct().count() > 1
+
+
+def test_tokens_of_texts_are_not_shuffled(spark):
+    """A table of all tokens of a task's texts once took its memory, and its shuffle the time of an index."""
+    chunks = spark.createDataFrame([("doc", 1, "Ab ab  c"), ("doc", 1, "c"), ("code", 2, None), (None, 3, "x"), ("doc", 4, " ")], "tbl string, id int, content string")
+    out = keyword.tokens(chunks)
+    assert sorted(map(tuple, out.collect())) == [("ab", "doc", 1), ("c", "doc", 1), ("c", "doc", 1)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan

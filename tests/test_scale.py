@@ -2,17 +2,19 @@
 
 import math
 import random
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from inkwell.operators import catalog, embed, keyword, vector
-from inkwell.plans import registry
-from inkwell.sources import pages
+from inkwell.operators import catalog, embed, fuse, keyword, vector, words
+from inkwell.plans import registry, retrieval
+from inkwell.sources import pages, shared
 
 
 def test_files_are_few_folders_and_come_back(spark, tmp_path):
@@ -104,3 +106,49 @@ def test_tokens_of_texts_are_not_shuffled(spark):
     assert sorted(map(tuple, out.collect())) == [("ab", "doc", 1), ("c", "doc", 1), ("c", "doc", 1)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+#: A query of each step that searches share: two lists (h5, h6 too), narrowed, reranked (h9 too), modes (r9_paired_test too), swept.
+STEPS = ["h4_reciprocal_rank_fusion", "h3_search_facets", "h8_rerank", "r8_mode_comparison", "r9_parameter_sweep"]
+
+
+@pytest.fixture
+def exchanged(spark, sf, tmp_path, monkeypatch):
+    """The columns of each shuffle in a query's plans, by name, where only tables of a few kilobytes count as small."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    for name in ("benchmark", "embeddings"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf}/{name}.parquet")
+    table.withColumn("text", F.concat("text", F.lit(" "), F.col("doc_id").cast("string"))).write.parquet(f"{tmp_path}/documents.parquet")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(100_000))
+
+    def of(frame):
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = frame._jdf.queryExecution().explainString(mode)
+        inputs = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]$", plan, re.M)
+        return [{c.split("#")[0] for c in columns.split(", ")} for columns in inputs]
+
+    def run(name):
+        found, put = [], shared.written
+
+        def noted(df, label):
+            found.extend(of(df))
+            return put(df, label)
+
+        for module in (keyword, fuse, words, retrieval):
+            if hasattr(module, "written"):
+                monkeypatch.setattr(module, "written", noted)
+        last = of(registry.QUERIES[name](spark, str(tmp_path)))
+        return found + last
+
+    yield run
+    spark.conf.set(limit, before)
+
+
+@pytest.mark.parametrize("name", STEPS)
+def test_texts_and_their_tokens_are_not_shuffled(exchanged, name):
+    """Every text was once joined with its vector before its words were cut, and again for each list of a few rows; all
+    tokens were shuffled to meet the few that are looked for. A task's share of that grew with the tables."""
+    shuffles = exchanged(name)
+    assert shuffles and not [s for s in shuffles if s & {"content", "text", "low", "a"} or {"token", "tbl"} <= s]

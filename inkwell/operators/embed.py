@@ -50,6 +50,15 @@ def hashed_trigrams(texts: list[str], dims: int = 64) -> list[list[float]]:
     return out.tolist()
 
 
+def vectors_of(texts: list[str], model: Callable[[list[str]], list[list[float]]], batch: int = BATCH) -> list[list[float]]:
+    """The vector of each text; the encoder sees equal texts of the list once."""
+    distinct, out = list(dict.fromkeys(texts)), []
+    for at in range(0, len(distinct), batch):
+        out += model(distinct[at : at + batch])
+    known = dict(zip(distinct, out))
+    return [known[t] for t in texts]
+
+
 def embedded(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[list[float]]]] = lambda: hashed_trigrams, batch: int = BATCH) -> DataFrame:
     """rows with `vector` of their content. The encoder is loaded once a task and sees equal contents once in the job.
 

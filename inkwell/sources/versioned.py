@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from inkwell.sources.shared import remove
 
 #: Ranges of the hash of urls, and replaced sources up to which the manifest names them; more go to the table of gone rows.
 RANGES, NAMED = 4096, 1_000
+#: Order of stored rows, and what their files are packed with: texts take about two thirds of what Spark's own choice takes.
+ORDER, CODEC = ("source", "range", "url"), "zstd"
 #: Columns of a digest: the number of rows and four sums of 32 bits of two hashes of them.
 SUMS = ("n", "a", "b", "c", "d")
 
@@ -44,6 +47,14 @@ class Conflict(RuntimeError):
     """Another run has published the version that this one wanted to."""
 
 
+class Staged(NamedTuple):
+    """What `Store.stage` wrote: its folder below the store's, the columns of the store, and the rows beside them."""
+
+    name: str
+    schema: T.StructType
+    beside: DataFrame
+
+
 class Store:
     """A versioned store of rows at a path that driver and executors share."""
 
@@ -135,11 +146,26 @@ class Store:
 
     # Changes
 
-    def append(self, rows: DataFrame) -> int:
+    def stage(self, rows: DataFrame) -> Staged:
+        """Rows written in the store's layout as a part of no version. A change takes them in by a rename, so that wide
+        rows are neither shuffled nor written again for it.
+
+        Tasks sort the rows that they have, which should be a stretch by source and url range each. Where the boolean
+        column `beside` holds, a row is none of the store's and is read from the result, with its source as in the store.
+        Both kinds are taken once; `vacuum` removes what no change has taken.
+        """
+        placed, schema = self._placed(rows, "beside")
+        name, order = f"data/staged={uuid.uuid4().hex}", ["beside", *ORDER, F.xxhash64("content")]
+        placed.sortWithinPartitions(*order).write.option("compression", CODEC).partitionBy("beside", "source").parquet(f"{self.path}/{name}")
+        fs, place = self._fs(f"{name}/beside=true")
+        beside = self.spark.read.schema(schema).parquet(f"{self.path}/{name}/beside=true") if fs.exists(place) else self.spark.createDataFrame([], schema)
+        return Staged(name, schema, beside)
+
+    def append(self, rows: DataFrame | Staged) -> int:
         """A version with rows added to those of the newest."""
         return self._change(lambda manifest, name: self._add(rows, manifest, name))
 
-    def replace(self, rows: DataFrame) -> int:
+    def replace(self, rows: DataFrame | Staged) -> int:
         """A version in which the sources that rows hold have these rows and no others; other sources are as before."""
 
         def steps(manifest, name):
@@ -159,14 +185,15 @@ class Store:
 
         return self._change(steps)
 
-    def upsert(self, rows: DataFrame) -> int:
+    def upsert(self, rows: DataFrame | Staged) -> int:
         """A version in which the urls that rows hold have these rows and no others, in whatever source they were."""
 
         def steps(manifest, name):
             before = self._rows(manifest) if manifest["schema"] else None
             self._add(rows, manifest, name)
             if before is not None:
-                self._lose(self._meeting(before, rows), manifest, name)
+                own = self.spark.read.schema("url string").parquet(f"{self.path}/data/commit={name}")
+                self._lose(self._meeting(before, own), manifest, name)
 
         return self._change(steps)
 
@@ -177,17 +204,29 @@ class Store:
     def _meeting(self, rows: DataFrame, urls: DataFrame) -> DataFrame:
         return rows.join(urls.select(F.col("url").alias("_u")).distinct(), F.col("url").eqNullSafe(F.col("_u")), "left_semi")
 
-    def _add(self, rows: DataFrame, manifest: dict, name: str) -> None:
+    def _placed(self, rows: DataFrame, *others: str) -> tuple[DataFrame, T.StructType]:
+        """Rows with `range` as they are stored, and the columns of the store, which `others` aren't."""
         rows = rows.withColumn("source", F.nullif(F.col("source").cast("string"), F.lit("")))
-        fields = sorted((f for f in rows.schema.fields), key=lambda f: f.name)
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields])
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in sorted(rows.schema.fields, key=lambda f: f.name) if f.name not in others])
+        return rows.select(*schema.names, url_range(F.col("url")).alias("range"), *others), schema
+
+    def _take(self, staged: Staged, name: str) -> None:
+        fs, made = self._fs(f"{staged.name}/beside=false")
+        _, final = self._fs(f"data/commit={name}")
+        if not (fs.rename(made, final) if fs.exists(made) else fs.mkdirs(final)):
+            raise OSError(f"staged rows can't become {final}")
+
+    def _add(self, rows: DataFrame | Staged, manifest: dict, name: str) -> None:
+        placed, schema = (None, rows.schema) if isinstance(rows, Staged) else self._placed(rows)
         if manifest["schema"] is not None and [(f.name, f.dataType.simpleString()) for f in T.StructType.fromJson(manifest["schema"])] != [(f.name, f.dataType.simpleString()) for f in schema]:
             raise ValueError("rows have other columns than the store")
         manifest["schema"] = json.loads(schema.json())
-        order = ["source", "range", "url", F.xxhash64("content")]
-        placed = rows.select(*[f.name for f in fields], url_range(F.col("url")).alias("range"))
-        # a range sort: a source with a third of all rows, and even such a url, is many files
-        placed.repartitionByRange(*order).sortWithinPartitions(*order).write.partitionBy("source").parquet(f"{self.path}/data/commit={name}")
+        if placed is None:
+            self._take(rows, name)
+        else:
+            order = [*ORDER, F.xxhash64("content")]
+            # a range sort: a source with a third of all rows, and even such a url, is many files
+            placed.repartitionByRange(*order).sortWithinPartitions(*order).write.option("compression", CODEC).partitionBy("source").parquet(f"{self.path}/data/commit={name}")
         there = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("range", T.IntegerType())])).parquet(f"{self.path}/data/commit={name}")
         digest(there, "source", "range").write.parquet(f"{self.path}/digests/commit={name}")
         if self.spark.read.schema("n bigint").parquet(f"{self.path}/digests/commit={name}").take(1):

@@ -11,10 +11,12 @@ import pyarrow as pa
 import pytest
 from pyspark import TaskContext
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
-from inkwell.operators import catalog, embed, fuse, keyword, vector, words
-from inkwell.plans import registry, retrieval
+from inkwell.operators import catalog, embed, fuse, ingest, keyword, vector, words
+from inkwell.plans import corpus, registry, retrieval
 from inkwell.sources import pages, shared
+from inkwell.sources.versioned import Store
 
 
 def test_files_are_few_folders_and_come_back(spark, tmp_path):
@@ -152,3 +154,54 @@ def test_texts_and_their_tokens_are_not_shuffled(exchanged, name):
     tokens were shuffled to meet the few that are looked for. A task's share of that grew with the tables."""
     shuffles = exchanged(name)
     assert shuffles and not [s for s in shuffles if s & {"content", "text", "low", "a"} or {"token", "tbl"} <= s]
+
+
+def test_an_ingest_shuffles_texts_once_and_writes_them_once(spark, sf, tmp_path, monkeypatch):
+    """Pages, sections, chunks and vectors were once written each, and texts shuffled three times or more, so that an ingest took
+    13 times its input of disk."""
+    texts, shuffled, kept = {"body", "content", "section_title"}, [], []
+    put = DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        plan = self._df._jdf.queryExecution().explainString(mode)
+        inputs = [{c.split("#")[0] for c in x.split(", ")} for x in re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]$", plan, re.M)]
+        shuffled.extend(x for x in inputs if x & texts)
+        kept.extend([self._df.columns] if texts & set(self._df.columns) else [])
+        return put(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    monkeypatch.setattr(ingest, "TASK_BYTES", 64 << 10, raising=False)
+    path = f"file://{tmp_path}/store"
+    summary = ingest.ingest(corpus._pages(spark, sf), path, corpus.now()).collect()
+    assert len(shuffled) == 1 and len(kept) == 1
+    rows = Store(spark, path)._rows(Store(spark, path).manifest())
+    files = rows.groupBy("source", F.input_file_name().alias("file")).agg(F.min("range").alias("low"), F.max("range").alias("high")).orderBy("source", "low", "high").collect()
+    assert len(files) > 5 and all(a["source"] != b["source"] or a["high"] <= b["low"] for a, b in zip(files, files[1:]))
+    assert sum(r["chunks"] for r in summary) == rows.count()
+    assert [f.name for f in (tmp_path / "store" / "data").iterdir() if f.name.startswith("staged")] == []
+
+
+def test_long_pages_are_dealt_by_their_bytes(spark, monkeypatch):
+    """Tasks have stretches of sources, and sources pages of other lengths."""
+    monkeypatch.setattr(ingest, "TASK_BYTES", 50_000)
+    monkeypatch.setattr(ingest, "UNIT", 100)
+    rows = [("long", f"u{i}", "MARKDOWN", "x" * 10_000) for i in range(40)] + [("short", f"v{i}", "MARKDOWN", "x" * 10) for i in range(2_000)] + [("short", "same", "HTML", None)] * 300
+    dealt = ingest._dealt(spark.createDataFrame(rows, "source string, url string, kind string, body string")).withColumn("task", F.spark_partition_id())
+    own = dealt.filter("part = 0").select("source", "url", "kind", "body", "task").collect()
+    assert sorted(tuple(r)[:4] for r in own if r["body"]) == sorted(r for r in rows if r[3]) and len(own) == len(rows)
+    loads = {}
+    for r in own:
+        loads[r["task"]] = loads.get(r["task"], 0) + len(r["body"] or "")
+    assert max(loads.values()) < 150_000
+
+
+def test_equal_contents_of_a_piece_are_encoded_once():
+    seen = []
+
+    def model(texts):
+        seen.extend(texts)
+        return [[float(len(t))] for t in texts]
+
+    assert embed.vectors_of(["a", "bb", "a", "", "bb"], model, 2) == [[1.0], [2.0], [1.0], [0.0], [2.0]] and seen == ["a", "bb", ""]
+    assert embed.vectors_of([], model) == []

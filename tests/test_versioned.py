@@ -129,3 +129,29 @@ def test_only_ranges_that_differ_are_read(spark, sf, place, capsys):
     got.explain("formatted")
     filters = [line for line in capsys.readouterr().out.split("\n") if line.startswith("PushedFilters")]
     assert any("range" in line for line in filters)
+
+
+@pytest.mark.parametrize("how", ["append", "replace", "upsert"])
+def test_staged_rows_are_taken_as_others(spark, tmp_path, how):
+    old = [("a", "u0", "x", 0), ("a", "u1", "x", 0), ("b", "u2", "x", 0), (None, "u3", "x", 0)]
+    new = [("a", "u0", "y", 1), ("", "u4", None, 1), ("c", None, "z", 1), ("c", "u2", "z", 1)]
+    places = [Store(spark, f"file://{tmp_path}/{n}") for n in ("plain", "staged")]
+    for rows in (old, new, []):
+        own = [(r, False) for r in rows] + [(("a", "u0", f"report {i}", None), True) for i in range(2 * bool(rows))]
+        made = spark.createDataFrame([(*r, b) for r, b in own], KIND + ", beside boolean").repartition(3)
+        staged = places[1].stage(made)
+        assert [r["content"] for r in staged.beside.orderBy("content").collect()] == [r[2] for r, b in own if b]
+        assert places[1].versions() == places[0].versions()
+        for place, given in zip(places, (rows_of(spark, rows), staged)):
+            getattr(place, how)(given)
+        assert bag(places[1].read()) == bag(places[0].read())
+        assert {tuple(r) for r in places[1].digests().collect()} == {tuple(r) for r in places[0].digests().collect()}
+    assert len(places[1].manifest()["parts"]) == 2 and places[1].vacuum() >= 3
+    assert bag(places[1].read()) == bag(places[0].read())
+
+
+def test_staged_rows_of_other_columns_change_nothing(spark, place):
+    place.append(rows_of(spark, [("x", "x/0", "a", 0)]))
+    with pytest.raises(ValueError, match="other columns"):
+        place.append(place.stage(rows_of(spark, [("x", "x/1", "b", 0)]).drop("k").withColumn("beside", F.lit(False))))
+    assert place.versions() == [1] and place.vacuum() == 1 and place.read().count() == 1
